@@ -1,0 +1,44 @@
+"""Equi-join that stays balanced when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_SHARE = 0.01
+BUCKETS = 32
+
+
+def join_spread(
+    many: DataFrame,
+    unique: DataFrame,
+    key: str,
+    how: str = "inner",
+    hot_share: float = HOT_SHARE,
+    buckets: int = BUCKETS,
+) -> DataFrame:
+    """Join ``many`` rows to a table with one row per key, salting only the hot keys.
+
+    Keys holding more than ``hot_share`` of the rows are found by a count that reads the key
+    column alone. There are fewer than 1 / hot_share of them, so that list, and only it, is
+    broadcast. Their rows are spread over ``buckets`` by a hash of the row and their
+    single partner row is repeated per bucket; every other row joins with salt 0.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"unsupported join type {how!r}")
+    counts = many.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.agg(F.sum("__n")).scalar()
+    hot = F.broadcast(
+        counts.where(F.col("__n") > total * hot_share).select(key, F.lit(True).alias("__hot"))
+    )
+    plain = [c for c, t in many.dtypes if not t.startswith("map")]
+    bucket = F.pmod(F.xxhash64(*plain), F.lit(buckets)).cast("int")
+    left = many.join(hot, key, "left").withColumn(
+        "__salt", F.when(F.col("__hot"), bucket).otherwise(F.lit(0))
+    )
+    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(
+        F.array(F.lit(0))
+    )
+    right = unique.join(hot, key, "left").withColumn("__salt", F.explode(copies))
+    joined = left.drop("__hot").join(right.drop("__hot"), [key, "__salt"], how)
+    return joined.drop("__salt")
