@@ -16,7 +16,7 @@ from fieldeval.operators.skew import join_spread
 from fieldeval.schema import FieldSpec
 
 # Decimal places at which accuracies are compared with thresholds and with each other.
-PLACES = 9
+PLACES = 8
 
 
 def document_accuracy(
@@ -79,7 +79,7 @@ def model_accuracy(doc_accuracy: DataFrame) -> DataFrame:
 def field_accuracy(scored_fields: DataFrame) -> DataFrame:
     """Mean score per model and field over long rows of successful documents.
 
-    The mean is rounded to nine places: sums taken in any task order then agree, and fields
+    The mean is rounded to eight places: sums taken in any task order then agree, and fields
     that tie do tie.
     """
     return scored_fields.groupBy("model", "ordinal", "field").agg(

@@ -201,14 +201,14 @@ def completeness_profile(wide: DataFrame, spec: FieldSpec) -> DataFrame:
     Counts are taken in a single pass; only the one-row result is turned into rows.
     """
     counts = wide.agg(
-        F.count(F.lit(1)).alias("total"), *[F.count(n).alias(n) for n in spec.names]
+        F.count(F.lit(1)).alias("__rows"), *[F.count(n).alias(n) for n in spec.names]
     )
     rows = [
         F.struct(
             F.lit(i).alias("ordinal"),
             F.lit(n).alias("field"),
             F.col(n).alias("present"),
-            F.col("total").alias("total"),
+            F.col("__rows").alias("total"),
         )
         for i, n, _ in spec.items()
     ]
@@ -218,7 +218,7 @@ def completeness_profile(wide: DataFrame, spec: FieldSpec) -> DataFrame:
             F.lit(len(spec) + 1).alias("ordinal"),
             F.lit("(overall)").alias("field"),
             all_present.alias("present"),
-            (F.col("total") * len(spec)).alias("total"),
+            (F.col("__rows") * len(spec)).alias("total"),
         )
     )
     return counts.select(F.inline(F.array(*rows))).withColumn(
@@ -230,12 +230,12 @@ def fill_rates(wide: DataFrame, fields: Iterable[str]) -> DataFrame:
     """Non-blank count and rate per truth field, in one pass."""
     names = list(fields)
     counts = wide.agg(
-        F.count(F.lit(1)).alias("total"),
+        F.count(F.lit(1)).alias("__rows"),
         *[count_if(strip(F.coalesce(n, F.lit(""))) != "").alias(n) for n in names],
     )
     rows = [
         F.struct(
-            F.lit(n).alias("field"), F.col("total").alias("total"), F.col(n).alias("non_empty")
+            F.lit(n).alias("field"), F.col("__rows").alias("total"), F.col(n).alias("non_empty")
         )
         for n in names
     ]

@@ -806,7 +806,7 @@ def _(i):
 
 @query(
     "quality_distribution",
-    O.SCORED + _EVAL + """, e AS (SELECT *, round(overall_accuracy, 9) AS a FROM doc_eval)
+    O.SCORED + _EVAL + """, e AS (SELECT *, round(overall_accuracy, 8) AS a FROM doc_eval)
 SELECT model, count(*) AS total_images, round(avg(a), 6) AS overall_accuracy, count(*) FILTER (a >= 0.99) AS perfect_documents,
   count(*) FILTER (a >= 0.8 AND a < 0.99) AS good_documents, count(*) FILTER (a >= 0.6 AND a < 0.8) AS fair_documents,
   count(*) FILTER (a < 0.6) AS poor_documents, arg_min(doc_id, {'a': -a, 'd': doc_id}) AS best_image, arg_min(doc_id, {'a': a, 'd': doc_id}) AS worst_image FROM e GROUP BY model""",
@@ -817,9 +817,9 @@ def _(i):
 
 @query(
     "readiness",
-    O.SCORED + _EVAL + """, q AS (SELECT model, avg(overall_accuracy) AS a, count(*) FILTER (round(overall_accuracy, 9) >= 0.99) / count(*) AS perfect FROM doc_eval GROUP BY model),
+    O.SCORED + _EVAL + """, q AS (SELECT model, avg(overall_accuracy) AS a, count(*) FILTER (round(overall_accuracy, 8) >= 0.99) / count(*) AS perfect FROM doc_eval GROUP BY model),
 g AS (SELECT model, count(*) FILTER (accuracy >= 0.9) AS strong FROM field_acc GROUP BY model)
-SELECT model, round(a, 9) >= 0.6 AS accuracy_ok, perfect >= 0.3 AS perfect_ok, strong >= 15 AS fields_ok, round(a, 9) >= 0.85 AS gate_ok FROM q JOIN g USING (model)""",
+SELECT model, round(a, 8) >= 0.6 AS accuracy_ok, perfect >= 0.3 AS perfect_ok, strong >= 15 AS fields_ok, round(a, 8) >= 0.85 AS gate_ok FROM q JOIN g USING (model)""",
 )
 def _(i):
     return accuracy.readiness(accuracy.quality_distribution(_doc_eval(i)), _field_acc(i), min_accuracy=0.6)
@@ -993,7 +993,7 @@ def _(i):
 
 _NORMAL = _SUCCESS + _IMAGES + """, normal AS (SELECT s.model, s.success_rate, s.execution_time AS total_processing_time,
   s.execution_time / (SELECT count(*) FROM images) AS avg_processing_time, sum(value_rate) / 25 AS avg_accuracy, count(*) FILTER (value_rate > 0) AS fields_with_data,
-  max(avg_fields_extracted) AS avg_fields_extracted FROM success s JOIN rates USING (model) GROUP BY ALL)"""
+  max(avg_fields_extracted) AS avg_fields_extracted FROM success s JOIN rates USING (model) GROUP BY s.model, s.success_rate, s.execution_time)"""
 
 
 def _normal(i: Inputs) -> DataFrame:

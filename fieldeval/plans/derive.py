@@ -240,8 +240,8 @@ TEMPLATE_SQL = """SELECT p_partkey AS template_id, 'Read the document' || chr(10
 
 SOURCE_SQL = """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE 'RECEIPT' END AS document_type,
   c_name AS business_name, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS payer_name,
-  CASE WHEN o_orderkey % 6 = 0 THEN cast(0 AS double) ELSE cast(cast(o_totalprice AS bigint) AS double) + 0.25 END AS total,
-  CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE cast(cast(o_totalprice AS bigint) AS double) + 0.5 END AS subtotal,
+  CASE WHEN o_orderkey % 6 = 0 THEN cast(0 AS double) ELSE cast(floor(o_totalprice) AS double) + 0.25 END AS total,
+  CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE cast(floor(o_totalprice) AS double) + 0.5 END AS subtotal,
   o_orderpriority AS items_list
   FROM {orders} JOIN {customer} ON c_custkey = o_custkey"""
 

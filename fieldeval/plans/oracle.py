@@ -13,17 +13,20 @@ def quoted(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
-_structs = ", ".join(f"{{'f': {i}::BIGINT, 'field': '{n}', 'truth': {n}}}" for i, n in enumerate(FIELDS, 1))
-_models = ", ".join(f"('{m}', {s}::BIGINT)" for m, s in D.MODELS.items())
-
-BASE = f"""WITH truth_wide AS ({D.truth_sql(_TABLES)}),
-spec(f, field) AS (VALUES {", ".join(f"({i}::BIGINT, '{n}')" for i, n in enumerate(FIELDS, 1))}),
-models(model, seed) AS (VALUES {_models}),
-truth AS (SELECT k, doc_id, unnest([{_structs}], recursive := true) FROM truth_wide),
-runs AS (SELECT k, doc_id, model, seed, NOT ({D.FAILED_SQL}) AS successful,
-  {D.SECONDS_SQL} AS processing_time FROM truth_wide, models),
-altered AS (SELECT k, doc_id, model, seed, f, field, truth, {D.ALTER_SQL.format(f="f", t="truth")} AS value
-  FROM truth, models),
+_truth_case = "CASE f " + " ".join(f"WHEN {i} THEN {n}" for i, n in enumerate(FIELDS, 1)) + " END"
+_field_case = "CASE f " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(FIELDS, 1)) + " END"
+_model_case = "CASE seed " + " ".join(f"WHEN {s} THEN '{m}'" for m, s in D.MODELS.items()) + " END"
+
+BASE = f"""WITH truth_wide AS MATERIALIZED ({D.truth_sql(_TABLES)}),
+numbers AS (SELECT unnest(range(1, {len(FIELDS) + 1})) AS f),
+spec AS (SELECT f, {_field_case} AS field FROM numbers),
+seeds AS (SELECT unnest({list(D.MODELS.values())})::BIGINT AS seed),
+models AS (SELECT seed, {_model_case} AS model FROM seeds),
+truth AS (SELECT k, doc_id, f, {_field_case} AS field, {_truth_case} AS truth FROM truth_wide, numbers),
+runs AS (SELECT k, doc_id, {_model_case} AS model, seed, NOT ({D.FAILED_SQL}) AS successful,
+  {D.SECONDS_SQL} AS processing_time FROM truth_wide, seeds),
+altered AS (SELECT k, doc_id, {_model_case} AS model, seed, f, field, truth, {D.ALTER_SQL.format(f="f", t="truth")} AS value
+  FROM truth, seeds),
 extr AS (SELECT * FROM altered WHERE value IS NOT NULL AND NOT ({D.FAILED_SQL})),
 aligned AS (SELECT k, doc_id, model, f, field, truth, NOT ({D.FAILED_SQL}) AS successful,
   CASE WHEN {D.FAILED_SQL} THEN NULL ELSE value END AS value FROM altered),
@@ -113,12 +116,12 @@ MATCH = f"""CASE WHEN {_EM} = {_G} THEN true WHEN {_EM} = 'n/a' OR {_G} = 'n/a'
 
 SCORED = BASE + f""",
 scored AS (SELECT *, {SCORE} AS score FROM aligned),
-doc_acc AS (SELECT k, doc_id, model, successful, CASE WHEN successful THEN round(avg(score), 9) END AS accuracy,
+doc_acc AS (SELECT k, doc_id, model, successful, CASE WHEN successful THEN round(avg(score), 8) END AS accuracy,
   CASE WHEN successful THEN count(*) FILTER (NOT {NO_TRUTH}) END AS truth_fields,
-  CASE WHEN successful THEN count(value) END AS extracted_fields FROM scored GROUP BY ALL),
+  CASE WHEN successful THEN count(value) END AS extracted_fields FROM scored GROUP BY k, doc_id, model, successful),
 doc_time AS (SELECT d.*, CASE WHEN d.successful THEN r.processing_time END AS processing_time
   FROM doc_acc d JOIN runs r USING (k, model)),
-field_acc AS (SELECT model, f, field, round(avg(score), 9) AS accuracy, count(*) AS documents
+field_acc AS (SELECT model, f, field, round(avg(score), 8) AS accuracy, count(*) AS documents
   FROM scored WHERE successful GROUP BY ALL),
 summary AS (SELECT model, count(*) AS total_images, count(*) FILTER (successful) AS successful,
   count(*) FILTER (NOT successful) AS failed, count(*) FILTER (successful) / count(*) AS success_rate,
@@ -146,7 +149,7 @@ rates AS (SELECT a.model, f, field, p.docs AS total_docs, p.avg_fields_extracted
   count(*) FILTER ({VALUED}) AS value_docs, count(value) / p.docs AS present_rate,
   count(*) FILTER ({VALUED}) / p.docs AS value_rate,
   coalesce(count(*) FILTER ({VALUED}) / nullif(count(value), 0), 0) AS value_completion
-  FROM aligned a JOIN per_model p USING (model) GROUP BY ALL)"""
+  FROM aligned a JOIN per_model p USING (model) GROUP BY a.model, f, field, p.docs, p.avg_fields_extracted)"""
 
 
 def events_cte(name: str, sql: str, **extra: str) -> str:
