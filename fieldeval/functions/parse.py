@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldeval import schema as S
-from fieldeval.functions.base import any_contains, col_of, let, lines, strip, words
+from fieldeval.functions.base import col_of, let, lines, strip, words
 from fieldeval.functions.text import needs_cleaning, prepare_for_parsing
 from fieldeval.schema import FieldSpec
 
@@ -88,14 +88,15 @@ def split_single_line(c: Column | str, spec: FieldSpec) -> Column:
 def parse_kv_lines(c: Column | str, spec: FieldSpec = S.DEFAULT_SPEC) -> Column:
     """Line-wise parser with key normalisation; lines without a usable key are skipped."""
 
+    phrases = "|".join(re.escape(p) for p in S.INSTRUCTION_PHRASES)
+
     def wanted(line: Column) -> Column:
-        low = F.lower(line)
         return (
             F.contains(line, F.lit(":"))
             & ~F.startswith(line, F.lit("#"))
             & ~F.startswith(line, F.lit("NOTE:"))
             & ~F.startswith(line, F.lit("Note:"))
-            & ~any_contains(low, S.INSTRUCTION_PHRASES)
+            & ~F.lower(line).rlike(phrases)
         )
 
     def pair(line: Column, pos: Column) -> Column:
@@ -109,8 +110,9 @@ def parse_kv_lines(c: Column | str, spec: FieldSpec = S.DEFAULT_SPEC) -> Column:
         return let(F.regexp_replace(line, r"^\p{Nd}+\.\s*", ""), cut)
 
     def valid(e: Column) -> Column:
-        bare = F.replace(F.replace(e["key"], F.lit("_"), F.lit("")), F.lit(" "), F.lit(""))
-        return (e["value"] != "") & bare.rlike(r"^\p{L}+$") & (F.length(e["key"]) > 1)
+        # Letters with any blanks and underscores between, before or after them.
+        letters = r"^[_ ]*+\p{L}[\p{L}_ ]*+$"
+        return (e["value"] != "") & e["key"].rlike(letters) & (F.length(e["key"]) > 1)
 
     kept = F.filter(
         F.transform(split_single_line(F.coalesce(col_of(c), F.lit("")), spec), strip), wanted

@@ -288,7 +288,7 @@ def accuracy_by_type(
     """Mean accuracy per model and true document type."""
     kinds = truth.select(key, lookup("truth_fields", type_field).alias("document_type"))
     return (
-        join_spread(doc_accuracy, kinds, key)
+        join_spread(doc_accuracy.select(key, "model", "accuracy"), kinds, key)
         .where(F.col("accuracy").isNotNull())
         .groupBy("model", "document_type")
         .agg(F.count(F.lit(1)).alias("documents"), F.avg("accuracy").alias("accuracy"))

@@ -41,8 +41,8 @@ def align_with_truth(
 
     Missing values become ``absent``; null keeps them apart from empty ones.
     """
-    joined = with_truth(results, truth, key)
-    held = [c for c in dict.fromkeys((key, "model", *keep))]
+    held = list(dict.fromkeys((key, "model", *keep)))
+    joined = with_truth(results.select(*held, "extracted_fields"), truth, key)
     return joined.select(
         *held, "truth_fields", "extracted_fields", F.inline(_names(spec))
     ).select(

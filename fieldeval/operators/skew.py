@@ -21,8 +21,9 @@ def join_spread(
 
     Keys holding more than ``hot_share`` of the rows are found by a count that reads the key
     column alone. There are fewer than 1 / hot_share of them, so that list, and only it, is
-    broadcast. Their rows are spread over ``buckets`` by a hash of the row and their
-    single partner row is repeated per bucket; every other row joins with salt 0.
+    broadcast. Their rows are spread over ``buckets`` by a hash of the row and its input
+    partition, and their single partner row is repeated per bucket; every other row joins
+    with salt 0. Select the needed columns first: all columns of ``many`` enter the hash.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type {how!r}")
@@ -31,8 +32,12 @@ def join_spread(
     hot = F.broadcast(
         counts.where(F.col("__n") > total * hot_share).select(key, F.lit(True).alias("__hot"))
     )
-    plain = [c for c, t in many.dtypes if not t.startswith("map")]
-    bucket = F.pmod(F.xxhash64(*plain), F.lit(buckets)).cast("int")
+    content = [
+        F.map_values(c) if t.startswith("map") else F.col(c) for c, t in many.dtypes
+    ]
+    # The partition number tells equal copies of a row apart, and a task that is run again
+    # after a lost executor computes the same one.
+    bucket = F.pmod(F.xxhash64(*content, F.spark_partition_id()), F.lit(buckets)).cast("int")
     left = many.join(hot, key, "left").withColumn(
         "__salt", F.when(F.col("__hot"), bucket).otherwise(F.lit(0))
     )
