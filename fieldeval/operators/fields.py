@@ -72,8 +72,14 @@ def restrict_to_spec(rows: DataFrame, spec: FieldSpec, fields: str = "extracted_
 
 
 def to_long(rows: DataFrame, *keep: str, fields: str = "extracted_fields") -> DataFrame:
-    """One row per document, model and extracted field."""
-    return rows.select(*keep, F.explode(F.col(fields)).alias("field", "value"))
+    """One row per document, model and extracted field.
+
+    The outer form is used because Spark guards a plain explode with a filter on its input,
+    and would evaluate a parser behind that input once more for the filter.
+    """
+    return rows.select(*keep, F.explode_outer(F.col(fields)).alias("field", "value")).where(
+        F.col("field").isNotNull()
+    )
 
 
 def to_wide(

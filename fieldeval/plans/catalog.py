@@ -426,7 +426,7 @@ kv_lines AS (SELECT k, model, replace(key, ' ', '_') AS key, arg_max(value, pos)
 
 
 def _exploded(df: DataFrame, fields_col: str = "extracted_fields") -> DataFrame:
-    return df.select("k", "model", F.explode(fields_col).alias("key", "value"))
+    return fields.to_long(df, "k", "model", fields=fields_col).withColumnRenamed("field", "key")
 
 
 @query("parse_kv_tokens", O.RESPONSES + _kv_tokens("responses", "raw_text") + " SELECT k, model, key, value FROM kv_tokens")
