@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldeval.llm import simhash
+from fieldeval.llm import langid, linededup, mixing, packing, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,8 +17,34 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    net = langid.train(docs)
+    found = langid.identify(docs.select("doc_id", "text", langid.in_fold().alias("held_out")), net)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_language_id": op4_language_id,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_source_mixing": op8_source_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_source_mixing": mixing.SHARES_SQL,
+}

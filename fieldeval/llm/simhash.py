@@ -21,6 +21,8 @@ BLOCKS = ((0, 21), (21, 42), (42, 64))
 #: Buckets above this size are keyed once more, so that no bucket's pairs are enumerated
 #: beyond it; nothing is dropped.
 PAIRWISE = 64
+#: Ids of rows that stay are broadcast up to so many, beyond it joined by shuffle.
+BROADCAST_IDS = 2_000_000
 _HASH_BYTES = 4 << 20
 
 
@@ -50,15 +52,8 @@ def _signed(x: int) -> int:
 
 def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = [_signed(simhash(text)) for text in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
-
-
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for every row; null text counts as empty."""
-    return docs.select(F.col("doc_id").cast("long"), utf8("text").alias("text")).mapInArrow(
-        _fingerprint_rows, "doc_id long, fp long"
-    )
+        prints = [_signed(simhash(text)) for text in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints, pa.int64())], ["doc_id", "text_key", "fp"])
 
 
 def _signed_mask(bits: list[int]) -> int:
@@ -212,22 +207,47 @@ def links(fps: DataFrame) -> DataFrame:
     return found.where("kind = 0").select("u", "v").unionByName(finer.mapInArrow(_stars, "u long, v long"))
 
 
+def classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, fp, root) for every row: rows whose fingerprints links join share a root."""
+    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), utf8("text").alias("text"))
+    prints = written(keyed.mapInArrow(_fingerprint_rows, "doc_id long, text_key long, fp long"), "prints")
+    roots = written(components(links(prints.select("fp").distinct())), "roots")
+    return prints.join(roots, prints.fp == roots.node, "left").select(
+        "doc_id", "text_key", "fp", F.coalesce("root", "fp").alias("root")
+    )
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs (doc_id, text).
 
     Fingerprints link at 3 or fewer differing bits; component_id is the smallest doc_id that
     links reach. Texts without words and null texts have fingerprint zero and link like any
-    other. Repeated rows give repeated rows; a null doc_id never names a component unless
-    it stands alone. An empty table gives no rows; further columns are ignored.
+    other. Repeated rows give repeated rows; a component of null doc_ids alone has a null
+    component_id. An empty table gives no rows; further columns are ignored.
     """
-    prints = written(fingerprints(docs), "prints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-prints")
-    roots = written(components(links(distinct.select("fp"))), "roots")
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
-    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = written(named.join(smallest, "root").select("fp", "component_id"), "classes")
-    return prints.join(classes, "fp").select(
+    found = written(classes(docs), "classes")
+    smallest = written(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
+    return found.join(smallest, "root").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each component of near duplicates, that of the smallest doc_id (null last),
+    with the columns of docs. Of rows alike in doc_id and text one stays."""
+    found = written(classes(docs), "classes")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    winners = found.groupBy("root").agg(F.min(order).alias("best")).select(
+        F.col("best.doc_id").alias("best_id"), F.col("best.text_key").alias("best_key")
+    )
+    winners = written(winners, "winners")
+    repeated = found.groupBy("doc_id", "text_key").count().where("count > 1")
+    repeated = written(repeated.select(F.col("doc_id").alias("best_id"), F.col("text_key").alias("best_key")), "repeated")
+    side = F.broadcast(winners) if winners.count() <= BROADCAST_IDS else winners
+    same = docs["doc_id"].eqNullSafe(F.col("best_id")) & (F.xxhash64(docs["text"]) == F.col("best_key"))
+    kept = docs.join(side, same, "left_semi")
+    if repeated.isEmpty():
+        return kept
+    same = kept["doc_id"].eqNullSafe(F.col("best_id")) & (F.xxhash64(kept["text"]) == F.col("best_key"))
+    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, same, "left_anti").unionByName(once)
