@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldeval.llm import langid, linededup, mixing, packing, simhash
+from fieldeval.llm import langid, linededup, mixing, nndescent, packing, simhash, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,18 +34,29 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_read(spark, sf_dir, "documents"))
 
 
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_exact_top_k": op7_exact_top_k,
     "op8_source_mixing": op8_source_mixing,
+    "op10_nn_descent": op10_nn_descent,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_exact_top_k": topk.TOP_K_SQL,
     "op8_source_mixing": mixing.SHARES_SQL,
 }
