@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from fieldeval.functions.base import count_if, ratio, strip
 from fieldeval.functions.score import Scorer, match_field, score_field, truth_missing
 from fieldeval.functions.values import has_value
-from fieldeval.operators.align import align_with_truth, score_fields
+from fieldeval.operators.align import align_with_truth, score_documents, score_fields
 from fieldeval.operators.fields import lookup
-from fieldeval.operators.skew import join_spread
 from fieldeval.schema import FieldSpec
 
 # Decimal places at which accuracies are compared with thresholds and with each other.
@@ -26,45 +25,39 @@ def document_accuracy(
     scorer: Scorer = score_field,
     key: str = "doc_id",
 ) -> DataFrame:
-    """Per document and model: mean over all fields of the spec, fields with a truth, fields
-    extracted. Failed rows carry nulls."""
-    rows = results.select(
+    """One row per result: mean over all fields of the spec, fields with a truth, fields
+    extracted. Failed rows carry nulls; equal rows stay apart, as each is scored in itself."""
+    ok = F.col("successful")
+    known = F.filter("scores", lambda s: ~truth_missing(s["truth"], s["field"]))
+    total = F.aggregate("scores", F.lit(0.0), lambda acc, s: acc + s["score"])
+    found = F.size(F.map_filter("extracted_fields", lambda k, v: k.isin(*spec.names)))
+    return score_documents(results, truth, spec, scorer, key).select(
         key,
         "model",
         "successful",
-        "processing_time",
-        F.size(F.map_filter("extracted_fields", lambda k, v: k.isin(*spec.names))).alias("__n"),
-        "extracted_fields",
-    )
-    held = ("successful", "processing_time", "__n")
-    long = score_fields(align_with_truth(rows, truth, spec, *held, key=key), scorer)
-    ok = F.col("successful")
-    return (
-        long.groupBy(key, "model", *held)
-        .agg(
-            F.avg("score").alias("__accuracy"),
-            count_if(~truth_missing(F.col("truth"), F.col("field"))).alias("__truth"),
-        )
-        .select(
-            key,
-            "model",
-            "successful",
-            F.when(ok, F.col("processing_time")).alias("processing_time"),
-            F.when(ok, F.round("__accuracy", PLACES)).alias("accuracy"),
-            F.when(ok, F.col("__truth")).alias("truth_fields"),
-            F.when(ok, F.col("__n")).alias("extracted_fields"),
-        )
+        F.when(ok, F.col("processing_time")).alias("processing_time"),
+        F.when(ok, F.round(total / F.size("scores"), PLACES)).alias("accuracy"),
+        F.when(ok, F.size(known)).cast("long").alias("truth_fields"),
+        F.when(ok, found).alias("extracted_fields"),
     )
 
 
-def model_accuracy(doc_accuracy: DataFrame) -> DataFrame:
+def model_accuracy(doc_accuracy: DataFrame, requested: DataFrame | None = None) -> DataFrame:
+    """Means over successful documents and rates over all that were asked for.
+
+    ``requested`` has a row for each of those; one without a result counts as failed. Without
+    it the rows at hand are all.
+    """
     ok = F.col("successful")
     done = count_if(ok)
+    asked = F.count(F.lit(1))
+    if requested is not None:
+        asked = F.max(requested.agg(F.count(F.lit(1))).scalar())
     return doc_accuracy.groupBy("model").agg(
-        F.count(F.lit(1)).alias("total_images"),
+        asked.alias("total_images"),
         done.alias("successful"),
-        (F.count(F.lit(1)) - done).alias("failed"),
-        ratio(done, F.count(F.lit(1))).alias("success_rate"),
+        (asked - done).alias("failed"),
+        ratio(done, asked).alias("success_rate"),
         F.coalesce(F.avg(F.when(ok, F.col("accuracy"))), F.lit(0.0)).alias("avg_accuracy"),
         ratio(F.sum(F.when(ok, F.col("processing_time"))), done).alias("avg_processing_time"),
         F.coalesce(F.avg(F.when(ok, F.col("extracted_fields"))), F.lit(0.0)).alias(
@@ -104,8 +97,9 @@ def non_na_fields_from_accuracy(field_acc: DataFrame) -> DataFrame:
 def match_fields(
     results: DataFrame, truth: DataFrame, spec: FieldSpec, key: str = "doc_id"
 ) -> DataFrame:
-    """Long rows with ``matched``; absent values on either side read ``N/A``."""
-    aligned = align_with_truth(results, truth, spec, key=key, absent="N/A")
+    """Long rows with ``matched``; absent values on either side read ``N/A``. Documents without
+    truth can't be matched: ``align.missing_truth`` lists them with an error."""
+    aligned = align_with_truth(results, truth, spec, key=key, absent="N/A", how="inner")
     return score_fields(aligned, match_field, "matched")
 
 
@@ -285,10 +279,11 @@ def readiness(
 def accuracy_by_type(
     doc_accuracy: DataFrame, truth: DataFrame, type_field: str = "DOCUMENT_TYPE", key: str = "doc_id"
 ) -> DataFrame:
-    """Mean accuracy per model and true document type."""
+    """Mean accuracy per model and true document type; null where no truth is known."""
     kinds = truth.select(key, lookup("truth_fields", type_field).alias("document_type"))
     return (
-        join_spread(doc_accuracy.select(key, "model", "accuracy"), kinds, key)
+        doc_accuracy.select(key, "model", "accuracy")
+        .join(kinds, key, "left")
         .where(F.col("accuracy").isNotNull())
         .groupBy("model", "document_type")
         .agg(F.count(F.lit(1)).alias("documents"), F.avg("accuracy").alias("accuracy"))
@@ -310,12 +305,12 @@ def weak_fields(field_acc: DataFrame, below: float = 0.5) -> DataFrame:
     return field_acc.where(F.col("accuracy") < below).orderBy("accuracy", "model", "ordinal")
 
 
-def describe_accuracy(doc_accuracy: DataFrame, places: int = 6) -> DataFrame:
+def describe_accuracy(doc_accuracy: DataFrame, places: int = PLACES) -> DataFrame:
     """Count, mean, standard deviation and quartiles of accuracies per model.
 
-    Accuracies are rounded and counted first: at ``places`` digits there are at most
-    10**places + 1 different values, whatever the number of documents, and the exact
-    percentiles are taken over those counts.
+    Accuracies are rounded to the places at which they compare everywhere, and counted; the
+    exact percentiles are taken over those counts. Scores are shares of few fields, so the
+    counts are far fewer than the documents.
     """
     value = F.round("accuracy", places)
     counted = (

@@ -1,8 +1,9 @@
 """Bringing results and truth together.
 
-The join is one equi-join of document rows (maps, not exploded fields) on the document key,
-with hot keys salted; truth holds one row per key. Fields are unrolled after the join and
-meet an aggregate with map-side combine at once, so the long form is never shuffled.
+The join is one equi-join of document rows (maps, not exploded fields) on the document key;
+truth holds one row per key, and a document has one result per model, so no key is hot. The
+field values are looked up inside the row before it is unrolled; the long form meets an
+aggregate with map-side combine at once and is never shuffled.
 """
 
 from __future__ import annotations
@@ -16,8 +17,18 @@ from fieldeval.operators.fields import lookup
 from fieldeval.operators.skew import join_spread
 from fieldeval.schema import FieldSpec
 
-def with_truth(results: DataFrame, truth: DataFrame, key: str = "doc_id") -> DataFrame:
-    return join_spread(results, truth.select(key, "truth_fields"), key)
+
+def with_truth(
+    results: DataFrame, truth: DataFrame, key: str = "doc_id", how: str = "left"
+) -> DataFrame:
+    """Results with ``truth_fields``; null, which reads as no values, where no truth is known."""
+    return results.join(truth.select(key, "truth_fields"), key, how)
+
+
+def missing_truth(results: DataFrame, truth: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Results that can't be matched, with ``error``: no truth is known for them."""
+    error = F.concat(F.lit("No ground truth found for "), F.col(key))
+    return results.join(truth.select(key), key, "left_anti").withColumn("error", error)
 
 
 def _names(spec: FieldSpec) -> Column:
@@ -29,6 +40,20 @@ def _names(spec: FieldSpec) -> Column:
     )
 
 
+def _values(spec: FieldSpec, absent: str | None) -> Column:
+    """Array of (ordinal, field, truth, extracted) over the fields of the spec."""
+
+    def found(s: Column) -> Column:
+        return F.struct(
+            s["ordinal"].alias("ordinal"),
+            s["field"].alias("field"),
+            F.coalesce(lookup("truth_fields", s["field"]), F.lit(absent)).alias("truth"),
+            F.coalesce(lookup("extracted_fields", s["field"]), F.lit(absent)).alias("extracted"),
+        )
+
+    return F.transform(_names(spec), found)
+
+
 def align_with_truth(
     results: DataFrame,
     truth: DataFrame,
@@ -36,22 +61,16 @@ def align_with_truth(
     *keep: str,
     key: str = "doc_id",
     absent: str | None = "",
+    how: str = "left",
 ) -> DataFrame:
     """Long rows: every field of the spec for every evaluated document and model.
 
-    Missing values become ``absent``; null keeps them apart from empty ones.
+    Missing values become ``absent``; null keeps them apart from empty ones. Documents without
+    truth are compared with missing values, or left out where ``how`` is inner.
     """
     held = list(dict.fromkeys((key, "model", *keep)))
-    joined = with_truth(results.select(*held, "extracted_fields"), truth, key)
-    return joined.select(
-        *held, "truth_fields", "extracted_fields", F.inline(_names(spec))
-    ).select(
-        *held,
-        "ordinal",
-        "field",
-        F.coalesce(lookup("truth_fields", F.col("field")), F.lit(absent)).alias("truth"),
-        F.coalesce(lookup("extracted_fields", F.col("field")), F.lit(absent)).alias("extracted"),
-    )
+    joined = with_truth(results.select(*held, "extracted_fields"), truth, key, how)
+    return joined.select(*held, F.inline(_values(spec, absent)))
 
 
 def score_fields(
@@ -85,14 +104,6 @@ def score_documents(
 
     names = list(scorer.facts(F.lit(""), F.lit(""), F.lit("")))
 
-    def found(s: Column) -> Column:
-        return F.struct(
-            s["ordinal"].alias("ordinal"),
-            s["field"].alias("field"),
-            F.coalesce(lookup("truth_fields", s["field"]), F.lit("")).alias("truth"),
-            F.coalesce(lookup("extracted_fields", s["field"]), F.lit("")).alias("extracted"),
-        )
-
     def normal(s: Column) -> Column:
         facts = scorer.facts(s["extracted"], s["truth"], s["field"])
         return F.struct(s.alias("row"), *[v.alias(k) for k, v in facts.items()])
@@ -104,7 +115,7 @@ def score_documents(
             scorer.rule({k: s[k] for k in names}, row["field"]).alias("score"),
         )
 
-    steps = F.transform(F.transform(F.transform(_names(spec), found), normal), scored)
+    steps = F.transform(F.transform(_values(spec, ""), normal), scored)
     return with_truth(results, truth, key).withColumn("scores", steps).drop("truth_fields")
 
 

@@ -25,7 +25,8 @@ def extraction_capability(rows: DataFrame, spec: FieldSpec) -> DataFrame:
     known = F.filter(names, lambda k: k.isin(*spec.names))
     critical = [n for n, w in zip(spec.names, spec.weights) if w >= CRITICAL_WEIGHT]
     weight = F.aggregate(known, F.lit(0.0), lambda acc, k: acc + weight_of(k, spec))
-    count = F.col("field_count") if "field_count" in rows.columns else F.size(names)
+    given = F.col("field_count") if "field_count" in rows.columns else F.lit(None).cast("int")
+    count = F.coalesce(given, F.size(names))
     core = F.col("core_fields_found") if "core_fields_found" in rows.columns else F.lit(0)
     covered = (
         F.size(F.filter(known, lambda k: k.isin(*critical))) / len(critical)

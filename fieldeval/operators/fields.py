@@ -38,11 +38,10 @@ def fields_from_template(
     )
 
 
-def spec_from_rows(rows: DataFrame, weights: Mapping[str, float] | None = None) -> FieldSpec:
-    """Turn (ordinal, field) rows into a spec; fails beyond the field limit."""
-    first = rows.groupBy("field").agg(F.min("ordinal").alias("ordinal"))
-    found = first.orderBy("ordinal").limit(S.MAX_FIELDS + 1).collect()
-    return FieldSpec.of((r["field"] for r in found), weights)
+def restrict_to_fields(long: DataFrame, fields: DataFrame) -> DataFrame:
+    """Long rows (…, field, value) of the fields that are rows of ``fields`` (field, …): for
+    field lists that are data, of any length, rather than configuration."""
+    return long.join(fields.select("field"), "field", "left_semi")
 
 
 def weight_of(field: Column | str, spec: FieldSpec) -> Column:

@@ -122,26 +122,33 @@ def winners(summary: DataFrame, tie_below: float = 1.0) -> DataFrame:
     )
 
 
-def success_metrics(rows: DataFrame, overall: str = "(overall)") -> DataFrame:
-    """Success rate and summed seconds per model, and over all rows in one extra row."""
+def _success() -> list[Column]:
     n, ok = F.count(F.lit(1)), count_if(F.col("successful"))
-    return (
-        rows.rollup("model")
-        .agg(
-            n.alias("documents"),
-            ok.alias("successful"),
-            ratio(ok, n).alias("success_rate"),
-            F.sum(F.coalesce("processing_time", F.lit(0.0))).alias("execution_time"),
-        )
-        .withColumn("model", F.coalesce("model", F.lit(overall)))
-    )
+    return [
+        n.alias("documents"),
+        ok.alias("successful"),
+        ratio(ok, n).alias("success_rate"),
+        F.sum(F.coalesce("processing_time", F.lit(0.0))).alias("execution_time"),
+    ]
+
+
+def model_success(rows: DataFrame) -> DataFrame:
+    """Success rate and summed seconds per model; rows without a model are one of them."""
+    return rows.groupBy("model").agg(*_success())
+
+
+def success_metrics(rows: DataFrame, overall: str = "(overall)") -> DataFrame:
+    """The same with one extra row over all rows."""
+    both = rows.rollup("model").agg(F.grouping("model").alias("__all"), *_success())
+    name = F.when(F.col("__all") == 1, overall).otherwise(F.col("model"))
+    return both.withColumn("model", name).drop("__all")
 
 
 def run_overview(rows: DataFrame, verified_images: Column | int) -> DataFrame:
     """Per model success, time per verified image and status; the overall rate is the mean
     of the models' rates. Sorted by total time."""
     images = F.lit(verified_images) if isinstance(verified_images, int) else verified_images
-    per = success_metrics(rows).where(F.col("model") != "(overall)")
+    per = model_success(rows)
     macro = per.agg(F.avg("success_rate")).scalar()
     rate = F.col("success_rate")
     return per.select(

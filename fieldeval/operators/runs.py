@@ -13,6 +13,11 @@ from fieldeval.operators.skew import join_spread
 MIN_SNAPSHOTS = 3
 
 
+def _known(flag: str) -> Column:
+    """The flag, false where it is null: totals count such rows as failed."""
+    return F.coalesce(flag, F.lit(False))
+
+
 def batch_summary(results: DataFrame) -> DataFrame:
     n, ok = F.count(F.lit(1)), count_if(F.col("successful"))
     return results.groupBy("model").agg(
@@ -28,7 +33,7 @@ def batch_summary(results: DataFrame) -> DataFrame:
 
 def first_failures(results: DataFrame, n: int = 5) -> DataFrame:
     """The report shows the first ``n`` failures only."""
-    failed = results.where(~F.col("successful")).select("model", "doc_id", "error")
+    failed = results.where(~_known("successful")).select("model", "doc_id", "error")
     return failed.orderBy("doc_id", "model").limit(n)
 
 
@@ -230,7 +235,7 @@ def validation_summary(runs: DataFrame) -> DataFrame:
 
 
 def validation_failures(runs: DataFrame) -> DataFrame:
-    return runs.where(~F.col("success")).select("model_name", "error_message")
+    return runs.where(~_known("success")).select("model_name", "error_message")
 
 
 def validation_findings(
@@ -239,7 +244,7 @@ def validation_findings(
     """Rows (finding, detail, value); ``no_issues`` only where nothing else was found."""
     ok = F.col("success")
     errors = (
-        runs.where(~ok & (F.coalesce("error_message", F.lit("")) != ""))
+        runs.where(~_known("success") & (F.coalesce("error_message", F.lit("")) != ""))
         .groupBy(F.split_part("error_message", F.lit(":"), F.lit(1)).alias("detail"))
         .agg(F.count(F.lit(1)).cast("double").alias("value"))
         .where(F.col("value") > 1)

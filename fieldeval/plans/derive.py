@@ -2,7 +2,8 @@
 
 The sample data has no extraction tables. Truth comes from orders, customers, nations and
 line items; results and responses are truth altered by integer arithmetic on the order key.
-SQL expressions that read the same in Spark and in DuckDB are written once and used by both.
+Plain SQL expressions that read the same in Spark and in DuckDB are written once and used by
+both; the gathering of order lines is written for each engine on its own.
 """
 
 from __future__ import annotations
@@ -13,29 +14,24 @@ from pyspark.sql import functions as F
 from fieldeval.schema import BUSINESS_FIELDS, DEFAULT_SPEC
 
 MODELS = {"alpha": 3, "beta": 5}
-MAX_LINE = 7
+# Documents that no truth is known for, and documents that no model has returned.
+NO_TRUTH_SQL = "k % 29 = 0"
+NO_RESULT_SQL = "k % 31 = 0"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# One output row per order and a fixed set of columns per line number: max aggregates over
-# plain numbers, combined on the map side, so an order with very many lines is no burden.
-LINES_SQL = (
-    "SELECT l_orderkey, "
-    + ", ".join(
-        f"max(CASE WHEN l_linenumber = {i} THEN {column} END) AS {short}{i}"
-        for i in range(1, MAX_LINE + 1)
-        for short, column in (("q", "l_quantity"), ("p", "l_extendedprice"), ("d", "l_partkey"))
-    )
-    + ", max(l_suppkey) AS suppkey FROM {lineitem} GROUP BY l_orderkey"
-)
-
-
-def _listed(item: str) -> str:
-    items = ", ".join(item.format(i=i) for i in range(1, MAX_LINE + 1))
-    return f"CASE WHEN l_orderkey IS NULL THEN 'N/A' ELSE concat_ws(' | ', {items}) END"
+# The lines of an order in one fixed order, so that position i of its three lists is one line.
+# A list is a cell of the truth table; what is gathered for it is that cell's own content.
+LINES_SQL = """SELECT l_orderkey, suppkey,
+  array_join(transform(items, x -> cast(cast(x.l_quantity AS bigint) AS string)), ' | ') AS quantities,
+  array_join(transform(items, x -> '$' || cast(cast(x.l_extendedprice AS decimal(18,2)) AS string)), ' | ') AS prices,
+  array_join(transform(items, x -> 'part ' || cast(x.l_partkey AS string)), ' | ') AS descriptions
+FROM (SELECT l_orderkey, max(l_suppkey) AS suppkey,
+    array_sort(collect_list(struct(l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice))) AS items
+  FROM {lineitem} GROUP BY l_orderkey)"""
 
 
 _BANK = "o_orderstatus = 'P'"
@@ -58,8 +54,8 @@ FIELD_SQL = {
     "TOTAL": "CASE WHEN k % 2 = 0 THEN total ELSE '$' || total END",
     "SUBTOTAL": "'$' || cast(gst * 10 AS string) || '.25'",
     "SUPPLIER_WEBSITE": "'N/A'",
-    "QUANTITIES": _listed("cast(cast(q{i} AS bigint) AS string)"),
-    "PRICES": _listed("'$' || cast(cast(p{i} AS decimal(18,2)) AS string)"),
+    "QUANTITIES": "coalesce(quantities, 'N/A')",
+    "PRICES": "coalesce(prices, 'N/A')",
     "BUSINESS_ADDRESS": "CASE WHEN suppkey IS NULL THEN 'N/A' ELSE cast(suppkey AS string) || ' High Street ' || n_name END",
     "BUSINESS_PHONE": "CASE WHEN k % 5 = 0 THEN 'NIL' ELSE '03 ' || cast(20000 + k % 7919 AS string) END",
     "BANK_NAME": f"CASE WHEN {_BANK} THEN n_name || ' Bank' ELSE 'N/A' END",
@@ -69,7 +65,7 @@ FIELD_SQL = {
     "STATEMENT_PERIOD": f"CASE WHEN {_BANK} THEN day_text || ' - ' || day_text ELSE 'N/A' END",
     "OPENING_BALANCE": f"CASE WHEN {_BANK} THEN '$' || total || '0' ELSE 'N/A' END",
     "CLOSING_BALANCE": f"CASE WHEN {_BANK} THEN '-$' || total ELSE 'N/A' END",
-    "DESCRIPTIONS": _listed("'part ' || cast(d{i} AS string)"),
+    "DESCRIPTIONS": "coalesce(descriptions, 'N/A')",
 }
 
 BASE_SQL = """SELECT o_orderkey AS k, 'doc_' || cast(o_orderkey AS string) || '.png' AS doc_id,
@@ -82,9 +78,9 @@ JOIN {nation} n ON n_nationkey = c_nationkey
 LEFT JOIN ({lines}) li ON li.l_orderkey = o_orderkey"""
 
 
-def truth_sql(tables: dict[str, str]) -> str:
-    """One row per order with a column per field; ``tables`` maps names to relations."""
-    lines = LINES_SQL.format(**tables)
+def truth_sql(tables: dict[str, str], lines: str) -> str:
+    """One row per order with a column per field; ``tables`` maps names to relations and
+    ``lines`` is the SQL of the order lines."""
     base = BASE_SQL.format(lines=lines, day=_DAY, **tables)
     cells = ",\n  ".join(f"{FIELD_SQL[f]} AS {f}" for f in BUSINESS_FIELDS)
     return f"SELECT k, doc_id,\n  {cells}\nFROM ({base}) b"
@@ -114,17 +110,25 @@ RESPONSE_SQL = """CASE k % 8
 
 def truth_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("orders", "customer", "nation", "lineitem")
-    sql = truth_sql({n: "{" + n + "}" for n in names})
+    sql = truth_sql({n: "{" + n + "}" for n in names}, LINES_SQL)
     return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k, doc_id, truth_fields MAP."""
+    """k, doc_id, truth_fields MAP, for documents with a known truth."""
     pairs = [x for f in BUSINESS_FIELDS for x in (F.lit(f), F.col(f))]
-    return truth_wide(spark, sf_dir).select("k", "doc_id", F.create_map(*pairs).alias("truth_fields"))
+    known = truth_wide(spark, sf_dir).where(f"NOT ({NO_TRUTH_SQL})")
+    return known.select("k", "doc_id", F.create_map(*pairs).alias("truth_fields"))
+
+
+def requested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that every model was asked for: all of them."""
+    name = F.concat(F.lit("doc_"), F.col("o_orderkey").cast("string"), F.lit(".png"))
+    return table(spark, sf_dir, "orders").select(name.alias("doc_id"))
 
 
 def _with_models(wide: DataFrame) -> DataFrame:
+    wide = wide.where(f"NOT ({NO_RESULT_SQL})")
     models = F.array(
         *[F.struct(F.lit(m).alias("model"), F.lit(s).alias("seed")) for m, s in MODELS.items()]
     )
@@ -212,7 +216,7 @@ BENCH_SQL = """SELECT 'model_' || cast(user_id % 4 AS string) AS model, user_id
   event_id AS image, value AS processing_time, event_type <> 'error' AS ok FROM {events}"""
 
 VALIDATION_SQL = """SELECT 'model_' || cast(event_id AS string) AS model_name,
-  event_type <> 'error' AS success, value AS load_time, value / 20 AS memory_usage,
+  CASE WHEN event_id % 11 <> 0 THEN event_type <> 'error' END AS success, value AS load_time, value / 20 AS memory_usage,
   CASE WHEN event_type = 'error' THEN 'E' || cast(user_id % 7 AS string) || ': ' || props ELSE '' END AS error_message
   FROM {events}"""
 
@@ -242,9 +246,40 @@ SOURCE_SQL = """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 = 0 THEN NULL E
   c_name AS business_name, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS payer_name,
   CASE WHEN o_orderkey % 6 = 0 THEN cast(0 AS double) ELSE cast(floor(o_totalprice) AS double) + 0.25 END AS total,
   CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE cast(floor(o_totalprice) AS double) + 0.5 END AS subtotal,
-  o_orderpriority AS items_list
+  CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE cast(o_custkey AS double) END AS gst,
+  o_orderpriority AS items_list, cast(c_custkey AS string) AS abn, c_mktsegment AS payer_address,
+  CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE o_orderstatus END AS payer_phone, lower(c_name) AS payer_email,
+  cast(o_custkey AS string) AS date, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS due_date,
+  o_orderstatus AS quantities, c_mktsegment AS prices, upper(c_name) AS business_address,
+  o_orderpriority AS business_phone, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE o_orderstatus END AS bsb,
+  cast(o_orderkey AS string) AS bank_account
   FROM {orders} JOIN {customer} ON c_custkey = o_custkey"""
 
+# Texts as the readers get them, one per order; Spark alone renders them.
+_BRACES = "replace(replace({text}, '<', chr(123)), '>', chr(125))"
+BATCH_TEXT_SQL = "SELECT 'file_' || cast(o_orderkey AS string) AS file, " + _BRACES.format(
+    text="""CASE o_orderkey % 6
+  WHEN 0 THEN '[<"filename": "/in/llama_' || cast(o_orderkey AS string) || '.png", "extracted_fields": <"TOTAL": "' || cast(o_custkey AS string) || '">>, "no object"]'
+  WHEN 1 THEN '<"model": "outer", "results": [<"image_name": "i' || cast(o_orderkey AS string) || '", "model": "inner", "success": true>, <"image": "j">]>'
+  WHEN 2 THEN '<"model": "outer", "results": []>'
+  WHEN 3 THEN ' [<"image_path": "p' || cast(o_custkey AS string) || '", "extraction_method": "InternVL clean", "processing_time": 1.5>]'
+  WHEN 4 THEN '<"other": ' || cast(o_custkey AS string) || '>'
+  ELSE '<"model": "outer", "results": [<"image": "k' || cast(o_custkey AS string) || '">]>' END"""
+) + " AS value FROM {orders}"
+
+COMPARISON_TEXT_SQL = "SELECT " + _BRACES.format(
+    text="""CASE WHEN o_orderkey % 3 = 0 THEN '<"usage": <"m' || cast(o_orderkey AS string) || '": ' || cast(o_custkey AS string)
+  || ', "n' || cast(o_orderkey AS string) || '": "' || o_orderpriority || '">>' ELSE '<"x": 1>' END"""
+) + " AS value FROM {orders}"
+
+TRUTH_TEXT_SQL = """SELECT 'doc_' || cast(o_custkey AS string) AS image_file, o_orderkey AS line_no, CASE o_orderkey % 4 WHEN 0 THEN '12.500' WHEN 1 THEN '1e31' WHEN 2 THEN '1e-9'
+  ELSE '$' || cast(o_orderkey AS string) END AS TOTAL, CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END AS SUPPLIER FROM {orders}"""
+
+FILE_SQL = """SELECT '/in/dir_' || cast(event_id % 7 AS string) || '/f' || cast(event_id AS string) || CASE event_id % 7 WHEN 0 THEN '.png' WHEN 1 THEN '.JPG' WHEN 2 THEN '.webp'
+  WHEN 3 THEN '.tiff' WHEN 4 THEN '.txt' WHEN 5 THEN '' ELSE '.bmp' END AS path, {hex} AS content, ts AS modificationTime FROM {events}"""
+FILE_HEX = """CASE user_id % 6 WHEN 0 THEN '89504E470D0A1A0A00' WHEN 1 THEN 'FFD8FFE0' WHEN 2 THEN '524946460102030457454250' WHEN 3 THEN '524946460102030441564920'
+  WHEN 4 THEN '49492A0000' ELSE '424D00' END"""
+
 
 def from_sql(spark: SparkSession, sf_dir: str, sql: str, **extra: str) -> DataFrame:
     """Run one of the SQL texts above on the sample tables."""
@@ -281,6 +316,9 @@ class Inputs:
     def truth(self) -> DataFrame:
         return truth(self.spark, self.sf_dir)
 
+    def requested(self) -> DataFrame:
+        return requested(self.spark, self.sf_dir)
+
     def results(self) -> DataFrame:
         return results(self.spark, self.sf_dir)
 

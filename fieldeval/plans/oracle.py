@@ -17,18 +17,27 @@ _truth_case = "CASE f " + " ".join(f"WHEN {i} THEN {n}" for i, n in enumerate(FI
 _field_case = "CASE f " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(FIELDS, 1)) + " END"
 _model_case = "CASE seed " + " ".join(f"WHEN {s} THEN '{m}'" for m, s in D.MODELS.items()) + " END"
 
-BASE = f"""WITH truth_wide AS MATERIALIZED ({D.truth_sql(_TABLES)}),
+_LINE_ORDER = "ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
+LINES = f"""SELECT l_orderkey, max(l_suppkey) AS suppkey,
+  string_agg(printf('%d', l_quantity::BIGINT), ' | ' {_LINE_ORDER}) AS quantities,
+  string_agg('$' || l_extendedprice::DECIMAL(18,2)::VARCHAR, ' | ' {_LINE_ORDER}) AS prices,
+  string_agg('part ' || l_partkey::VARCHAR, ' | ' {_LINE_ORDER}) AS descriptions
+FROM lineitem GROUP BY l_orderkey"""
+
+BASE = f"""WITH truth_wide AS MATERIALIZED ({D.truth_sql(_TABLES, LINES)}),
 numbers AS (SELECT unnest(range(1, {len(FIELDS) + 1})) AS f),
 spec AS (SELECT f, {_field_case} AS field FROM numbers),
 seeds AS (SELECT unnest({list(D.MODELS.values())})::BIGINT AS seed),
 models AS (SELECT seed, {_model_case} AS model FROM seeds),
-truth AS (SELECT k, doc_id, f, {_field_case} AS field, {_truth_case} AS truth FROM truth_wide, numbers),
+cells AS (SELECT k, doc_id, f, {_field_case} AS field, {_truth_case} AS cell FROM truth_wide, numbers),
+truth AS (SELECT k, doc_id, f, field, cell AS truth FROM cells WHERE k % 29 <> 0),
 runs AS (SELECT k, doc_id, {_model_case} AS model, seed, NOT ({D.FAILED_SQL}) AS successful,
-  {D.SECONDS_SQL} AS processing_time FROM truth_wide, seeds),
-altered AS (SELECT k, doc_id, {_model_case} AS model, seed, f, field, truth, {D.ALTER_SQL.format(f="f", t="truth")} AS value
-  FROM truth, seeds),
+  {D.SECONDS_SQL} AS processing_time FROM truth_wide, seeds WHERE k % 31 <> 0),
+altered AS (SELECT c.k, c.doc_id, {_model_case} AS model, seed, c.f, c.field, coalesce(t.truth, '') AS truth,
+  t.k IS NOT NULL AS has_truth, {D.ALTER_SQL.format(f="c.f", t="c.cell").replace("(k ", "(c.k ").replace("WHEN k ", "WHEN c.k ").replace("(k %", "(c.k %")} AS value
+  FROM cells c LEFT JOIN truth t ON t.k = c.k AND t.f = c.f, seeds WHERE c.k % 31 <> 0),
 extr AS (SELECT * FROM altered WHERE value IS NOT NULL AND NOT ({D.FAILED_SQL})),
-aligned AS (SELECT k, doc_id, model, f, field, truth, NOT ({D.FAILED_SQL}) AS successful,
+aligned AS (SELECT k, doc_id, model, f, field, truth, has_truth, NOT ({D.FAILED_SQL}) AS successful,
   CASE WHEN {D.FAILED_SQL} THEN NULL ELSE value END AS value FROM altered),
 pieces AS (SELECT k, doc_id, model, seed, string_agg(field || ': ' || value, chr(10) ORDER BY field) AS body,
   string_agg('**' || field || ':** ' || value, chr(10) ORDER BY field) AS bold
@@ -123,14 +132,15 @@ doc_time AS (SELECT d.*, CASE WHEN d.successful THEN r.processing_time END AS pr
   FROM doc_acc d JOIN runs r USING (k, model)),
 field_acc AS (SELECT model, f, field, round(avg(score), 8) AS accuracy, count(*) AS documents
   FROM scored WHERE successful GROUP BY ALL),
-summary AS (SELECT model, count(*) AS total_images, count(*) FILTER (successful) AS successful,
-  count(*) FILTER (NOT successful) AS failed, count(*) FILTER (successful) / count(*) AS success_rate,
+asked AS (SELECT count(*) AS n FROM orders),
+summary AS (SELECT model, any_value(n) AS total_images, count(*) FILTER (successful) AS successful,
+  any_value(n) - count(*) FILTER (successful) AS failed, count(*) FILTER (successful) / any_value(n) AS success_rate,
   avg(accuracy) AS avg_accuracy, sum(processing_time) / count(*) FILTER (successful) AS avg_processing_time,
   avg(extracted_fields) AS avg_fields_extracted, sum(processing_time) AS total_processing_time
-  FROM doc_time GROUP BY model)"""
+  FROM doc_time, asked GROUP BY model)"""
 
 MATCHED = BASE + f""",
-matched AS (SELECT *, {MATCH} AS matched FROM aligned),
+matched AS (SELECT *, {MATCH} AS matched FROM aligned WHERE has_truth),
 report AS (SELECT doc_id, model, count(*) FILTER (lower(trim(truth)) <> 'n/a' AND matched) AS correct_fields,
   count(*) FILTER (lower(trim(truth)) <> 'n/a') AS total_fields,
   round(coalesce(correct_fields / nullif(total_fields, 0), 0) * 100, 2) AS accuracy_percentage

@@ -8,15 +8,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
-MAX_FIELDS = 1000
-
 
 @dataclass(frozen=True)
 class FieldSpec:
     """An ordered field list with weights.
 
-    The list is part of the plan (array and map literals), so its size is checked here:
-    a schema of more than ``MAX_FIELDS`` names is a mistake, not data.
+    The list is configuration and part of the plan, as array and map literals. A list that
+    is data is a DataFrame instead, see ``operators.fields.restrict_to_fields``.
     """
 
     names: tuple[str, ...]
@@ -25,8 +23,6 @@ class FieldSpec:
     @staticmethod
     def of(names: Iterable[str], weights: Mapping[str, float] | None = None) -> FieldSpec:
         ordered = tuple(dict.fromkeys(names))
-        if len(ordered) > MAX_FIELDS:
-            raise ValueError(f"{len(ordered)} fields exceed the limit of {MAX_FIELDS}")
         given = weights or {}
         return FieldSpec(ordered, tuple(float(given.get(n, 1.0)) for n in ordered))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,13 +32,45 @@ RESULT_SCHEMA = T.StructType(
 
 
 def _numeric_text(value: Column) -> Column:
-    """A castable number without trailing zeros; any other text as it is."""
-    number = value.try_cast("double").try_cast("decimal(38,8)").cast("string")
-    plain = F.regexp_replace(number, r"\.?0+$", "")
-    kept = F.when(F.contains(number, F.lit(".")), plain).otherwise(number)
-    return F.when(value.rlike(_NUMBER), F.coalesce(F.nullif(kept, F.lit("")), F.lit("0"))).otherwise(
-        value
+    """A castable number without trailing zeros; any other text as it is. Numbers too large
+    or too small for that form keep the double's own text, so none turns into zero."""
+    exact = value.try_cast("double")
+    number = exact.try_cast("decimal(38,8)")
+    text = number.cast("string")
+    plain = F.regexp_replace(text, r"\.?0+$", "")
+    kept = F.nullif(F.when(F.contains(text, F.lit(".")), plain).otherwise(text), F.lit(""))
+    whole = number.cast("double") == exact
+    shown = F.when(whole, F.coalesce(kept, F.lit("0"))).otherwise(exact.cast("string"))
+    return F.when(value.rlike(_NUMBER), shown).otherwise(value)
+
+
+def _csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """CSV rows with ``__order``: file path, start of the split, row in it.
+
+    With ``multi_line`` quoted line breaks are read and a file is one task; without it large
+    files are split.
+    """
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    rows = reader.csv(path)
+    place = F.struct(
+        F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
     )
+    return rows.select("*", place.alias("__order"))
+
+
+def truth_map(
+    rows: DataFrame, key_col: str, order_col: str, numeric_fields: Iterable[str] = S.NUMERIC_TRUTH_FIELDS
+) -> DataFrame:
+    """(doc_id, truth_fields MAP) from rows of texts; of rows with one key the last wins."""
+    numeric = set(numeric_fields)
+    cells = []
+    for n in rows.columns:
+        if n not in (key_col, order_col):
+            cells += [F.lit(n), _numeric_text(F.col(n)) if n in numeric else F.coalesce(n, F.lit(""))]
+    fields = F.map_filter(F.create_map(*cells), lambda k, v: v.isNotNull())
+    last = F.max_by("truth_fields", "__order")
+    kept = rows.select(F.col(key_col).alias("doc_id"), F.col(order_col).alias("__order"), fields.alias("truth_fields"))
+    return kept.groupBy("doc_id").agg(last.alias("truth_fields"))
 
 
 def read_truth_csv(
@@ -46,30 +79,17 @@ def read_truth_csv(
     key_col: str = "image_file",
     numeric_fields: Iterable[str] = S.NUMERIC_TRUTH_FIELDS,
     order_col: str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Truth as (doc_id, truth_fields MAP), one row per key.
 
     Of rows with the same key the last wins: last by ``order_col`` if there is one, else by
-    file and position in it, which Spark exposes as the file name and block start plus a
-    task-local counter, so without an order column duplicates should share a file.
+    file path and position in the file.
     """
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    names = [c for c in raw.columns if c not in (key_col, order_col)]
-    order = F.col(order_col) if order_col else F.monotonically_increasing_id()
-    cells = [
-        x
-        for n in names
-        for x in (
-            F.lit(n),
-            _numeric_text(F.col(n)) if n in set(numeric_fields) else F.coalesce(n, F.lit("")),
-        )
-    ]
-    rows = raw.select(
-        F.col(key_col).alias("doc_id"),
-        order.alias("__order"),
-        F.map_filter(F.create_map(*cells), lambda k, v: v.isNotNull()).alias("truth_fields"),
-    )
-    return rows.groupBy("doc_id").agg(F.max_by("truth_fields", "__order").alias("truth_fields"))
+    rows = _csv(spark, path, multi_line)
+    if order_col:
+        rows = rows.drop("__order")
+    return truth_map(rows, key_col, order_col or "__order", numeric_fields)
 
 
 def truth_long(truth: DataFrame) -> DataFrame:
@@ -77,10 +97,17 @@ def truth_long(truth: DataFrame) -> DataFrame:
 
 
 def lookup_truth(
-    spark: SparkSession, path: str, key: str | None = None, key_col: str = "image_filename"
+    spark: SparkSession,
+    path: str,
+    key: str | None = None,
+    key_col: str = "image_filename",
+    order_col: str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """All truth rows, or the rows of one document (the filter reaches the CSV scan)."""
-    rows = spark.read.option("header", True).csv(path)
+    """All truth rows, or the rows of one document (the filter reaches the CSV scan). Their
+    place in the files is added as ``order_col``, by which ``first_truth`` takes the first."""
+    rows = _csv(spark, path, multi_line)
+    rows = rows.withColumnRenamed("__order", order_col) if order_col else rows.drop("__order")
     return rows if key is None else rows.where(F.col(key_col) == key)
 
 
@@ -91,35 +118,57 @@ def first_truth(rows: DataFrame, key_col: str = "image_filename", order_col: str
     return rows.groupBy(key_col).agg(first.alias("r")).select(key_col, "r.*")
 
 
-def read_batch_results(spark: SparkSession, path: str) -> DataFrame:
-    """Result rows from JSON files holding a list, or an object with ``results``.
+def _texts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value) with the whole text of each file; null for an empty file, which the
+    reader passes over, so those are told from the listing."""
+    files = spark.read.format("binaryFile").load(path)
+    texts = files.select(F.col("path").alias("file"), F.col("content").cast("string").alias("value"))
+    listed = spark.createDataFrame([(unquote(f),) for f in files.inputFiles()], "file string")
+    plain = [F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/") for c in ("file", "path")]
+    read = files.select("path", F.lit("").alias("read"))
+    # An outer join: what is raised for empty files must not be worked out before it.
+    empty = listed.join(read, plain[0] == plain[1], "left").where(F.col("read").isNull())
+    return texts.unionByName(empty.select("file", F.col("read").alias("value")))
 
-    Any other object gives no rows, items that are not objects are skipped, and a file that
-    is not JSON is an error. Each file is one task; many files are read side by side.
+
+def parse_batches(texts: DataFrame) -> DataFrame:
+    """(file, file_model, is_list, items) from rows (file, value) of JSON texts.
+
+    Items are the list itself, or ``results`` of an object; any other object has none. A text
+    that is not JSON, an empty one included, is an error.
     """
-    files = spark.read.text(path, wholetext=True).select(
-        "value", F.input_file_name().alias("file")
-    )
     bad = F.raise_error(F.concat(F.lit("Invalid JSON in "), F.col("file")))
     value = F.from_json(
         F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), "v STRING", {"mode": "PERMISSIVE"}
     )["v"]
-    checked = files.select("file", F.coalesce(value, bad).alias("value"))
+    checked = texts.select("file", F.coalesce(value, bad).alias("value"))
     is_list = F.ltrim("value").startswith("[")
     items = F.when(is_list, F.col("value")).otherwise(F.get_json_object("value", "$.results"))
-    rows = checked.select(
+    return checked.select(
         "file",
         F.when(~is_list, F.get_json_object("value", "$.model")).alias("file_model"),
         is_list.alias("is_list"),
-        F.posexplode(F.from_json(items, "array<string>")).alias("pos", "item"),
-    ).where(F.ltrim("item").startswith("{"))
-    return rows.select(
-        "file",
-        "file_model",
-        "is_list",
-        "pos",
-        F.from_json("item", RESULT_SCHEMA).alias("r"),
-    ).select("file", "file_model", "is_list", "pos", "r.*")
+        F.coalesce(F.from_json(items, "array<string>"), F.array().cast("array<string>")).alias("items"),
+    )
+
+
+def batch_rows(parsed: DataFrame) -> DataFrame:
+    """A row for each item of parsed batches that is an object."""
+    rows = parsed.select("file", "file_model", "is_list", F.posexplode("items").alias("pos", "item"))
+    return (
+        rows.where(F.ltrim("item").startswith("{"))
+        .withColumn("r", F.from_json("item", RESULT_SCHEMA))
+        .select("file", "file_model", "is_list", "pos", "r.*")
+    )
+
+
+def read_batch_results(spark: SparkSession, path: str) -> DataFrame:
+    """Result rows from JSON files holding a list, or an object with ``results``.
+
+    Any other object gives no rows, items that are not objects are skipped, and a file that
+    is not JSON is an error. Each file is one task; many files are read side by side.
+    """
+    return batch_rows(parse_batches(_texts(spark, path)))
 
 
 def batch_image(rows: DataFrame) -> DataFrame:
@@ -129,44 +178,66 @@ def batch_image(rows: DataFrame) -> DataFrame:
     )
 
 
-def detect_model(rows: DataFrame) -> DataFrame:
-    """Model per file, from its first row only.
+def model_of(parsed: DataFrame) -> DataFrame:
+    """(file, model) of parsed batches: from the first item alone.
 
-    A list file may name the model in a row, its method or its file name; a wrapped file in
-    its first row or, where it has no results, at the top level.
+    A list may name the model in that item, its method or its file name; an object in that
+    item or, where it has no items, at the top level.
     """
 
-    def named(c: str) -> Column:
+    def named(c: Column) -> Column:
         low = F.lower(c)
         return F.when(F.contains(low, F.lit("llama")), "llama").when(
             F.contains(low, F.lit("internvl")), "internvl"
         )
 
-    first = F.min_by(F.struct("model", "extraction_method", "filename", "is_list"), "pos")
-    guess = F.coalesce(
-        F.col("r.model"),
-        F.when(F.col("r.is_list"), F.coalesce(named("r.extraction_method"), named("r.filename"))),
-    )
-    return rows.groupBy("file").agg(first.alias("r")).select("file", guess.alias("model"))
+    first = F.from_json(F.get("items", F.lit(0)), RESULT_SCHEMA)
+    item = parsed.withColumn("r", first)
+    guess = F.when(
+        F.col("is_list"), F.coalesce("r.model", named(F.col("r.extraction_method")), named(F.col("r.filename")))
+    ).otherwise(F.when(F.size("items") > 0, F.col("r.model")).otherwise(F.col("file_model")))
+    return item.select("file", guess.alias("model"))
+
+
+def detect_model(spark: SparkSession, path: str) -> DataFrame:
+    """Model of each batch file, null where it is not named."""
+    return model_of(parse_batches(_texts(spark, path)))
 
 
-def read_comparison_results(spark: SparkSession, path: str, part: str = "model_estimated_vram") -> DataFrame:
-    """(model, value) rows of one per-model map of comparison files; none where absent."""
-    text = spark.read.text(path, wholetext=True)
-    found = F.from_json(F.get_json_object("value", f"$.{part}"), "map<string,double>")
-    return text.select(F.explode(found).alias("model", "value"))
+def comparison_map(texts: DataFrame, part: str) -> DataFrame:
+    """(model, value) rows of one per-model map in rows (value) of JSON texts, values as text
+    (JSON where they are no scalars); none where the map is absent."""
+    found = F.from_json(F.get_json_object("value", f"$.{part}"), "map<string,string>")
+    return texts.select(F.explode(found).alias("model", "value"))
+
+
+def read_comparison_results(
+    spark: SparkSession, path: str, part: str = "model_estimated_vram", numbers: bool = True
+) -> DataFrame:
+    """(model, value) rows of one per-model map of comparison files, as numbers or as text."""
+    found = comparison_map(_texts(spark, path), part)
+    return found.withColumn("value", F.col("value").try_cast("double")) if numbers else found
+
+
+def latest_of(files: DataFrame) -> DataFrame:
+    """Path of the most recently modified of rows (path, modificationTime), none for none."""
+    newest = F.max_by("path", F.struct("modificationTime", "path"))
+    return files.agg(newest.alias("path")).where(F.col("path").isNotNull())
 
 
 def latest_run(spark: SparkSession, directory: str, pattern: str = "comparison_results_*.json") -> DataFrame:
     """Path of the most recently modified file; file contents are not read."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .load(directory)
-        .select("path", "modificationTime")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory)
+    return latest_of(files.select("path", "modificationTime"))
+
+
+def images_of(files: DataFrame, extensions: Iterable[str] = S.IMAGE_EXTENSIONS) -> DataFrame:
+    """Files (path, ...) with ``name`` and ``extension``, by extension in any case."""
+    name = F.substring_index("path", "/", -1)
+    ext = F.lower(F.substring_index(name, ".", -1))
+    return files.select("*", name.alias("name"), ext.alias("extension")).where(
+        F.contains("name", F.lit(".")) & is_in(F.col("extension"), extensions)
     )
-    newest = F.max_by("path", F.struct("modificationTime", "path"))
-    return files.agg(newest.alias("path")).where(F.col("path").isNotNull())
 
 
 def discover_images(
@@ -179,12 +250,8 @@ def discover_images(
     """Files of a directory (not below it) by extension in any case, optionally the first few
     by path."""
     files = spark.read.format("binaryFile").load(directory)
-    name = F.substring_index("path", "/", -1)
-    ext = F.lower(F.substring_index(name, ".", -1))
     held = ("path", "length", "modificationTime") + (("content",) if content else ())
-    found = files.select(*held, name.alias("name"), ext.alias("extension")).where(
-        F.contains("name", F.lit(".")) & is_in(F.col("extension"), extensions)
-    )
+    found = images_of(files.select(*held), extensions)
     return found if max_images is None else found.orderBy("path").limit(max_images)
 
 
@@ -194,14 +261,15 @@ _SIGNATURES = {
     "jpg": "FFD8FF",
     "jpeg": "FFD8FF",
     "bmp": "424D",
-    "webp": "52494646",
 }
 
 
 def verify_images(files: DataFrame) -> DataFrame:
     """Add ``verified``: whether the leading bytes are those of the format."""
-    head = F.hex(F.substring("content", 1, 8))
-    test = F.when(F.col("extension") == "tiff", head.startswith("49492A00") | head.startswith("4D4D002A"))
+    head = F.hex(F.substring("content", 1, 12))
+    test = F.when(
+        F.col("extension") == "tiff", head.startswith("49492A00") | head.startswith("4D4D002A")
+    ).when(F.col("extension") == "webp", head.rlike("^52494646.{8}57454250"))
     for ext, magic in _SIGNATURES.items():
         test = test.when(F.col("extension") == ext, head.startswith(magic))
     return files.withColumn("verified", F.coalesce(test, F.lit(False))).drop("content")

@@ -22,14 +22,18 @@ def csv_path(directory: str, stem: str, model: str | None) -> str:
 def write_batch_results(results: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Three JSON tables under ``path``: ``results``, ``failed_images`` and ``totals``.
 
-    The rows are not collected into one document, which would pass through a single task.
+    The rows are not collected into one document, which would pass through a single task. A
+    result not known to be successful is a failed one.
     """
-    ok = F.col("successful")
-    results.where(ok).write.mode(mode).json(f"{path}/results")
-    results.where(~ok).select("model", F.col("doc_id").alias("image"), "error").write.mode(
-        mode
-    ).json(f"{path}/failed_images")
-    batch_summary(results).write.mode(mode).json(f"{path}/totals")
+    held = results.withColumn("successful", F.coalesce("successful", F.lit(False))).persist()
+    try:
+        ok = F.col("successful")
+        held.where(ok).write.mode(mode).json(f"{path}/results")
+        failed = held.where(~ok).select("model", F.col("doc_id").alias("image"), "error")
+        failed.write.mode(mode).json(f"{path}/failed_images")
+        batch_summary(held).write.mode(mode).json(f"{path}/totals")
+    finally:
+        held.unpersist()
 
 
 def write_comparison_results(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -62,3 +62,49 @@ def test_hot_key_is_spread_and_complete(spark):
 def test_resource_compare_needs_two_runs(spark):
     one = spark.createDataFrame([("a", 2.0, 5)], "run_id string, peak_process_gb double, total_snapshots long")
     assert runs.resource_compare(one, {"a": 1.0}).count() == 0
+
+
+def test_documents_without_truth_and_equal_rows(spark):
+    from fieldeval.operators.accuracy import document_accuracy, model_accuracy
+    from fieldeval.operators.align import missing_truth
+    from fieldeval.schema import FieldSpec
+
+    spec = FieldSpec.of(("SUPPLIER", "ABN"))
+    kind = "doc_id string, model string, successful boolean, processing_time double, extracted_fields map<string,string>"
+    row = ("a", "m", True, 1.0, {"SUPPLIER": "x"})
+    results = spark.createDataFrame([row, row, ("b", "m", True, 1.0, {"SUPPLIER": "x"})], kind)
+    truth = spark.createDataFrame([("a", {"SUPPLIER": "x"})], "doc_id string, truth_fields map<string,string>")
+    got = sorted(map(tuple, document_accuracy(results, truth, spec).collect()))
+    assert got == [("a", "m", True, 1.0, 1.0, 1, 1)] * 2 + [("b", "m", True, 1.0, 0.5, 0, 1)]
+    asked = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "doc_id string")
+    total = model_accuracy(document_accuracy(results, truth, spec).where("doc_id = 'b'"), asked).first()
+    assert (total["total_images"], total["successful"], total["failed"], total["success_rate"]) == (4, 1, 3, 0.25)
+    assert [r["doc_id"] for r in missing_truth(results, truth).collect()] == ["b"]
+
+
+def test_null_models_and_flags(spark):
+    from fieldeval.operators import capability, rates, runs
+    from fieldeval.schema import FieldSpec
+
+    rows = spark.createDataFrame(
+        [("m", True, 1.0, "a", None), (None, None, 2.0, "b", "e")],
+        "model string, successful boolean, processing_time double, doc_id string, error string",
+    )
+    assert sorted(r["model"] or "" for r in rates.success_metrics(rows).collect()) == ["", "(overall)", "m"]
+    assert sorted(r["model"] or "" for r in rates.run_overview(rows, 1).collect()) == ["", "m"]
+    assert [r["doc_id"] for r in runs.first_failures(rows).collect()] == ["b"]
+    known = spark.createDataFrame(
+        [("m", True, 1.0, None, {"ABN": "1"})],
+        "model string, successful boolean, extraction_time double, field_count int, extracted_fields map<string,string>",
+    )
+    assert capability.extraction_capability(known, FieldSpec.of(("ABN",))).first()["information_density"] == 1.0
+
+
+def test_long_field_lists(spark):
+    from fieldeval.operators.fields import restrict_to_fields
+    from fieldeval.schema import FieldSpec
+
+    assert len(FieldSpec.of(f"F{k}" for k in range(1001))) == 1001
+    long = spark.createDataFrame([("d", "F1", "x"), ("d", "G", "y")], "doc_id string, field string, value string")
+    fields = spark.createDataFrame([(f"F{k}",) for k in range(1001)], "field string")
+    assert [r["field"] for r in restrict_to_fields(long, fields).collect()] == ["F1"]

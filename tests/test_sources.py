@@ -27,6 +27,27 @@ def test_truth_csv(spark, folder):
     assert R.truth_long(R.read_truth_csv(spark, path)).count() == 6
 
 
+def test_truth_csv_last_file_wins(spark, folder):
+    put(folder, "a.csv", "image_file,TOTAL\nx,1\n")
+    put(folder, "b.csv", "image_file,TOTAL\n" + "".join(f"y{k},7\n" for k in range(500)) + "x,2\n")
+    for multi_line in (True, False):
+        rows = R.read_truth_csv(spark, folder, multi_line=multi_line)
+        assert rows.where("doc_id = 'x'").first()["truth_fields"] == {"TOTAL": "2"}
+    first = R.first_truth(R.lookup_truth(spark, folder, "x", "image_file", "row"), "image_file")
+    assert first.first()["TOTAL"] == "1"
+
+
+def test_truth_csv_keeps_numbers(spark, folder):
+    path = put(folder, "n.csv", "image_file,TOTAL\na,1e31\nb,1e-9\nc,0.10\n")
+    rows = {r["doc_id"]: r["truth_fields"]["TOTAL"] for r in R.read_truth_csv(spark, path).collect()}
+    assert rows == {"a": "1.0E31", "b": "1.0E-9", "c": "0.1"}
+
+
+def test_quoted_line_break(spark, folder):
+    path = put(folder, "q.csv", 'image_filename,v\na,"x\ny"\nb,z\n')
+    assert R.lookup_truth(spark, path).count() == 2
+
+
 def test_first_truth(spark):
     rows = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x")], "image_filename string, row int, v string")
     assert R.first_truth(rows).select("v").first()[0] == "x"
@@ -41,8 +62,12 @@ def test_batch_layouts(spark, folder):
     assert rows.count() == 1
     wide = fields.batch_to_wide(R.batch_image(rows), DEFAULT_SPEC).first()
     assert (wide["image"], wide["TOTAL"], wide["GST"], wide["ABN"]) == ("llama_1.png", None, "2", None)
-    assert R.detect_model(rows).first()["model"] == "llama"
-    assert R.detect_model(R.read_batch_results(spark, two)).first()["model"] == "m2"
+    assert R.detect_model(spark, one).first()["model"] == "llama"
+    assert R.detect_model(spark, two).first()["model"] == "m2"
+    top = put(folder, "top.json", json.dumps({"model": "beta"}))
+    assert R.detect_model(spark, top).first()["model"] == "beta"
+    with pytest.raises(Exception, match="Invalid JSON"):
+        R.read_batch_results(spark, put(folder, "empty.json", "")).count()
     empty = R.read_batch_results(spark, other)
     assert empty.count() == 0 and "extracted_fields" in empty.columns
     bad = put(folder, "bad.json", "{not json")
@@ -57,20 +82,24 @@ def test_comparison_files(spark, folder):
     assert R.latest_run(spark, folder).first()["path"].endswith("comparison_results_2.json")
     got = R.read_comparison_results(spark, f"{folder}/comparison_results_1.json").collect()
     assert [tuple(r) for r in got] == [("a", 1.5)]
+    text = put(folder, "comparison_results_3.json", json.dumps({"status": {"a": "ok", "b": {"n": 1}}}))
+    got = R.read_comparison_results(spark, text, "status", numbers=False).collect()
+    assert [tuple(r) for r in got] == [("a", "ok"), ("b", '{"n":1}')]
     assert R.read_comparison_results(spark, new).count() == 0
 
 
 def test_images(spark, folder):
     put(folder, "a.PNG", bytes.fromhex("89504E470D0A1A0A") + b"x")
     put(folder, "b.jpg", b"not an image")
+    put(folder, "d.webp", b"RIFF....AVI LIST")
     put(folder, "c.txt", b"text")
     files = R.discover_images(spark, folder, content=True)
-    assert {r["name"] for r in files.collect()} == {"a.PNG", "b.jpg"}
+    assert {r["name"] for r in files.collect()} == {"a.PNG", "b.jpg", "d.webp"}
     assert R.discover_images(spark, folder, max_images=1).first()["name"] == "a.PNG"
     checked = {r["name"]: r["verified"] for r in R.verify_images(files).collect()}
-    assert checked == {"a.PNG": True, "b.jpg": False}
+    assert checked == {"a.PNG": True, "b.jpg": False, "d.webp": False}
     s = rates.dataset_summary(R.verify_images(files)).first()
-    assert (s["expected"], s["found"], s["missing"], s["found_rate"]) == (2, 1, 1, 0.5)
+    assert (s["expected"], s["found"], s["missing"], s["found_rate"]) == (3, 1, 2, 1 / 3)
 
 
 def test_writers(spark, folder):
