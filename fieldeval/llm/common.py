@@ -7,9 +7,11 @@ import uuid
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +30,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with columns of these names (in any case) renamed, and how to name them back."""
+    back = {f"own_{k}_{name}": name for k, name in enumerate(df.columns) if name.lower() in names}
+    return df.withColumnsRenamed({name: new for new, name in back.items()}), back
+
+
+def with_fields(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
+    """The frame's schema with further fields."""
+    return T.StructType([*df.schema.fields, *(T.StructField(name, kind) for name, kind in fields)])
+
+
 def utf8(column: str) -> Column:
     """Text as its bytes, null as no bytes: Python then gets the buffer undecoded."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
@@ -54,6 +67,47 @@ def chunks(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterato
         yield rows
 
 
+def sorted_runs(batches: Iterator[pa.RecordBatch], keys: int, most: int) -> Iterator[tuple[pa.Table, bool]]:
+    """(table, hot) from rows sorted by their first `keys` columns.
+
+    A table that isn't hot holds whole runs of equal keys, each of `most` rows or fewer; rows
+    of longer runs come in tables marked hot, in pieces, so a run is never held whole.
+    """
+    held: pa.Table | None = None
+    going: list[object] | None = None  # the key of a hot run that may go on
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if going is not None:
+            same = np.ones(table.num_rows, bool)
+            for k, value in enumerate(going):
+                same &= table.column(k).to_numpy() == value
+            more = int(same.sum())
+            if more:
+                yield table.slice(0, more), True
+            table = table.slice(more)
+        if not table.num_rows:
+            continue
+        going = None
+        table = table if held is None else pa.concat_tables([held, table])
+        new = np.ones(table.num_rows, bool)
+        for k in range(keys):
+            column = table.column(k).to_numpy()
+            new[1:] &= column[1:] == column[:-1]
+        starts = np.flatnonzero(~new | (np.arange(table.num_rows) == 0))
+        sizes = np.diff(np.append(starts, table.num_rows))
+        long = np.repeat(sizes > most, sizes)
+        if long.any():
+            yield table.filter(pa.array(long)), True
+        done = np.arange(table.num_rows) < starts[-1]
+        if (done & ~long).any():
+            yield table.filter(pa.array(done & ~long)), False
+        held = table.slice(int(starts[-1])) if sizes[-1] <= most else None
+        if held is None:
+            going = [table.column(k)[table.num_rows - 1].as_py() for k in range(keys)]
+    if held is not None:
+        yield held, False
+
+
 def _state(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     return row[0], row[1] or 0

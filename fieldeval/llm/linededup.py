@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
-from typing import Any
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fieldeval.llm.common import chunks, records, written
+from fieldeval.llm.common import chunks, records, set_aside, sorted_runs, with_fields, written
 
 #: Jaccard similarity from which two lines match: NUM / DEN.
 NUM, DEN = 4, 5
@@ -22,14 +22,47 @@ SLOTS = 1 << 20
 _BLOCK = 1 << 14
 #: Lists of lines go out by broadcast up to so many lines, beyond it by shuffle.
 BROADCAST_LINES = 4_000_000
+#: Sets that need all their candidates go out by broadcast up to so many.
+BROADCAST_SETS = 50_000
+#: Lines of more distinct tokens have a signature of twice the bits.
+LONG = 96
+#: Rows under one token that are compared in one task; those of others are joined.
+HOT = 2048
 _TEXT_BYTES = 1 << 20
 _NO_ID = -(1 << 63)
-_PLACE = ("d", "row_key", "line_no")
-_PLACE_SCHEMA = "d long, row_key long, line_no int"
+_PLACE = ("d", "line_no", "row_key")
+_PLACE_SCHEMA = "d long, line_no int, row_key long"
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+def _table(seed: int, *shape: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 64, shape, np.uint64, endpoint=False)
+
+
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+#: Random numbers of each byte at each of 32 places in a word; their sum hashes the word.
+_BYTES = _table(1, 32 * 256)
+
+
+def _mixed(x: np.ndarray, factor: int) -> np.ndarray:
+    """Each number spread over all its bits."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(29))
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of every word among bytes, without a step in Python for each."""
+    inside = ~_SPACE[data]
+    edge = np.diff(inside.view(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    lengths = ends - starts
+    at = np.flatnonzero(inside)
+    place = at - np.repeat(starts, lengths)
+    value = _BYTES[((place & 31) << 8) | data[at]]
+    if lengths.max() > 32:
+        value *= (2 * (place >> 5) + 1).astype(np.uint64)
+    return _mixed(np.add.reduceat(value, np.cumsum(lengths) - lengths), 0x9E3779B97F4A7C15), starts
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -39,6 +72,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def _once(keyed: DataFrame) -> DataFrame:
+    """One of the rows alike in id and text; rows without their like are not shuffled."""
+    repeated = written(keyed.groupBy("d", "row_key").count().where("count > 1").select("d", "row_key"), "repeated")
+    if repeated.isEmpty():
+        return keyed
+    many = keyed.join(repeated, ["d", "row_key"], "left_semi").dropDuplicates(["d", "row_key"])
+    return keyed.join(repeated, ["d", "row_key"], "left_anti").unionByName(many)
+
+
 def _texts(keyed: DataFrame, *more: str) -> DataFrame:
     return keyed.where("text is not null").select("d", "row_key", F.col("text").cast("binary").alias("text"), *more)
 
@@ -46,11 +88,8 @@ def _texts(keyed: DataFrame, *more: str) -> DataFrame:
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(SLOTS, np.int64)
     for rows in chunks(batches, 0, _TEXT_BYTES):
-        for (text,) in rows:
-            slots = _hashes(text.split()) % np.uint64(SLOTS)
-            counts += np.bincount(slots.astype(np.int64), minlength=SLOTS) if len(slots) > SLOTS // 64 else 0
-            if len(slots) <= SLOTS // 64:
-                np.add.at(counts, slots.astype(np.int64), 1)
+        hashes, _ = word_hashes(np.frombuffer(b"\n".join(text for (text,) in rows), np.uint8))
+        np.add.at(counts, (hashes % np.uint64(SLOTS)).astype(np.int64), 1)
     yield from _blocks(enumerate(counts.reshape(-1, _BLOCK)))
 
 
@@ -83,81 +122,193 @@ def rarity(docs: DataFrame) -> np.ndarray:
     return np.floor(1024 * np.log2(np.maximum(counts, 1))).astype(np.uint16)
 
 
-def token_sets(lines: list[list[bytes]], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, bounds): line k's distinct tokens, rarest first, are keys[bounds[k]:bounds[k+1]].
-
-    A key is the rarity code and 48 bits of the token's hash, so it is the order as well.
-    """
-    counts = [len(words) for words in lines]
-    hashes = _hashes([word for words in lines for word in words])
+class Lines(NamedTuple):
+    """Lines with words: line k is line_no[k] of text doc[k], and its distinct tokens, rarest
+    first, are keys[bounds[k]:bounds[k + 1]]. A key is a rarity code and 48 bits of the
+    token's hash, so keys are the order as well."""
+
+    doc: np.ndarray
+    line_no: np.ndarray
+    keys: np.ndarray
+    bounds: np.ndarray
+
+
+def token_sets(texts: list[bytes], codes: np.ndarray, wanted: list[list[int]] | None = None) -> Lines:
+    """All lines with words, or the wanted ones, of some texts."""
+    data = np.frombuffer(b"\n".join(texts), np.uint8)
+    hashes, starts = word_hashes(data)
+    line = np.searchsorted(np.flatnonzero(data == 10), starts)
+    number = np.array([text.count(b"\n") + 1 for text in texts])
+    first = np.cumsum(number) - number
+    if wanted is not None:
+        held = np.zeros(int(number.sum()), bool)
+        held[np.concatenate([low + np.array(w, np.int64) for low, w in zip(first, wanted)])] = True
+        hashes, line = hashes[held[line]], line[held[line]]
     keys = (codes[(hashes % np.uint64(SLOTS)).astype(np.int64)].astype(np.uint64) << np.uint64(48)) | (hashes >> np.uint64(16))
-    for low, high in pairwise([0, *np.cumsum(counts).tolist()]):
-        keys[low:high].sort()
-    line = np.repeat(np.arange(len(lines)), counts)
+    lines, low = np.unique(line, return_index=True)
+    for a, b in pairwise([*low.tolist(), len(line)]):
+        keys[a:b].sort()
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (line[1:] != line[:-1])
-    return keys[new], np.concatenate([[0], np.cumsum(np.bincount(line[new], minlength=len(lines)))])
-
-
-def _line_batch(places: list[tuple[int, int, int]], lines: list[list[bytes]], codes: np.ndarray) -> pa.RecordBatch:
-    """A row for each line: digest of its token set, place, size, prefix and places in it."""
-    keys, bounds = token_sets(lines, codes)
-    sizes = np.diff(bounds)
-    line = np.repeat(np.arange(len(lines)), sizes)
-    at = np.arange(len(keys)) - bounds[line]
-    prefix = sizes - -(-NUM * sizes // DEN) + 1
-    # A token counted once in all texts has no partner.
-    pick = (at < prefix[line]) & (keys >> np.uint64(48) > 0)
-    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(line[pick], minlength=len(lines)))]), pa.int32())
-    data = keys.tobytes()
-    digests = b"".join(xxhash.xxh3_128_digest(data[8 * a : 8 * b]) for a, b in pairwise(bounds.tolist()))
-    digest = np.frombuffer(digests, "<i8").reshape(-1, 2)
-    d, row_key, line_no = zip(*places)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(digest[:, 0]),
-            pa.array(digest[:, 1]),
-            pa.array(d, pa.int64()),
-            pa.array(row_key, pa.int64()),
-            pa.array(line_no, pa.int32()),
-            pa.array(sizes, pa.int32()),
-            pa.ListArray.from_arrays(offsets, pa.array(keys[pick].view(np.int64))),
-            pa.ListArray.from_arrays(offsets, pa.array(at[pick], pa.int32())),
-        ],
-        ["h1", "h2", *_PLACE, "n", "keys", "ats"],
-    )
+    bounds = np.concatenate([[0], np.cumsum(np.add.reduceat(new, low, dtype=np.int64))]) if len(lines) else np.zeros(1, np.int64)
+    doc = np.searchsorted(first, lines, side="right") - 1
+    return Lines(doc, lines - first[doc], keys[new], bounds)
+
+
+def _digests(lines: Lines, factor: int) -> np.ndarray:
+    """A hash of each line's set: the sum of its keys', whatever their order."""
+    return np.add.reduceat(_mixed(lines.keys, factor), lines.bounds[:-1]).view(np.int64)
+
+
+_ID, _ID2 = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+
 
+def first_lines(keyed: DataFrame, codes: Any) -> DataFrame:
+    """The first line of every distinct token set."""
 
-_LINE_SCHEMA = f"h1 long, h2 long, {_PLACE_SCHEMA}, n int, keys array<long>, ats array<int>"
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, 2, _TEXT_BYTES):
+            lines = token_sets([text for _, _, text in part], codes.value)
+            if not len(lines.doc):
+                continue
+            d, row_key = (np.array([row[k] for row in part], np.int64)[lines.doc] for k in (0, 1))
+            columns = (_digests(lines, _ID), _digests(lines, _ID2), d, lines.line_no.astype(np.int32), row_key)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "id2", *_PLACE])
 
+    found = _texts(keyed).mapInArrow(rows, f"id long, id2 long, {_PLACE_SCHEMA}")
+    first = found.groupBy("id", "id2").agg(F.min(F.struct(*_PLACE)).alias("first"))
+    return first.select("id", "first.*")
 
-def _split(text: bytes) -> list[list[bytes]]:
-    return [line.split() for line in text.split(b"\n")]
 
+_POSTING = "key long, d long, line_no int, id long, n int, at int, sign long, sign2 long"
+_POSTING_NAMES = [part.split()[0] for part in _POSTING.split(", ")]
 
-def line_sets(keyed: DataFrame, codes: Any) -> DataFrame:
-    """Every distinct token set of a line, at the first line that has it."""
+
+def postings(sets: DataFrame, keyed: DataFrame, codes: Any) -> DataFrame:
+    """A row for each set and token of its prefix, from the texts that hold the sets' lines."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, 2, _TEXT_BYTES):
-            found = [((d, key, k), words) for d, key, text in part for k, words in enumerate(_split(text)) if words]
-            if found:
-                yield _line_batch([p for p, _ in found], [w for _, w in found], codes.value)
+            lines = token_sets([row[2] for row in part], codes.value, [row[3] for row in part])
+            sizes = np.diff(lines.bounds)
+            line = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.arange(len(lines.keys)) - lines.bounds[line]
+            prefix = sizes - -(-NUM * sizes // DEN) + 1
+            # A token counted once in all texts has no partner.
+            pick = (at < prefix[line]) & (lines.keys >> np.uint64(48) > 0)
+            of = line[pick]
+            # Parity of the tokens under each of 64 bits, in long lines of two halves of the
+            # tokens: two signatures differ in no more bits than their sets in tokens.
+            bits = np.uint64(1) << (lines.keys & np.uint64(63))
+            second = (sizes > LONG)[line] & (lines.keys >> np.uint64(6) & np.uint64(1) == 1)
+            signs, signs2 = (
+                np.bitwise_xor.reduceat(np.where(half, bits, np.uint64(0)), lines.bounds[:-1]).view(np.int64)
+                for half in (~second, second)
+            )
+            d = np.array([row[0] for row in part], np.int64)[lines.doc]
+            columns = (
+                lines.keys[pick].view(np.int64),
+                d[of],
+                lines.line_no[of].astype(np.int32),
+                _digests(lines, _ID)[of],
+                sizes[of].astype(np.int32),
+                at[pick].astype(np.int32),
+                signs[of],
+                signs2[of],
+            )
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _POSTING_NAMES)
 
-    lines = _texts(keyed).mapInArrow(rows, _LINE_SCHEMA)
-    first = lines.groupBy("h1", "h2").agg(F.min(F.struct(*_PLACE, "n", "keys", "ats")).alias("first"))
-    return first.select("first.*")
+    return _texts_with(keyed, sets, sets.count()).mapInArrow(rows, _POSTING)
 
 
-def _fits(n: Column, at: Column, m: Column, other_at: Column) -> Column:
-    """Length and positional filter: whether two sets that share a token at these places,
-    with no shared token unseen before it, can still match. Overlap o matches if
-    o / (n + m - o) >= NUM / DEN."""
+def _fits(n: Any, at: Any, m: Any, other_at: Any, low: Callable[[Any, Any], Any]) -> Any:
+    """Length and positional filter: whether two sets that share a token at these places can
+    still match. Overlap o matches if o / (n + m - o) >= NUM / DEN."""
     length = (n * DEN >= m * NUM) & (m * DEN >= n * NUM)
-    most = F.least(at, other_at) + F.least(n - at, m - other_at)
+    most = low(at, other_at) + low(n - at, m - other_at)
     return length & (most * (NUM + DEN) >= (n + m) * NUM)
 
 
+_FOUND = f"hot boolean, s long, t long, more boolean, {_POSTING}"
+
+
+def _likeliest(
+    run: np.ndarray, n: np.ndarray, at: np.ndarray, sign: np.ndarray, sign2: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the earlier row of its run whose signature is nearest, of those that pass
+    all filters (-1: none), and how many pass."""
+    place = np.arange(len(run)) - np.searchsorted(run, run)
+    best, count = np.full(len(run), -1), np.zeros(len(run), np.int64)
+    least = np.full(len(run), 1 << 30)
+    index = np.flatnonzero(place)
+    gap = 1
+    while len(index):
+        other = index - gap
+        good = _fits(n[index], at[index], n[other], at[other], np.minimum)
+        i, j = index[good], other[good]
+        one, two = sign[i] ^ sign[j], sign2[i] ^ sign2[j]
+        apart = np.where(
+            (n[i] > LONG) & (n[j] > LONG),
+            np.bitwise_count(one).astype(np.int64) + np.bitwise_count(two),
+            np.bitwise_count(one ^ two),
+        )
+        near = apart * (NUM + DEN) <= (n[i] + n[j]) * (DEN - NUM)
+        i, j, apart = i[near], j[near], apart[near]
+        count[i] += 1
+        nearer = apart < least[i]
+        best[i[nearer]], least[i[nearer]] = j[nearer], apart[nearer]
+        gap += 1
+        index = index[place[index] >= gap]
+    return best, count
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings sorted by key and place: for each row the earlier row of its key that most
+    likely matches. Rows of keys with more than HOT rows are passed on as they are."""
+    names = [part.split()[0] for part in _FOUND.split(", ")]
+    for table, hot in sorted_runs(batches, 1, HOT):
+        rows = table.num_rows
+        columns = [table.column(k).combine_chunks() for k in range(len(_POSTING_NAMES))]
+        key, ids, n, at = (columns[k].to_numpy() for k in (0, 3, 4, 5))
+        if hot:
+            none = pa.nulls(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([True] * rows), none, none, pa.array([False] * rows), *columns], names
+            )
+            continue
+        run = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+        signs = (columns[k].to_numpy().view(np.uint64) for k in (6, 7))
+        best, count = _likeliest(run, n.astype(np.int64), at.astype(np.int64), *signs)
+        hit = np.flatnonzero(best >= 0)
+        empty = [pa.nulls(len(hit), column.type) for column in columns]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.zeros(len(hit), bool)),
+                pa.array(ids[hit]),
+                pa.array(ids[best[hit]]),
+                pa.array(count[hit] > 1),
+                *empty,
+            ],
+            names,
+        )
+
+
+def _all_earlier(mine: DataFrame, postings: DataFrame) -> DataFrame:
+    """mine (postings named s_*) with every earlier posting of the key that passes the filters."""
+    met = mine.join(postings, mine.s_key == postings.key).where(
+        F.struct("d", "line_no", "id") < F.struct("s_d", "s_line_no", "s_id")
+    )
+    met = met.where(_fits(F.col("s_n"), F.col("s_at"), F.col("n"), F.col("at"), F.least))
+    one, two = (F.col(f"s_{c}").bitwiseXOR(F.col(c)) for c in ("sign", "sign2"))
+    both = (F.col("s_n") > LONG) & (F.col("n") > LONG)
+    apart = F.when(both, F.bit_count(one) + F.bit_count(two)).otherwise(F.bit_count(one.bitwiseXOR(two)))
+    return met.where(apart * (NUM + DEN) <= (F.col("s_n") + F.col("n")) * (DEN - NUM))
+
+
+def _named(postings: DataFrame) -> DataFrame:
+    return postings.select(*[F.col(c).alias(f"s_{c}") for c in postings.columns])
+
+
 def _lists(places: DataFrame, name: str) -> DataFrame:
     """Line numbers by row: as many as the row has lines at most."""
     return places.groupBy("d", "row_key").agg(F.collect_list("line_no").alias(name))
@@ -169,65 +320,68 @@ def _beside(keyed: DataFrame, lists: DataFrame, lines: int, how: str) -> DataFra
     return keyed.join(side, ["d", "row_key"], how)
 
 
-def _verified(pairs: DataFrame, keyed: DataFrame, codes: Any) -> DataFrame:
-    """Places (d, row_key, line_no) of s for the pairs (s, t) whose token sets match."""
+def _texts_with(keyed: DataFrame, places: DataFrame, lines: int) -> DataFrame:
+    """(d, row_key, text, wanted): texts once each, with the numbers of the lines at places."""
+    joined = _beside(_texts(keyed), _lists(places, "wanted"), lines, "inner")
+    return joined.select("d", "row_key", "text", "wanted")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, keyed: DataFrame, codes: Any) -> DataFrame:
+    """The s (as id) of the pairs of sets (s, t) that match by all their tokens."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, 2, _TEXT_BYTES):
-            places, lines = [], []
-            for d, key, text, wanted in part:
-                words = text.split(b"\n")
-                places += [(d, key, k) for k in wanted]
-                lines += [words[k].split() for k in wanted]
-            keys, bounds = token_sets(lines, codes.value)
-            d, key, line_no = zip(*places)
+            lines = token_sets([row[2] for row in part], codes.value, [row[3] for row in part])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(d, pa.int64()),
-                    pa.array(key, pa.int64()),
-                    pa.array(line_no, pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys.view(np.int64))),
+                    pa.array(_digests(lines, _ID)),
+                    pa.ListArray.from_arrays(pa.array(lines.bounds, pa.int32()), pa.array(lines.keys.view(np.int64))),
                 ],
-                [*_PLACE, "tokens"],
+                ["id", "tokens"],
             )
 
-    wanted = written(pairs.select("s.*").unionByName(pairs.select("t.*")).distinct(), "wanted")
-    texts = _texts(_beside(keyed, _lists(wanted, "wanted"), wanted.count(), "inner").dropDuplicates(["d", "row_key"]), "wanted")
-    tokens = written(texts.mapInArrow(rows, f"{_PLACE_SCHEMA}, tokens array<long>"), "tokens")
+    ids = pairs.select(F.col("s").alias("id")).unionByName(pairs.select(F.col("t").alias("id"))).distinct()
+    wanted = written(sets.join(ids, "id", "left_semi"), "wanted")
+    found = _texts_with(keyed, wanted, wanted.count()).mapInArrow(rows, "id long, tokens array<long>")
+    tokens = written(found, "tokens")
     for side in ("s", "t"):
-        named = tokens.select(F.struct(*_PLACE).alias(side), F.col("tokens").alias(f"{side}_tokens"))
-        pairs = pairs.join(named, side)
+        pairs = pairs.join(tokens.select(F.col("id").alias(side), F.col("tokens").alias(f"{side}_tokens")), side)
     shared = F.size(F.array_intersect("s_tokens", "t_tokens"))
     total = F.size("s_tokens") + F.size("t_tokens")
-    return pairs.where(shared * (NUM + DEN) >= total * NUM).select("s.*").distinct()
+    return pairs.where(shared * (NUM + DEN) >= total * NUM).select(F.col("s").alias("id")).distinct()
 
 
 def kept_lines(keyed: DataFrame) -> DataFrame:
-    """Places of the lines with words that have no earlier match."""
+    """Places of the lines with words that have no earlier match; keyed has no row twice."""
     codes = keyed.sparkSession.sparkContext.broadcast(rarity(keyed))
-    sets = written(line_sets(keyed, codes), "sets")
-    postings = sets.select(
-        F.struct(*_PLACE).alias("place"), "n", F.explode(F.arrays_zip("keys", "ats")).alias("token")
-    ).select(F.col("token.keys").alias("key"), "place", "n", F.col("token.ats").alias("at"))
-
-    # Most copies match the first line under one of their rare tokens, so that is tried first:
-    # large groups of near copies are settled by one comparison for each token.
-    first = postings.groupBy("key").agg(F.min(F.struct("place", "n", "at")).alias("first"))
-    tried = postings.join(first, "key").where(F.col("first.place") < F.col("place"))
-    tried = tried.where(_fits(F.col("n"), F.col("at"), F.col("first.n"), F.col("first.at")))
-    tried = written(tried.select(F.col("place").alias("s"), F.col("first.place").alias("t")).distinct(), "tried")
-    settled = written(_verified(tried, keyed, codes), "settled")
-
-    # All others meet every earlier line under a shared token.
-    rest = sets.join(settled, list(_PLACE), "left_anti")
-    mine = rest.select(
-        F.struct(*_PLACE).alias("s"), F.col("n").alias("s_n"), F.explode(F.arrays_zip("keys", "ats")).alias("token")
-    ).select(F.col("token.keys").alias("key"), "s", "s_n", F.col("token.ats").alias("s_at"))
-    met = mine.join(postings, "key").where(F.col("place") < F.col("s"))
-    met = met.where(_fits(F.col("s_n"), F.col("s_at"), F.col("n"), F.col("at"))).select("s", F.col("place").alias("t")).distinct()
-    met = written(met.join(tried, ["s", "t"], "left_anti"), "met")
-    matched = settled.unionByName(_verified(met, keyed, codes))
-    return written(sets.select(*_PLACE).join(matched, list(_PLACE), "left_anti"), "kept")
+    sets = written(first_lines(keyed, codes), "sets")
+    rows = postings(sets, keyed, codes)
+    dealt = rows.repartition("key").sortWithinPartitions("key", "d", "line_no", "id")
+    swept = written(dealt.mapInArrow(_sweep, _FOUND), "swept")
+
+    # One likely partner under each token settles most sets, also in large groups of near
+    # copies. Very frequent keys: the same question to a join whose large groups Spark splits.
+    hot = swept.where("hot").select(*_POSTING_NAMES)
+    met = _all_earlier(_named(hot), hot).groupBy(F.col("s_id").alias("s")).agg(
+        F.min(F.struct("d", "line_no", "id")).alias("first"), F.count("*").alias("n")
+    )
+    tried = swept.where("not hot").select("s", "t", "more").unionByName(
+        met.select("s", F.col("first.id").alias("t"), (F.col("n") > 1).alias("more"))
+    )
+    tried = written(tried.groupBy("s", "t").agg(F.max("more").alias("more")), "tried")
+    settled = written(_verified(tried.select("s", "t"), sets, keyed, codes), "settled")
+
+    # Sets whose likeliest partner under every key fails, and that have more, meet all others.
+    open_ids = tried.where("more").select(F.col("s").alias("id")).distinct().join(settled, "id", "left_anti")
+    open_ids = written(open_ids, "open")
+    number = open_ids.count()
+    if number:
+        mine = _named(postings(written(sets.join(open_ids, "id", "left_semi"), "open-sets"), keyed, codes))
+        mine = F.broadcast(mine) if number <= BROADCAST_SETS else mine
+        rest = _all_earlier(mine, rows).select(F.col("s_id").alias("s"), F.col("id").alias("t")).distinct()
+        rest = written(rest.join(tried, ["s", "t"], "left_anti"), "rest")
+        settled = settled.unionByName(_verified(rest, sets, keyed, codes))
+    return written(sets.join(settled, "id", "left_anti").select(*_PLACE), "kept")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -235,19 +389,17 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Lines are parts between line feeds, tokens their parts between ASCII white space. Two
     lines match if their token sets have Jaccard similarity NUM / DEN or more. A line goes if
-    any earlier line of the table matches it, in the order of doc_id (null first), then place
-    in the text; whether that line stays itself doesn't matter. Lines without tokens stay.
+    any earlier line of the table matches it, in the order of doc_id (null first), then line
+    number; whether that line stays itself doesn't matter. Lines without tokens stay.
     Rows alike in doc_id and text are one document: they lose the same lines. Null texts stay
     null with 0 lines. Columns named n_lines or n_removed are replaced.
     """
-    docs = docs.drop("n_lines", "n_removed")
-    clear = {name: f"own_{k}" for k, name in enumerate(docs.columns) if name in ("d", "row_key", "kept", "found")}
-    renamed = docs.withColumnsRenamed(clear)
-    keyed = _keyed(renamed)
-    kept = kept_lines(keyed)
+    docs, back = set_aside(docs.drop("n_lines", "n_removed"), "d", "row_key", "kept")
+    keyed = _keyed(docs)
+    kept = kept_lines(_once(keyed.select("d", "row_key", "text")))
     joined = _beside(keyed, _lists(kept, "kept"), kept.count(), "left").drop("d", "row_key")
     at, last = joined.columns.index("text"), len(joined.columns) - 1
-    schema = joined.drop("kept").schema.simpleString()[len("struct<") : -1] + ",n_lines:int,n_removed:int"
+    schema = with_fields(joined.drop("kept"), ("n_lines", T.IntegerType()), ("n_removed", T.IntegerType()))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,12 +415,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:last], "n_lines", "n_removed"])
 
-    return joined.mapInArrow(rows, schema).withColumnsRenamed({v: k for k, v in clear.items()})
+    return joined.mapInArrow(rows, schema).withColumnsRenamed(back)
 
 
 def without_copied_lines(docs: DataFrame) -> DataFrame:
     """The rows and columns of docs with text deduplicated, less those that lost every line
     with words to earlier ones."""
+    docs, back = set_aside(docs, "n_lines", "n_removed")
     found = dedup_lines(docs)
     emptied = (F.col("n_removed") > 0) & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    return found.where(~emptied).select(docs.columns)
+    return found.where(~emptied).select(docs.columns).withColumnsRenamed(back)
