@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldeval.llm.common import components, records, utf8, written
+from fieldeval.llm.common import components, records, sorted_runs, utf8, written
 
 SEED = 42
 #: Bits masked in turn. Two fingerprints that differ in 3 bits differ in at most 2 outside
@@ -79,36 +79,14 @@ def _variants(fps: DataFrame) -> DataFrame:
     ).select(F.col("block").cast("byte").alias("block"), F.explode("keys").alias("key"), "fp")
 
 
-def _masks() -> tuple[np.ndarray, np.ndarray]:
-    inside = np.array([sum(1 << b for b in range(low, high)) for low, high in BLOCKS], np.uint64)
-    return inside, ~inside
+def _outside() -> np.ndarray:
+    return ~np.array([sum(1 << b for b in range(low, high)) for low, high in BLOCKS], np.uint64)
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Tables that end where the first `keys` columns change; rows come sorted by them."""
-    held: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        table = table if held is None else pa.concat_tables([held, table])
-        changed = np.zeros(table.num_rows, bool)
-        for k in range(keys):
-            column = table.column(k).to_numpy()
-            changed[1:] |= column[1:] != column[:-1]
-        ends = np.flatnonzero(changed)
-        cut = int(ends[-1]) if len(ends) else 0
-        if cut:
-            yield table.slice(0, cut)
-        held = table.slice(cut)
-    if held is not None and held.num_rows:
-        yield held
-
-
 _LINKS = "kind byte, u long, v long, block byte"
 
 
@@ -117,26 +95,21 @@ def _link_rows(kind: int, u: np.ndarray, v: np.ndarray, block: np.ndarray) -> pa
     return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["kind", "u", "v", "block"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verified(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Links (kind 0) inside small buckets; rows of large ones (kind 1: key, fp) are passed on."""
-    inside, outside = _masks()
-    for table in _runs(batches, 2):
+    outside = _outside()
+    for table, large in sorted_runs(batches, 2, most):
         block = table.column(0).to_numpy()
         key = table.column(1).to_numpy().view(np.uint64)
         fp = table.column(2).to_numpy().view(np.uint64)
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
-        starts = np.flatnonzero(new)
-        sizes = np.diff(np.append(starts, len(key)))
-        size = np.repeat(sizes, sizes)
-        large = size > PAIRWISE
-        if large.any():
-            yield _link_rows(1, key[large], fp[large], block[large])
-        bucket = np.repeat(np.arange(len(starts)), sizes)
-        rest = (size > 1) & ~large
-        bucket, key, fp, block = bucket[rest], key[rest], fp[rest], block[rest]
+        if large:
+            yield _link_rows(1, key, fp, block)
+            continue
+        bucket = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (block[1:] != block[:-1]))])
+        shared = np.bincount(bucket)[bucket] > 1
+        bucket, key, fp, block = bucket[shared], key[shared], fp[shared], block[shared]
         centre = ((fp ^ key) & outside[block]) == 0
-        for gap in range(1, min(PAIRWISE, len(fp))):
+        for gap in range(1, min(most, len(fp))):
             same = bucket[gap:] == bucket[:-gap]
             if not same.any():
                 break
@@ -154,7 +127,7 @@ def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     outside the block they differ by two flips at most, inside only in the wild bit; rows at
     the bucket's centre, equal outside, also get every flip inside beside the wild bit.
     """
-    _, outside = _masks()
+    outside = _outside()
     for batch in batches:
         for key, fp, block in records(iter([batch])):
             low, high = BLOCKS[block]
@@ -179,7 +152,8 @@ def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every row under one key linked with the first row under it."""
-    for table in _runs(batches, 4):
+    # No key has more than flips outside times two rows, so none is hot.
+    for table, _ in sorted_runs(batches, 4, 1 << 20):
         columns = [table.column(k).to_numpy() for k in range(4)]
         fp = table.column(4).to_numpy()
         new = np.ones(len(fp), bool)
@@ -200,7 +174,7 @@ def links(fps: DataFrame) -> DataFrame:
     the first row under a key stands for the pairs.
     """
     spread = _variants(fps).repartition("key").sortWithinPartitions("block", "key", "fp")
-    found = written(spread.mapInArrow(_verified, _LINKS), "buckets")
+    found = written(spread.mapInArrow(partial(_verified, most=PAIRWISE), _LINKS), "buckets")
     large = found.where("kind = 1").select(F.col("u").alias("key"), F.col("v").alias("fp"), "block")
     finer = large.mapInArrow(_finer, "key long, block byte, wild byte, form int, fp long")
     finer = finer.repartition("key", "block", "wild", "form").sortWithinPartitions("key", "block", "wild", "form", "fp")
@@ -237,17 +211,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     with the columns of docs. Of rows alike in doc_id and text one stays."""
     found = written(classes(docs), "classes")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
-    winners = found.groupBy("root").agg(F.min(order).alias("best")).select(
-        F.col("best.doc_id").alias("best_id"), F.col("best.text_key").alias("best_key")
-    )
-    winners = written(winners, "winners")
+    best = found.groupBy("root").agg(F.min(order).alias("best"))
+    winners = written(best.select(F.col("best.doc_id").alias("id"), F.col("best.text_key").alias("key")), "winners")
     repeated = found.groupBy("doc_id", "text_key").count().where("count > 1")
-    repeated = written(repeated.select(F.col("doc_id").alias("best_id"), F.col("text_key").alias("best_key")), "repeated")
-    side = F.broadcast(winners) if winners.count() <= BROADCAST_IDS else winners
-    same = docs["doc_id"].eqNullSafe(F.col("best_id")) & (F.xxhash64(docs["text"]) == F.col("best_key"))
-    kept = docs.join(side, same, "left_semi")
+    repeated = written(repeated.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")), "repeated")
+
+    def of(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+        same = docs["doc_id"].eqNullSafe(rows["id"]) & (F.xxhash64(docs["text"]) == rows["key"])
+        return docs.join(rows, same, how)
+
+    kept = of(docs, F.broadcast(winners) if winners.count() <= BROADCAST_IDS else winners, "left_semi")
     if repeated.isEmpty():
         return kept
-    same = kept["doc_id"].eqNullSafe(F.col("best_id")) & (F.xxhash64(kept["text"]) == F.col("best_key"))
-    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, same, "left_anti").unionByName(once)
+    once = of(kept, repeated, "left_semi").dropDuplicates(["doc_id", "text"])
+    return of(kept, repeated, "left_anti").unionByName(once)
