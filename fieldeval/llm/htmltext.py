@@ -11,13 +11,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fieldeval.llm.common import chunks, records, written
+from fieldeval.llm.common import chunks, records, with_fields, written
 
 #: A class is part of a host's template if its tokens stand on this share of the host's
-#: different pages, on so many pages and in so many tokens at least.
-SUPPORT = 0.9
-LEAST_PAGES = 4
+#: different pages, on so many pages and in so many tokens at least. On fewer pages text that
+#: all share may be a copied article as well as a template, and stays.
+SUPPORT = 0.95
+LEAST_PAGES = 20
 LEAST_TOKENS = 2
 #: Templates of so many tokens are broadcast; larger ones are joined with salted hosts.
 BROADCAST_TOKENS = 500_000
@@ -276,5 +278,5 @@ def extract(pages: DataFrame) -> DataFrame:
                 ["page_id", "url", "text", "n_chars"],
             )
 
-    schema = pages.select("page_id", "url").schema.simpleString()[len("struct<") : -1] + ",text:string,n_chars:long"
+    schema = with_fields(pages.select("page_id", "url"), ("text", T.StringType()), ("n_chars", T.LongType()))
     return joined.select("page_id", "url", "html", "tokens", "classes").mapInArrow(rows, schema)

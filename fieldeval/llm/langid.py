@@ -10,8 +10,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fieldeval.llm.common import records
+from fieldeval.llm.common import records, set_aside, with_fields
 
 UNDETERMINED = "und"
 WINDOW = 256
@@ -212,13 +213,14 @@ def predict(texts: list[str | None], net: ByteConvNet | None) -> list[tuple[str,
     return out
 
 
-def identify(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
-    """All rows and columns of docs with lang_pred and score beside them (columns of those
-    names are replaced). Null texts and texts without a letter are `und` with score 0, and
-    so is everything where nothing was learnt. Ties go to the first language in order.
+def identify(docs: DataFrame, net: ByteConvNet | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All rows and columns of docs with language and score beside them under `names`
+    (columns of those names are replaced). Null texts and texts without a letter are `und`
+    with score 0, and so is everything where nothing was learnt. Ties go to the first
+    language in order.
     """
-    docs = docs.drop("lang_pred", "score")
-    schema = docs.schema.simpleString()[len("struct<") : -1] + ",lang_pred:string,score:double"
+    docs = docs.drop(*names)
+    schema = with_fields(docs, (names[0], T.StringType()), (names[1], T.DoubleType()))
     at = docs.columns.index("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +234,7 @@ def identify(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
                         pa.array([lang for lang, _ in found], pa.string()),
                         pa.array([score for _, score in found], pa.float64()),
                     ],
-                    [*part.schema.names, "lang_pred", "score"],
+                    [*part.schema.names, *names],
                 )
 
     return docs.mapInArrow(rows, schema)
@@ -240,5 +242,8 @@ def identify(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
 
 def kept_languages(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """The documents whose language is found with a score of at least `least`, unchanged."""
-    net = train(docs)
-    return identify(docs, net).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(docs.columns)
+    names = ("found_language", "found_score")
+    docs, back = set_aside(docs, *names)
+    found = identify(docs, train(docs), names)
+    kept = found.where((F.col(names[0]) != UNDETERMINED) & (F.col(names[1]) >= least))
+    return kept.select(docs.columns).withColumnsRenamed(back)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldeval.llm.common import written
+from fieldeval.llm.common import set_aside, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix"
@@ -31,7 +31,7 @@ def _ranked(sources: DataFrame) -> DataFrame:
         sources.withColumn("last", F.col("source").isNull()).orderBy("last", "source").withColumn("part", F.spark_partition_id()),
         "sources",
     )
-    place = F.row_number().over(_window("part", "last", "source"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("last", "source"))
     before = ordered.groupBy("part").count().collect()  # one row for each sorted range
     offset, run = {}, 0
     for row in sorted(before, key=lambda r: r["part"]):
@@ -42,12 +42,6 @@ def _ranked(sources: DataFrame) -> DataFrame:
     return ordered.withColumn("number", (start + place - 1).cast("long"))
 
 
-def _window(part: str, *order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(part).orderBy(*order)
-
-
 def targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size, target) from rows (source, size).
 
@@ -84,7 +78,7 @@ def with_copies(docs: DataFrame) -> DataFrame:
     document's draw is below the fraction. A source without words has rate 0. Every row is
     decided by its doc_id alone; repeated rows repeat, an empty table stays empty.
     """
-    docs = docs.drop("size", "source_size", "target", "copies", "rate").withColumn("size", word_count())
+    docs = docs.drop("size", "source_size", "target", "copies", "rate", "aim").withColumn("size", word_count())
     aims = written(targets(docs.select("source", "size")), "targets")
     if aims.count() <= BROADCAST_SOURCES:
         side = F.broadcast(aims.withColumnRenamed("source", "aim"))
@@ -105,9 +99,11 @@ def shares(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it."""
-    repeated = with_copies(docs).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select(docs.columns)
+    """The rows and columns of docs, each row as often as the mix takes it."""
+    docs, back = set_aside(docs, "size", "source_size", "target", "copies", "rate", "aim", "copy")
+    taken = with_copies(docs).where("copies > 0")
+    repeated = taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return repeated.select(docs.columns).withColumnsRenamed(back)
 
 
 #: DuckDB: rows of `shares`.

@@ -98,6 +98,9 @@ def distinct_vectors(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     sound = vectors.select(F.col("vec_id").cast("long"), "embedding").where(
         F.col("vec_id").isNotNull() & finite("embedding") & F.exists("embedding", lambda x: x != 0)
     )
+    lengths = sound.groupBy(F.size("embedding").alias("length")).count().orderBy(F.desc("count"), F.desc("length"))
+    usual = lengths.first()
+    sound = sound.where(F.size("embedding") == (usual["length"] if usual else 0))
     order = Window.partitionBy("embedding").orderBy("vec_id")
     members = sound.distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
     members = written(members, "members")
@@ -178,7 +181,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     smaller vec_id, rows of the query's own vec_id are left out. Equal vectors share a node,
     so many of them neither crowd the graph nor get lost. Null ids, null or zero vectors and
     those with null or non-finite components take no part; rows alike in id and vector count
-    once; all vectors have one length. An empty table gives no rows.
+    once. Vectors of another length than most have take no part. An empty table gives no rows.
     """
     nodes, members = distinct_vectors(vectors, k)
     graph = build(nodes)
