@@ -21,6 +21,8 @@ HEADLINE = (
     "model_accuracy",
     "document_accuracy",
     "truth_match_report",
+    "document_evaluation_wide",
+    "readiness",
     "field_rates",
     "extraction_capability",
     "parse_responses",
@@ -52,6 +54,9 @@ class StoredInputs(Inputs):
     def truth(self) -> DataFrame:
         return self._stored("truth")
 
+    def requested(self) -> DataFrame:
+        return Inputs.requested(self)
+
     def results(self) -> DataFrame:
         return self._stored("results")
 
@@ -62,6 +67,10 @@ class StoredInputs(Inputs):
         return self._stored(name) if name == "documents" else super().table(name)
 
 
+def cpus_are_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local[")
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -78,8 +87,11 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    store = tempfile.mkdtemp(prefix="spark-") if shared is None else f"{shared}/bench-{time.time_ns()}"
+    # On a cluster this must be a folder that all executors share.
+    shared = os.environ.get("BENCH_STORE") or spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not cpus_are_local(spark):
+        raise SystemExit("set BENCH_STORE or spark.checkpoint.dir to a shared folder")
+    store = f"{shared or tempfile.mkdtemp(prefix='spark-')}/bench-{time.time_ns()}"
     start = time.time()
     inputs = StoredInputs(spark, sf_dir, f"{store}/inputs", 2 * cores)
     seconds = {"prepare_inputs": round(time.time() - start, 3)}

@@ -276,6 +276,30 @@ def readiness(
     )
 
 
+def readiness_of(
+    scored: DataFrame,
+    spec: FieldSpec,
+    min_accuracy: float = 0.80,
+    min_perfect: float = 0.30,
+    min_fields: int = 15,
+    field_level: float = 0.90,
+    gate: float = 0.85,
+) -> DataFrame:
+    """The same checks from ``score_documents`` rows: one pass, one aggregate per model."""
+    places = [i - 1 for i, _, _ in spec.items()]
+    mean = F.aggregate("scores", F.lit(0.0), lambda acc, s: acc + s["score"]) / F.size("scores")
+    fields = [F.col("scores")[i]["score"].alias(f"f{i}") for i in places]
+    per = scored.select("model", F.round(mean, PLACES).alias("mean"), *fields)
+    strong = sum((F.round(F.avg(f"f{i}"), PLACES) >= field_level).cast("int") for i in places)
+    overall = F.round(F.avg("mean"), PLACES)
+    return per.groupBy("model").agg(
+        (overall >= min_accuracy).alias("accuracy_ok"),
+        (ratio(count_if(F.col("mean") >= 0.99), F.count(F.lit(1))) >= min_perfect).alias("perfect_ok"),
+        (strong >= min_fields).alias("fields_ok"),
+        (overall >= gate).alias("gate_ok"),
+    )
+
+
 def accuracy_by_type(
     doc_accuracy: DataFrame, truth: DataFrame, type_field: str = "DOCUMENT_TYPE", key: str = "doc_id"
 ) -> DataFrame:

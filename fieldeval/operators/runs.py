@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldeval.functions.base import count_if, ratio
-from fieldeval.operators.skew import join_spread
 
 MIN_SNAPSHOTS = 3
 
@@ -122,11 +121,12 @@ def resource_peaks(snapshots: DataFrame) -> DataFrame:
 def resource_timeline(snapshots: DataFrame) -> DataFrame:
     """Seconds since the run's first snapshot.
 
-    The start is aggregated on the map side and joined back, with hot runs salted, so a run
-    with very many snapshots is never gathered in one task as a window over it would.
+    The start is aggregated on the map side and joined back: one row per run, which Spark
+    broadcasts by its size, or whose partner rows adaptive execution splits. A run with very
+    many snapshots is never gathered in one task as a window over it would.
     """
     start = snapshots.groupBy("run_id").agg(F.min("ts").alias("start_ts"))
-    return join_spread(snapshots, start, "run_id").select(
+    return snapshots.join(start, "run_id").select(
         "run_id",
         "ts",
         (F.col("ts") - F.col("start_ts")).alias("elapsed_s"),

@@ -1,12 +1,11 @@
-"""Equi-join that stays balanced when one key holds a large share of the rows."""
+"""Equi-join that stays balanced when one key of user data fills many rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 0.01
-BUCKETS = 32
+ROWS_PER_BUCKET = 250_000
 
 
 def join_spread(
@@ -14,36 +13,28 @@ def join_spread(
     unique: DataFrame,
     key: str,
     how: str = "inner",
-    hot_share: float = HOT_SHARE,
-    buckets: int = BUCKETS,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Join ``many`` rows to a table with one row per key, salting only the hot keys.
+    """Join ``many`` rows to a table with one row per key, dealing each key's rows to as many
+    buckets as its count needs.
 
-    Keys holding more than ``hot_share`` of the rows are found by a count that reads the key
-    column alone. There are fewer than 1 / hot_share of them, so that list, and only it, is
-    broadcast. Their rows are spread over ``buckets`` by a hash of the row and its input
-    partition, and their single partner row is repeated per bucket; every other row joins
-    with salt 0. Select the needed columns first: all columns of ``many`` enter the hash.
+    The count reads the key column alone; a key with fewer rows than a bucket holds has one
+    bucket. The partner row is repeated for each bucket, so what is added is one row for each
+    ``rows_per_bucket`` rows. Use it where keys are data that may repeat without bound; a key
+    with few rows by contract needs a plain join.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type {how!r}")
     counts = many.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n")).scalar()
-    hot = F.broadcast(
-        counts.where(F.col("__n") > total * hot_share).select(key, F.lit(True).alias("__hot"))
+    hot = counts.where(F.col("__n") > rows_per_bucket).select(
+        key, F.ceil(F.col("__n") / rows_per_bucket).cast("int").alias("__buckets")
     )
-    content = [
-        F.map_values(c) if t.startswith("map") else F.col(c) for c, t in many.dtypes
-    ]
+    content = [F.map_values(c) if t.startswith("map") else F.col(c) for c, t in many.dtypes]
     # The partition number tells equal copies of a row apart, and a task that is run again
     # after a lost executor computes the same one.
-    bucket = F.pmod(F.xxhash64(*content, F.spark_partition_id()), F.lit(buckets)).cast("int")
-    left = many.join(hot, key, "left").withColumn(
-        "__salt", F.when(F.col("__hot"), bucket).otherwise(F.lit(0))
-    )
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    right = unique.join(hot, key, "left").withColumn("__salt", F.explode(copies))
-    joined = left.drop("__hot").join(right.drop("__hot"), [key, "__salt"], how)
+    spread = F.pmod(F.xxhash64(*content, F.spark_partition_id()), F.col("__buckets")).cast("int")
+    left = many.join(hot, key, "left").withColumn("__salt", F.coalesce(spread, F.lit(0)))
+    last = F.coalesce(F.col("__buckets") - 1, F.lit(0))
+    right = unique.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), last)))
+    joined = left.drop("__buckets").join(right.drop("__buckets"), [key, "__salt"], how)
     return joined.drop("__salt")

@@ -828,7 +828,8 @@ g AS (SELECT model, count(*) FILTER (accuracy >= 0.9) AS strong FROM field_acc G
 SELECT model, round(a, 8) >= 0.6 AS accuracy_ok, perfect >= 0.3 AS perfect_ok, strong >= 15 AS fields_ok, round(a, 8) >= 0.85 AS gate_ok FROM q JOIN g USING (model)""",
 )
 def _(i):
-    return accuracy.readiness(accuracy.quality_distribution(_doc_eval(i)), _field_acc(i), min_accuracy=0.6)
+    scored = align.score_documents(i.results().where("successful"), i.truth(), DEFAULT_SPEC)
+    return accuracy.readiness_of(scored, DEFAULT_SPEC, min_accuracy=0.6)
 
 
 @query(

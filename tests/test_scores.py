@@ -52,7 +52,7 @@ def test_array_and_long_scores_agree(spark):
 def test_hot_key_is_spread_and_complete(spark):
     many = spark.range(3000).select(F.when(F.col("id") < 1000, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("key"), "id")
     unique = many.select("key").distinct().withColumn("v", F.length("key"))
-    joined = join_spread(many, unique, "key", buckets=8)
+    joined = join_spread(many, unique, "key", rows_per_bucket=30)
     plain = many.join(unique, "key")
     assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, plain.collect()))
     left = join_spread(many, unique.where("key <> 'hot'"), "key", "left")
