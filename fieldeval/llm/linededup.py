@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import pairwise
 from typing import Any, NamedTuple
 
@@ -26,8 +27,10 @@ BROADCAST_LINES = 4_000_000
 BROADCAST_SETS = 50_000
 #: Lines of more distinct tokens have a signature of twice the bits.
 LONG = 96
-#: Rows under one token that are compared in one task; those of others are joined.
-HOT = 2048
+#: Rows under one token that are compared in one task; more are joined.
+HOT = 16_384
+#: Partners of a line under one token that are all tried where none is likely.
+FEW = 16
 _TEXT_BYTES = 1 << 20
 _NO_ID = -(1 << 63)
 _PLACE = ("d", "line_no", "row_key")
@@ -85,11 +88,15 @@ def _texts(keyed: DataFrame, *more: str) -> DataFrame:
     return keyed.where("text is not null").select("d", "row_key", F.col("text").cast("binary").alias("text"), *more)
 
 
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(SLOTS, np.int64)
     for rows in chunks(batches, 0, _TEXT_BYTES):
         hashes, _ = word_hashes(np.frombuffer(b"\n".join(text for (text,) in rows), np.uint8))
-        np.add.at(counts, (hashes % np.uint64(SLOTS)).astype(np.int64), 1)
+        np.add.at(counts, _slots(hashes), 1)
     yield from _blocks(enumerate(counts.reshape(-1, _BLOCK)))
 
 
@@ -125,34 +132,41 @@ def rarity(docs: DataFrame) -> np.ndarray:
 class Lines(NamedTuple):
     """Lines with words: line k is line_no[k] of text doc[k], and its distinct tokens, rarest
     first, are keys[bounds[k]:bounds[k + 1]]. A key is a rarity code and 48 bits of the
-    token's hash, so keys are the order as well."""
+    token's hash, so keys are the order as well. ids are those of the wanted lines."""
 
     doc: np.ndarray
     line_no: np.ndarray
+    ids: np.ndarray
     keys: np.ndarray
     bounds: np.ndarray
 
 
-def token_sets(texts: list[bytes], codes: np.ndarray, wanted: list[list[int]] | None = None) -> Lines:
-    """All lines with words, or the wanted ones, of some texts."""
+def token_sets(texts: list[bytes], codes: np.ndarray, wanted: list[list[dict[str, int]]] | None = None) -> Lines:
+    """All lines with words, or the wanted ones (line_no, id), of some texts."""
     data = np.frombuffer(b"\n".join(texts), np.uint8)
     hashes, starts = word_hashes(data)
-    line = np.searchsorted(np.flatnonzero(data == 10), starts)
+    line = np.cumsum(data == 10)[starts]
     number = np.array([text.count(b"\n") + 1 for text in texts])
     first = np.cumsum(number) - number
+    ids = np.zeros(int(number.sum()), np.int64)
     if wanted is not None:
-        held = np.zeros(int(number.sum()), bool)
-        held[np.concatenate([low + np.array(w, np.int64) for low, w in zip(first, wanted)])] = True
+        held = np.zeros(len(ids), bool)
+        at = np.array([low + w["line_no"] for low, some in zip(first.tolist(), wanted) for w in some], np.int64)
+        held[at] = True
+        ids[at] = [w["id"] for some in wanted for w in some]
         hashes, line = hashes[held[line]], line[held[line]]
-    keys = (codes[(hashes % np.uint64(SLOTS)).astype(np.int64)].astype(np.uint64) << np.uint64(48)) | (hashes >> np.uint64(16))
-    lines, low = np.unique(line, return_index=True)
+    keys = (codes[_slots(hashes)].astype(np.uint64) << np.uint64(48)) | (hashes >> np.uint64(16))
+    fresh = np.ones(len(line), bool)
+    fresh[1:] = line[1:] != line[:-1]
+    low = np.flatnonzero(fresh)
     for a, b in pairwise([*low.tolist(), len(line)]):
         keys[a:b].sort()
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (line[1:] != line[:-1])
-    bounds = np.concatenate([[0], np.cumsum(np.add.reduceat(new, low, dtype=np.int64))]) if len(lines) else np.zeros(1, np.int64)
+    new = fresh.copy()
+    new[1:] |= keys[1:] != keys[:-1]
+    bounds = np.concatenate([[0], np.cumsum(np.add.reduceat(new, low, dtype=np.int64) if len(low) else low)])
+    lines = line[low]
     doc = np.searchsorted(first, lines, side="right") - 1
-    return Lines(doc, lines - first[doc], keys[new], bounds)
+    return Lines(doc, lines - first[doc], ids[lines], keys[new], bounds)
 
 
 def _digests(lines: Lines, factor: int) -> np.ndarray:
@@ -160,11 +174,8 @@ def _digests(lines: Lines, factor: int) -> np.ndarray:
     return np.add.reduceat(_mixed(lines.keys, factor), lines.bounds[:-1]).view(np.int64)
 
 
-_ID, _ID2 = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
-
-
 def first_lines(keyed: DataFrame, codes: Any) -> DataFrame:
-    """The first line of every distinct token set."""
+    """The first line of every distinct token set; ids ascend with the place."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, 2, _TEXT_BYTES):
@@ -172,15 +183,16 @@ def first_lines(keyed: DataFrame, codes: Any) -> DataFrame:
             if not len(lines.doc):
                 continue
             d, row_key = (np.array([row[k] for row in part], np.int64)[lines.doc] for k in (0, 1))
-            columns = (_digests(lines, _ID), _digests(lines, _ID2), d, lines.line_no.astype(np.int32), row_key)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "id2", *_PLACE])
+            digests = (_digests(lines, factor) for factor in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+            columns = (*digests, d, lines.line_no.astype(np.int32), row_key)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", *_PLACE])
 
-    found = _texts(keyed).mapInArrow(rows, f"id long, id2 long, {_PLACE_SCHEMA}")
-    first = found.groupBy("id", "id2").agg(F.min(F.struct(*_PLACE)).alias("first"))
-    return first.select("id", "first.*")
+    found = _texts(keyed).mapInArrow(rows, f"h1 long, h2 long, {_PLACE_SCHEMA}")
+    first = found.groupBy("h1", "h2").agg(F.min(F.struct(*_PLACE)).alias("first")).select("first.*")
+    return written(first.orderBy(*_PLACE).withColumn("id", F.monotonically_increasing_id()), "sets")
 
 
-_POSTING = "key long, d long, line_no int, id long, n int, at int, sign long, sign2 long"
+_POSTING = "key long, id long, n int, at int, sign long, sign2 long"
 _POSTING_NAMES = [part.split()[0] for part in _POSTING.split(", ")]
 
 
@@ -201,24 +213,20 @@ def postings(sets: DataFrame, keyed: DataFrame, codes: Any) -> DataFrame:
             # tokens: two signatures differ in no more bits than their sets in tokens.
             bits = np.uint64(1) << (lines.keys & np.uint64(63))
             second = (sizes > LONG)[line] & (lines.keys >> np.uint64(6) & np.uint64(1) == 1)
-            signs, signs2 = (
+            signs = (
                 np.bitwise_xor.reduceat(np.where(half, bits, np.uint64(0)), lines.bounds[:-1]).view(np.int64)
                 for half in (~second, second)
             )
-            d = np.array([row[0] for row in part], np.int64)[lines.doc]
             columns = (
                 lines.keys[pick].view(np.int64),
-                d[of],
-                lines.line_no[of].astype(np.int32),
-                _digests(lines, _ID)[of],
+                lines.ids[of],
                 sizes[of].astype(np.int32),
                 at[pick].astype(np.int32),
-                signs[of],
-                signs2[of],
+                *(sign[of] for sign in signs),
             )
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _POSTING_NAMES)
 
-    return _texts_with(keyed, sets, sets.count()).mapInArrow(rows, _POSTING)
+    return _texts_with(keyed, sets).mapInArrow(rows, _POSTING)
 
 
 def _fits(n: Any, at: Any, m: Any, other_at: Any, low: Callable[[Any, Any], Any]) -> Any:
@@ -229,17 +237,34 @@ def _fits(n: Any, at: Any, m: Any, other_at: Any, low: Callable[[Any, Any], Any]
     return length & (most * (NUM + DEN) >= (n + m) * NUM)
 
 
-_FOUND = f"hot boolean, s long, t long, more boolean, {_POSTING}"
+#: hot: 0 for a pair (s, t), else a posting of a frequent key; 2 if it has no likely partner.
+_FOUND = f"hot byte, s long, t long, more boolean, {_POSTING}"
+_FOUND_NAMES = [part.split()[0] for part in _FOUND.split(", ")]
+
 
+class Partners(NamedTuple):
+    """Pairs (row, earlier row) that may match, whether the row has more of them, and which
+    rows have a likely partner."""
 
-def _likeliest(
-    run: np.ndarray, n: np.ndarray, at: np.ndarray, sign: np.ndarray, sign2: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the earlier row of its run whose signature is nearest, of those that pass
-    all filters (-1: none), and how many pass."""
+    row: np.ndarray
+    other: np.ndarray
+    more: np.ndarray
+    likely: np.ndarray
+
+
+def partners(
+    run: np.ndarray, n: np.ndarray, at: np.ndarray, sign: np.ndarray, sign2: np.ndarray, few: int, long: int
+) -> Partners:
+    """Earlier rows of the same run that pass all filters.
+
+    A row whose signature differs from one by half the tokens that a match may differ in, or
+    less, takes that one and looks no further. Else it takes all if they are `few` or fewer,
+    or the nearest.
+    """
     place = np.arange(len(run)) - np.searchsorted(run, run)
-    best, count = np.full(len(run), -1), np.zeros(len(run), np.int64)
-    least = np.full(len(run), 1 << 30)
+    best, count, least = np.full(len(run), -1), np.zeros(len(run), np.int64), np.full(len(run), 1 << 30)
+    likely = np.zeros(len(run), bool)
+    met: list[tuple[np.ndarray, np.ndarray]] = []
     index = np.flatnonzero(place)
     gap = 1
     while len(index):
@@ -248,56 +273,56 @@ def _likeliest(
         i, j = index[good], other[good]
         one, two = sign[i] ^ sign[j], sign2[i] ^ sign2[j]
         apart = np.where(
-            (n[i] > LONG) & (n[j] > LONG),
+            (n[i] > long) & (n[j] > long),
             np.bitwise_count(one).astype(np.int64) + np.bitwise_count(two),
             np.bitwise_count(one ^ two),
         )
-        near = apart * (NUM + DEN) <= (n[i] + n[j]) * (DEN - NUM)
-        i, j, apart = i[near], j[near], apart[near]
-        count[i] += 1
-        nearer = apart < least[i]
-        best[i[nearer]], least[i[nearer]] = j[nearer], apart[nearer]
+        room = (n[i] + n[j]) * (DEN - NUM) - apart * (NUM + DEN)
+        near = room >= 0
+        i, j, apart, room = i[near], j[near], apart[near], room[near]
+        if len(i):
+            count[i] += 1
+            nearer = apart < least[i]
+            best[i[nearer]], least[i[nearer]] = j[nearer], apart[nearer]
+            likely[i] |= room >= apart * (NUM + DEN)
+            kept = count[i] <= few
+            met.append((i[kept], j[kept]))
+            index = index[~likely[index]]
         gap += 1
         index = index[place[index] >= gap]
-    return best, count
-
-
-def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings sorted by key and place: for each row the earlier row of its key that most
-    likely matches. Rows of keys with more than HOT rows are passed on as they are."""
-    names = [part.split()[0] for part in _FOUND.split(", ")]
-    for table, hot in sorted_runs(batches, 1, HOT):
-        rows = table.num_rows
+    some = (best >= 0) & (likely | (count > few))
+    row = np.flatnonzero(some)
+    i, j = (np.concatenate(x) for x in zip(*met)) if met else (row[:0], row[:0])
+    i, j = i[~some[i]], j[~some[i]]
+    more = np.concatenate([np.ones(len(row), bool), np.zeros(len(i), bool)])
+    return Partners(np.concatenate([row, i]), np.concatenate([best[row], j]), more, likely)
+
+
+def _sweep(batches: Iterator[pa.RecordBatch], most: int, few: int, long: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that may match from postings sorted by key and id. Rows of keys with more than
+    `most` rows are compared within the pieces that they come in, and passed on."""
+    for table, hot in sorted_runs(batches, 1, most):
         columns = [table.column(k).combine_chunks() for k in range(len(_POSTING_NAMES))]
-        key, ids, n, at = (columns[k].to_numpy() for k in (0, 3, 4, 5))
+        key, ids, n, at = (columns[k].to_numpy() for k in range(4))
+        run = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+        signs = (columns[k].to_numpy().view(np.uint64) for k in (4, 5))
+        found = partners(run, n.astype(np.int64), at.astype(np.int64), *signs, few, long)
+        pick = found.likely[found.row] if hot else np.ones(len(found.row), bool)
+        row, other, more = found.row[pick], found.other[pick], found.more[pick]
+        empty = [pa.nulls(len(row), column.type) for column in columns]
+        pairs = [np.zeros(len(row), np.int8), ids[row], ids[other], more]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, pairs), *empty], _FOUND_NAMES)
         if hot:
-            none = pa.nulls(rows, pa.int64())
+            none = pa.nulls(table.num_rows, pa.int64())
+            kind = np.where(found.likely, 1, 2).astype(np.int8)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([True] * rows), none, none, pa.array([False] * rows), *columns], names
+                [pa.array(kind), none, none, pa.nulls(table.num_rows, pa.bool_()), *columns], _FOUND_NAMES
             )
-            continue
-        run = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        signs = (columns[k].to_numpy().view(np.uint64) for k in (6, 7))
-        best, count = _likeliest(run, n.astype(np.int64), at.astype(np.int64), *signs)
-        hit = np.flatnonzero(best >= 0)
-        empty = [pa.nulls(len(hit), column.type) for column in columns]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.zeros(len(hit), bool)),
-                pa.array(ids[hit]),
-                pa.array(ids[best[hit]]),
-                pa.array(count[hit] > 1),
-                *empty,
-            ],
-            names,
-        )
 
 
 def _all_earlier(mine: DataFrame, postings: DataFrame) -> DataFrame:
     """mine (postings named s_*) with every earlier posting of the key that passes the filters."""
-    met = mine.join(postings, mine.s_key == postings.key).where(
-        F.struct("d", "line_no", "id") < F.struct("s_d", "s_line_no", "s_id")
-    )
+    met = mine.join(postings, mine.s_key == postings.key).where(F.col("id") < F.col("s_id"))
     met = met.where(_fits(F.col("s_n"), F.col("s_at"), F.col("n"), F.col("at"), F.least))
     one, two = (F.col(f"s_{c}").bitwiseXOR(F.col(c)) for c in ("sign", "sign2"))
     both = (F.col("s_n") > LONG) & (F.col("n") > LONG)
@@ -309,69 +334,57 @@ def _named(postings: DataFrame) -> DataFrame:
     return postings.select(*[F.col(c).alias(f"s_{c}") for c in postings.columns])
 
 
-def _lists(places: DataFrame, name: str) -> DataFrame:
-    """Line numbers by row: as many as the row has lines at most."""
-    return places.groupBy("d", "row_key").agg(F.collect_list("line_no").alias(name))
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """A side of a join, to broadcast only where its checked number of rows is small."""
+    return F.broadcast(df) if rows <= BROADCAST_LINES else df
 
 
-def _beside(keyed: DataFrame, lists: DataFrame, lines: int, how: str) -> DataFrame:
-    """keyed joined with lists; only few lines are broadcast, by their checked number."""
-    side = F.broadcast(lists) if lines <= BROADCAST_LINES else lists
-    return keyed.join(side, ["d", "row_key"], how)
-
-
-def _texts_with(keyed: DataFrame, places: DataFrame, lines: int) -> DataFrame:
-    """(d, row_key, text, wanted): texts once each, with the numbers of the lines at places."""
-    joined = _beside(_texts(keyed), _lists(places, "wanted"), lines, "inner")
+def _texts_with(keyed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(d, row_key, text, wanted): texts once each, with the number and id of the sets' lines."""
+    lists = sets.groupBy("d", "row_key").agg(F.collect_list(F.struct("line_no", "id")).alias("wanted"))
+    joined = _texts(keyed).join(_few(lists, sets.count()), ["d", "row_key"])
     return joined.select("d", "row_key", "text", "wanted")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, keyed: DataFrame, codes: Any) -> DataFrame:
-    """The s (as id) of the pairs of sets (s, t) that match by all their tokens."""
+    """The s (as id) of the written pairs of sets (s, t) that match by all their tokens."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, 2, _TEXT_BYTES):
             lines = token_sets([row[2] for row in part], codes.value, [row[3] for row in part])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(_digests(lines, _ID)),
-                    pa.ListArray.from_arrays(pa.array(lines.bounds, pa.int32()), pa.array(lines.keys.view(np.int64))),
-                ],
-                ["id", "tokens"],
-            )
+            tokens = pa.ListArray.from_arrays(pa.array(lines.bounds, pa.int32()), pa.array(lines.keys.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(lines.ids), tokens], ["id", "tokens"])
 
-    ids = pairs.select(F.col("s").alias("id")).unionByName(pairs.select(F.col("t").alias("id"))).distinct()
-    wanted = written(sets.join(ids, "id", "left_semi"), "wanted")
-    found = _texts_with(keyed, wanted, wanted.count()).mapInArrow(rows, "id long, tokens array<long>")
-    tokens = written(found, "tokens")
+    ids = pairs.select(F.explode(F.array("s", "t")).alias("id")).distinct()
+    wanted = written(sets.join(_few(ids, 2 * pairs.count()), "id", "left_semi"), "wanted")
+    tokens = written(_texts_with(keyed, wanted).mapInArrow(rows, "id long, tokens array<long>"), "tokens")
     for side in ("s", "t"):
         pairs = pairs.join(tokens.select(F.col("id").alias(side), F.col("tokens").alias(f"{side}_tokens")), side)
     shared = F.size(F.array_intersect("s_tokens", "t_tokens"))
     total = F.size("s_tokens") + F.size("t_tokens")
-    return pairs.where(shared * (NUM + DEN) >= total * NUM).select(F.col("s").alias("id")).distinct()
+    matched = pairs.where(shared * (NUM + DEN) >= total * NUM).select(F.col("s").alias("id")).distinct()
+    return written(matched, "matched")
 
 
 def kept_lines(keyed: DataFrame) -> DataFrame:
     """Places of the lines with words that have no earlier match; keyed has no row twice."""
     codes = keyed.sparkSession.sparkContext.broadcast(rarity(keyed))
-    sets = written(first_lines(keyed, codes), "sets")
+    sets = first_lines(keyed, codes)
     rows = postings(sets, keyed, codes)
-    dealt = rows.repartition("key").sortWithinPartitions("key", "d", "line_no", "id")
-    swept = written(dealt.mapInArrow(_sweep, _FOUND), "swept")
-
-    # One likely partner under each token settles most sets, also in large groups of near
-    # copies. Very frequent keys: the same question to a join whose large groups Spark splits.
-    hot = swept.where("hot").select(*_POSTING_NAMES)
-    met = _all_earlier(_named(hot), hot).groupBy(F.col("s_id").alias("s")).agg(
-        F.min(F.struct("d", "line_no", "id")).alias("first"), F.count("*").alias("n")
-    )
-    tried = swept.where("not hot").select("s", "t", "more").unionByName(
-        met.select("s", F.col("first.id").alias("t"), (F.col("n") > 1).alias("more"))
+    dealt = rows.repartition("key").sortWithinPartitions("key", "id")
+    swept = written(dealt.mapInArrow(partial(_sweep, most=HOT, few=FEW, long=LONG), _FOUND), "swept")
+
+    # Keys of very many rows: those without a likely partner nearby meet all in a join whose
+    # large groups Spark splits; the last earlier one stands for the others.
+    hot = swept.where("hot > 0").select("hot", *_POSTING_NAMES)
+    met = _all_earlier(_named(hot.where("hot = 2").drop("hot")), hot).groupBy(F.col("s_id").alias("s")).agg(
+        F.max("id").alias("t"), (F.count("*") > 1).alias("more")
     )
+    tried = swept.where("hot = 0").select("s", "t", "more").unionByName(met)
     tried = written(tried.groupBy("s", "t").agg(F.max("more").alias("more")), "tried")
-    settled = written(_verified(tried.select("s", "t"), sets, keyed, codes), "settled")
+    settled = _verified(tried.select("s", "t"), sets, keyed, codes)
 
-    # Sets whose likeliest partner under every key fails, and that have more, meet all others.
+    # Sets of which no pair matches, and that have more, meet all others.
     open_ids = tried.where("more").select(F.col("s").alias("id")).distinct().join(settled, "id", "left_anti")
     open_ids = written(open_ids, "open")
     number = open_ids.count()
@@ -381,7 +394,8 @@ def kept_lines(keyed: DataFrame) -> DataFrame:
         rest = _all_earlier(mine, rows).select(F.col("s_id").alias("s"), F.col("id").alias("t")).distinct()
         rest = written(rest.join(tried, ["s", "t"], "left_anti"), "rest")
         settled = settled.unionByName(_verified(rest, sets, keyed, codes))
-    return written(sets.join(settled, "id", "left_anti").select(*_PLACE), "kept")
+    kept = sets.join(_few(settled, settled.count()), "id", "left_anti")
+    return written(kept.select(*_PLACE), "kept")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -397,7 +411,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     docs, back = set_aside(docs.drop("n_lines", "n_removed"), "d", "row_key", "kept")
     keyed = _keyed(docs)
     kept = kept_lines(_once(keyed.select("d", "row_key", "text")))
-    joined = _beside(keyed, _lists(kept, "kept"), kept.count(), "left").drop("d", "row_key")
+    lists = kept.groupBy("d", "row_key").agg(F.collect_list("line_no").alias("kept"))
+    joined = keyed.join(_few(lists, kept.count()), ["d", "row_key"], "left").drop("d", "row_key")
     at, last = joined.columns.index("text"), len(joined.columns) - 1
     schema = with_fields(joined.drop("kept"), ("n_lines", T.IntegerType()), ("n_removed", T.IntegerType()))
 
