@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows of a batch that are Python objects at a time.
+SLICE = 128
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share; a fresh local one only where none is set."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,10 +51,11 @@ def utf8(column: str) -> Column:
 
 
 def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Any, ...]]:
-    """Rows of Arrow batches as tuples, one batch in memory at a time."""
+    """Rows of Arrow batches as tuples, few of them as Python objects at a time."""
     for batch in batches:
-        columns = [column.to_pylist() for column in batch.columns]
-        yield from zip(*columns)
+        for low in range(0, batch.num_rows, SLICE):
+            part = batch.slice(low, SLICE)
+            yield from zip(*(column.to_pylist() for column in part.columns))
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[list[tuple[Any, ...]]]:
@@ -95,13 +100,15 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], keys: int, most: int) -> Iter
             new[1:] &= column[1:] == column[:-1]
         starts = np.flatnonzero(~new | (np.arange(table.num_rows) == 0))
         sizes = np.diff(np.append(starts, table.num_rows))
+        end = int(starts[-1])
         long = np.repeat(sizes > most, sizes)
         if long.any():
             yield table.filter(pa.array(long)), True
-        done = np.arange(table.num_rows) < starts[-1]
-        if (done & ~long).any():
-            yield table.filter(pa.array(done & ~long)), False
-        held = table.slice(int(starts[-1])) if sizes[-1] <= most else None
+            if (rest := ~long[:end]).any():
+                yield table.slice(0, end).filter(pa.array(rest)), False
+        elif end:
+            yield table.slice(0, end), False
+        held = table.slice(end) if sizes[-1] <= most else None
         if held is None:
             going = [table.column(k)[table.num_rows - 1].as_py() for k in range(keys)]
     if held is not None:

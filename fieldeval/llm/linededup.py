@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldeval.llm.common import chunks, records, set_aside, sorted_runs, with_fields, written
+from fieldeval.llm.common import SLICE, chunks, records, set_aside, sorted_runs, with_fields, written
 
 #: Jaccard similarity from which two lines match: NUM / DEN.
 NUM, DEN = 4, 5
@@ -23,14 +23,14 @@ SLOTS = 1 << 20
 _BLOCK = 1 << 14
 #: Lists of lines go out by broadcast up to so many lines, beyond it by shuffle.
 BROADCAST_LINES = 4_000_000
-#: Sets that need all their candidates go out by broadcast up to so many.
-BROADCAST_SETS = 50_000
+#: Postings that need all their candidates go out by broadcast up to so many.
+BROADCAST_SETS = 500_000
 #: Lines of more distinct tokens have a signature of twice the bits.
 LONG = 96
 #: Rows under one token that are compared in one task; more are joined.
 HOT = 16_384
 #: Partners of a line under one token that are all tried where none is likely.
-FEW = 16
+FEW = 64
 _TEXT_BYTES = 1 << 20
 _NO_ID = -(1 << 63)
 _PLACE = ("d", "line_no", "row_key")
@@ -92,14 +92,6 @@ def _slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
-def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(SLOTS, np.int64)
-    for rows in chunks(batches, 0, _TEXT_BYTES):
-        hashes, _ = word_hashes(np.frombuffer(b"\n".join(text for (text,) in rows), np.uint8))
-        np.add.at(counts, _slots(hashes), 1)
-    yield from _blocks(enumerate(counts.reshape(-1, _BLOCK)))
-
-
 def _blocks(parts: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     for block, part in parts:
         if part.any():
@@ -116,80 +108,111 @@ def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _blocks(iter(sums.items()))
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
+_SCAN = f"h1 long, h2 long, {_PLACE_SCHEMA}, block int, counts binary"
+_SCAN_NAMES = [part.split()[0] for part in _SCAN.split(", ")]
+
+
+def _scan_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each line with words: a digest of its words, and its place. At the end the
+    task's counts of words, in blocks."""
+    counts = np.zeros(SLOTS, np.int64)
+    for part in chunks(batches, 2, _TEXT_BYTES):
+        texts = Texts.of([text for _, _, text in part])
+        if not len(texts.hashes):
+            continue
+        np.add.at(counts, _slots(texts.hashes), 1)
+        d, row_key = (np.array([row[k] for row in part], np.int64)[texts.doc] for k in (0, 1))
+        # The sum of the words' hashes, whatever their order.
+        digests = (
+            np.add.reduceat(_mixed(texts.hashes, factor), texts.low).view(np.int64)
+            for factor in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+        )
+        rows = len(texts.low)
+        columns = (*digests, d, texts.line_no.astype(np.int32), row_key)
+        rest = [pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *rest], _SCAN_NAMES)
+    for batch in _blocks(enumerate(counts.reshape(-1, _BLOCK))):
+        rest = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*rest, *batch.columns], _SCAN_NAMES)
+
+
+def rarity(scan: DataFrame) -> np.ndarray:
     """A 16-bit code of the count of each slot: 0 for one or none, then by the logarithm.
 
     SLOTS numbers come to the driver, however large the input is.
     """
-    texts = docs.where("text is not null").select(F.col("text").cast("binary"))
-    parts = texts.mapInArrow(_count_rows, "block int, counts binary")
+    parts = scan.where("block is not null").select("block", "counts").repartition("block")
     counts = np.ones(SLOTS, np.int64)
-    for block, data in parts.repartition("block").mapInArrow(_sum_rows, "block int, counts binary").collect():
+    for block, data in parts.mapInArrow(_sum_rows, "block int, counts binary").collect():
         counts[block * _BLOCK : (block + 1) * _BLOCK] = np.frombuffer(data, "<i8")
     return np.floor(1024 * np.log2(np.maximum(counts, 1))).astype(np.uint16)
 
 
-class Lines(NamedTuple):
-    """Lines with words: line k is line_no[k] of text doc[k], and its distinct tokens, rarest
-    first, are keys[bounds[k]:bounds[k + 1]]. A key is a rarity code and 48 bits of the
-    token's hash, so keys are the order as well. ids are those of the wanted lines."""
+class Texts(NamedTuple):
+    """Words of some texts. Line k, of those with words, begins at word low[k] and is
+    line_no[k] of text doc[k]; number counts all lines of the texts before it."""
 
+    hashes: np.ndarray
+    low: np.ndarray
     doc: np.ndarray
     line_no: np.ndarray
+    number: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[bytes], held: np.ndarray | None = None) -> Texts:
+        """All lines with words, or those of them that are held by their number."""
+        data = np.frombuffer(b"\n".join(texts), np.uint8)
+        hashes, starts = word_hashes(data)
+        line = np.cumsum(data == 10)[starts]
+        if held is not None:
+            hashes, line = hashes[held[line]], line[held[line]]
+        fresh = np.ones(len(line), bool)
+        fresh[1:] = line[1:] != line[:-1]
+        low = np.flatnonzero(fresh)
+        number = line[low]
+        first = first_numbers(texts)
+        doc = np.searchsorted(first, number, side="right") - 1
+        return cls(hashes, low, doc, number - first[doc], number)
+
+
+def first_numbers(texts: list[bytes]) -> np.ndarray:
+    """Lines of all texts before each."""
+    lines = np.array([text.count(b"\n") + 1 for text in texts])
+    return np.cumsum(lines) - lines
+
+
+class Lines(NamedTuple):
+    """Distinct tokens of lines: those of line ids[k], rarest first, are
+    keys[bounds[k]:bounds[k + 1]]. A key is a rarity code and 48 bits of the token's hash, so
+    keys are the order as well."""
+
     ids: np.ndarray
     keys: np.ndarray
     bounds: np.ndarray
 
 
-def token_sets(texts: list[bytes], codes: np.ndarray, wanted: list[list[dict[str, int]]] | None = None) -> Lines:
-    """All lines with words, or the wanted ones (line_no, id), of some texts."""
-    data = np.frombuffer(b"\n".join(texts), np.uint8)
-    hashes, starts = word_hashes(data)
-    line = np.cumsum(data == 10)[starts]
-    number = np.array([text.count(b"\n") + 1 for text in texts])
-    first = np.cumsum(number) - number
-    ids = np.zeros(int(number.sum()), np.int64)
-    if wanted is not None:
-        held = np.zeros(len(ids), bool)
-        at = np.array([low + w["line_no"] for low, some in zip(first.tolist(), wanted) for w in some], np.int64)
-        held[at] = True
-        ids[at] = [w["id"] for some in wanted for w in some]
-        hashes, line = hashes[held[line]], line[held[line]]
-    keys = (codes[_slots(hashes)].astype(np.uint64) << np.uint64(48)) | (hashes >> np.uint64(16))
-    fresh = np.ones(len(line), bool)
-    fresh[1:] = line[1:] != line[:-1]
-    low = np.flatnonzero(fresh)
-    for a, b in pairwise([*low.tolist(), len(line)]):
+def token_sets(texts: list[bytes], codes: np.ndarray, wanted: list[list[dict[str, int]]]) -> Lines:
+    """The wanted lines (line_no, id) of some texts."""
+    first = first_numbers(texts)
+    at = np.array([low + w["line_no"] for low, some in zip(first.tolist(), wanted) for w in some], np.int64)
+    ids = np.full(int(first[-1]) + texts[-1].count(b"\n") + 1, -1)
+    ids[at] = [w["id"] for some in wanted for w in some]
+    found = Texts.of(texts, ids >= 0)
+    keys = (codes[_slots(found.hashes)].astype(np.uint64) << np.uint64(48)) | (found.hashes >> np.uint64(16))
+    for a, b in pairwise([*found.low.tolist(), len(keys)]):
         keys[a:b].sort()
-    new = fresh.copy()
-    new[1:] |= keys[1:] != keys[:-1]
-    bounds = np.concatenate([[0], np.cumsum(np.add.reduceat(new, low, dtype=np.int64) if len(low) else low)])
-    lines = line[low]
-    doc = np.searchsorted(first, lines, side="right") - 1
-    return Lines(doc, lines - first[doc], ids[lines], keys[new], bounds)
-
-
-def _digests(lines: Lines, factor: int) -> np.ndarray:
-    """A hash of each line's set: the sum of its keys', whatever their order."""
-    return np.add.reduceat(_mixed(lines.keys, factor), lines.bounds[:-1]).view(np.int64)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    new[found.low] = True
+    sizes = np.add.reduceat(new, found.low, dtype=np.int64) if len(found.low) else found.low
+    return Lines(ids[found.number], keys[new], np.concatenate([[0], np.cumsum(sizes)]))
 
 
-def first_lines(keyed: DataFrame, codes: Any) -> DataFrame:
-    """The first line of every distinct token set; ids ascend with the place."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, 2, _TEXT_BYTES):
-            lines = token_sets([text for _, _, text in part], codes.value)
-            if not len(lines.doc):
-                continue
-            d, row_key = (np.array([row[k] for row in part], np.int64)[lines.doc] for k in (0, 1))
-            digests = (_digests(lines, factor) for factor in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
-            columns = (*digests, d, lines.line_no.astype(np.int32), row_key)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", *_PLACE])
-
-    found = _texts(keyed).mapInArrow(rows, f"h1 long, h2 long, {_PLACE_SCHEMA}")
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct(*_PLACE)).alias("first")).select("first.*")
-    return written(first.orderBy(*_PLACE).withColumn("id", F.monotonically_increasing_id()), "sets")
+def first_lines(scan: DataFrame) -> DataFrame:
+    """The first line of every distinct bag of words; ids ascend with the place."""
+    lines = scan.where("block is null").groupBy("h1", "h2").agg(F.min(F.struct(*_PLACE)).alias("first"))
+    first = lines.select("first.*").orderBy(*_PLACE)
+    return written(first.withColumn("id", F.monotonically_increasing_id()), "sets")
 
 
 _POSTING = "key long, id long, n int, at int, sign long, sign2 long"
@@ -258,8 +281,8 @@ def partners(
     """Earlier rows of the same run that pass all filters.
 
     A row whose signature differs from one by half the tokens that a match may differ in, or
-    less, takes that one and looks no further. Else it takes all if they are `few` or fewer,
-    or the nearest.
+    less, takes that one and looks no further. Else it takes the nearest and the `few` next to
+    it in the run, which are all of them in most cases.
     """
     place = np.arange(len(run)) - np.searchsorted(run, run)
     best, count, least = np.full(len(run), -1), np.zeros(len(run), np.int64), np.full(len(run), 1 << 30)
@@ -284,24 +307,30 @@ def partners(
             count[i] += 1
             nearer = apart < least[i]
             best[i[nearer]], least[i[nearer]] = j[nearer], apart[nearer]
-            likely[i] |= room >= apart * (NUM + DEN)
+            # In short lines words that differ too often cancel out in the signature.
+            likely[i] |= (room >= apart * (NUM + DEN)) & (n[i] >= 16)
             kept = count[i] <= few
             met.append((i[kept], j[kept]))
             index = index[~likely[index]]
         gap += 1
         index = index[place[index] >= gap]
-    some = (best >= 0) & (likely | (count > few))
-    row = np.flatnonzero(some)
-    i, j = (np.concatenate(x) for x in zip(*met)) if met else (row[:0], row[:0])
-    i, j = i[~some[i]], j[~some[i]]
-    more = np.concatenate([np.ones(len(row), bool), np.zeros(len(i), bool)])
-    return Partners(np.concatenate([row, i]), np.concatenate([best[row], j]), more, likely)
+    i, j = (np.concatenate(x) for x in zip(*met)) if met else (best[:0], best[:0])
+    first = ~likely[i]
+    row = np.flatnonzero((best >= 0) & (likely | (count > few)))
+    more = np.concatenate([np.ones(len(row), bool), count[i[first]] > few])
+    return Partners(np.concatenate([row, i[first]]), np.concatenate([best[row], j[first]]), more, likely)
 
 
 def _sweep(batches: Iterator[pa.RecordBatch], most: int, few: int, long: int) -> Iterator[pa.RecordBatch]:
     """Pairs that may match from postings sorted by key and id. Rows of keys with more than
     `most` rows are compared within the pieces that they come in, and passed on."""
     for table, hot in sorted_runs(batches, 1, most):
+        key = table.column(0).to_numpy()
+        same = np.concatenate([[False], key[1:] == key[:-1], [False]])
+        if not hot:  # most keys have one row alone
+            table = table.filter(pa.array(same[1:] | same[:-1]))
+        if not table.num_rows:
+            continue
         columns = [table.column(k).combine_chunks() for k in range(len(_POSTING_NAMES))]
         key, ids, n, at = (columns[k].to_numpy() for k in range(4))
         run = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
@@ -309,8 +338,8 @@ def _sweep(batches: Iterator[pa.RecordBatch], most: int, few: int, long: int) ->
         found = partners(run, n.astype(np.int64), at.astype(np.int64), *signs, few, long)
         pick = found.likely[found.row] if hot else np.ones(len(found.row), bool)
         row, other, more = found.row[pick], found.other[pick], found.more[pick]
-        empty = [pa.nulls(len(row), column.type) for column in columns]
-        pairs = [np.zeros(len(row), np.int8), ids[row], ids[other], more]
+        empty = [pa.nulls(len(row), column.type) for column in columns[1:]]
+        pairs = [np.zeros(len(row), np.int8), ids[row], ids[other], more, key[row]]
         yield pa.RecordBatch.from_arrays([*map(pa.array, pairs), *empty], _FOUND_NAMES)
         if hot:
             none = pa.nulls(table.num_rows, pa.int64())
@@ -368,8 +397,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, keyed: DataFrame, codes: Any) -
 
 def kept_lines(keyed: DataFrame) -> DataFrame:
     """Places of the lines with words that have no earlier match; keyed has no row twice."""
-    codes = keyed.sparkSession.sparkContext.broadcast(rarity(keyed))
-    sets = first_lines(keyed, codes)
+    scan = written(_texts(keyed).mapInArrow(_scan_rows, _SCAN), "scan")
+    codes = keyed.sparkSession.sparkContext.broadcast(rarity(scan))
+    sets = first_lines(scan)
     rows = postings(sets, keyed, codes)
     dealt = rows.repartition("key").sortWithinPartitions("key", "id")
     swept = written(dealt.mapInArrow(partial(_sweep, most=HOT, few=FEW, long=LONG), _FOUND), "swept")
@@ -377,19 +407,20 @@ def kept_lines(keyed: DataFrame) -> DataFrame:
     # Keys of very many rows: those without a likely partner nearby meet all in a join whose
     # large groups Spark splits; the last earlier one stands for the others.
     hot = swept.where("hot > 0").select("hot", *_POSTING_NAMES)
-    met = _all_earlier(_named(hot.where("hot = 2").drop("hot")), hot).groupBy(F.col("s_id").alias("s")).agg(
-        F.max("id").alias("t"), (F.count("*") > 1).alias("more")
-    )
-    tried = swept.where("hot = 0").select("s", "t", "more").unionByName(met)
-    tried = written(tried.groupBy("s", "t").agg(F.max("more").alias("more")), "tried")
-    settled = _verified(tried.select("s", "t"), sets, keyed, codes)
-
-    # Sets of which no pair matches, and that have more, meet all others.
-    open_ids = tried.where("more").select(F.col("s").alias("id")).distinct().join(settled, "id", "left_anti")
-    open_ids = written(open_ids, "open")
-    number = open_ids.count()
+    met = _all_earlier(_named(hot.where("hot = 2").drop("hot")), hot).groupBy(
+        F.col("s_id").alias("s"), F.col("s_key").alias("key")
+    ).agg(F.max("id").alias("t"), (F.count("*") > 1).alias("more"))
+    pairs = swept.where("hot = 0").select("s", "key", "t", "more").unionByName(met.select("s", "key", "t", "more"))
+    tried = written(pairs.select("s", "t").distinct(), "tried")
+    settled = _verified(tried, sets, keyed, codes)
+
+    # Sets of which no pair matches meet all others under the keys that have more.
+    open_keys = pairs.where("more").select(F.col("s").alias("id"), "key").distinct().join(settled, "id", "left_anti")
+    open_keys = written(open_keys, "open")
+    number = open_keys.count()
     if number:
-        mine = _named(postings(written(sets.join(open_ids, "id", "left_semi"), "open-sets"), keyed, codes))
+        some = written(sets.join(_few(open_keys.select("id").distinct(), number), "id", "left_semi"), "open-sets")
+        mine = _named(postings(some, keyed, codes).join(_few(open_keys, number), ["id", "key"], "left_semi").select(_POSTING_NAMES))
         mine = F.broadcast(mine) if number <= BROADCAST_SETS else mine
         rest = _all_earlier(mine, rows).select(F.col("s_id").alias("s"), F.col("id").alias("t")).distinct()
         rest = written(rest.join(tried, ["s", "t"], "left_anti"), "rest")
@@ -417,7 +448,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     schema = with_fields(joined.drop("kept"), ("n_lines", T.IntegerType()), ("n_removed", T.IntegerType()))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(low, SLICE) for b in batches for low in range(0, b.num_rows, SLICE)):
             texts, totals, removed = [], [], []
             for text, kept in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist()):
                 lines = [] if text is None else text.split("\n")
