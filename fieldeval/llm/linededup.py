@@ -26,7 +26,7 @@ BROADCAST_LINES = 4_000_000
 #: Postings that need all their candidates go out by broadcast up to so many.
 BROADCAST_SETS = 500_000
 #: Lines of more distinct tokens have a signature of twice the bits.
-LONG = 96
+LONG = 24
 #: Rows under one token that are compared in one task; more are joined.
 HOT = 16_384
 #: Partners of a line under one token that are all tried where none is likely.
