@@ -115,9 +115,13 @@ def build(nodes: DataFrame) -> DataFrame:
     a new edge between them and the node are compared; what is nearer than the farthest
     neighbour held so far is passed on, and each node keeps the nearest DEGREE.
     """
-    # A hash of the id deals nodes at random to tasks and to pieces within them.
-    mixed = nodes.repartition(F.xxhash64("node")).sortWithinPartitions(F.hash("node"))
-    graph = _nearest(mixed.mapInArrow(_start_rows, _EDGE), DEGREE).withColumn("fresh", F.lit(True))
+    # Hashes of the id deal nodes at random to tasks and to pieces within them, twice anew:
+    # one deal alone would leave its pieces without an edge between them.
+    deals = [
+        nodes.repartition(F.xxhash64("node", F.lit(k))).sortWithinPartitions(F.hash("node", F.lit(k))).mapInArrow(_start_rows, _EDGE)
+        for k in range(2)
+    ]
+    graph = _nearest(deals[0].unionByName(deals[1]).distinct(), DEGREE).withColumn("fresh", F.lit(True))
     graph = written(graph, "graph")
     total = graph.count()
     for _ in range(MOST_ROUNDS):
