@@ -15,14 +15,14 @@ from fieldeval.llm.topk import finite, matrix
 
 #: Neighbours of a node, and how many nodes that point to it take part in its local join.
 DEGREE = 20
-REVERSE = 12
+REVERSE = 20
 #: Rows compared with each other for the first graph.
 START_ROWS = 1024
 #: Rounds end when fewer than this share of edges is new, or after MOST_ROUNDS.
-FEW_NEW = 0.01
+FEW_NEW = 0.001
 MOST_ROUNDS = 12
 #: Nodes that a query keeps while it searches.
-BEAM = 40
+BEAM = 100
 _EDGE = "node long, near long, sim double"
 
 
