@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import pairwise
 
 import numpy as np
@@ -16,31 +17,47 @@ from fieldeval.llm.topk import finite, matrix
 #: Neighbours of a node, and how many nodes that point to it take part in its local join.
 DEGREE = 20
 REVERSE = 20
-#: Rows compared with each other for the first graph.
-START_ROWS = 1024
-#: Rounds end when fewer than this share of edges is new, or after MOST_ROUNDS.
+#: Rows compared with each other for the first graph, and for how many orders of all nodes
+#: that is done each time the number of nodes doubles.
+START_ROWS = 2048
+ORDERS = 4
+#: Rounds end when fewer than this share of edges is new.
 FEW_NEW = 0.001
-MOST_ROUNDS = 12
 #: Nodes that a query keeps while it searches.
 BEAM = 100
 _EDGE = "node long, near long, sim double"
 
 
+def _placed_rows(batches: Iterator[pa.RecordBatch], normals: np.ndarray, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each node once for every order, with the sides it is on of that order's planes as a code."""
+    orders, planes = offsets.shape
+    values = 1 << np.arange(planes, dtype=np.int64)[::-1]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        data = matrix(batch.column(1))
+        for k in range(orders):
+            code = (data @ normals[k].T > offsets[k]) @ values if planes else np.zeros(len(data), np.int64)
+            columns = [pa.array(np.full(len(data), k, np.int32)), pa.array(code), *batch.columns]
+            yield pa.RecordBatch.from_arrays(columns, ["order_no", "code", "node", "embedding"])
+
+
 def _start_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The nearest of each node among about START_ROWS nodes that came with it."""
+    """The nearest of each node among about START_ROWS nodes beside it in an order."""
     for batch in batches:
-        pieces = max(1, batch.num_rows // START_ROWS)
-        for part in np.array_split(np.arange(batch.num_rows), pieces):
-            if len(part) < 2:
-                continue
-            ids = batch.column(0).to_numpy()[part]
-            data = matrix(batch.column(1).slice(int(part[0]), len(part)))
-            sims = data @ data.T
-            np.fill_diagonal(sims, -np.inf)
-            k = min(DEGREE, len(part) - 1)
-            top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(part)), k)
-            yield _edges(ids[rows], ids[top.ravel()], sims[rows, top.ravel()])
+        order = batch.column(0).to_numpy()
+        for run in np.split(np.arange(batch.num_rows), np.flatnonzero(order[1:] != order[:-1]) + 1):
+            for part in np.array_split(run, max(1, -(-len(run) // START_ROWS))):
+                if len(part) < 2:
+                    continue
+                ids = batch.column(2).to_numpy()[part]
+                data = matrix(batch.column(3).slice(int(part[0]), len(part)))
+                sims = data @ data.T
+                np.fill_diagonal(sims, -np.inf)
+                k = min(DEGREE, len(part) - 1)
+                top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+                rows = np.repeat(np.arange(len(part)), k)
+                yield _edges(ids[rows], ids[top.ravel()], sims[rows, top.ravel()])
 
 
 def _edges(node: np.ndarray, near: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
@@ -108,6 +125,31 @@ def distinct_vectors(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return written(nodes, "nodes"), members
 
 
+def _first_edges(nodes: DataFrame) -> DataFrame:
+    """Near pairs (node, near, sim), with repeats, to start from.
+
+    Planes halfway between two random nodes each put all nodes in order, in several orders
+    anew; nodes beside each other in one are compared. Random pieces alone would hold the
+    share START_ROWS / nodes of all near pairs, which falls with the table's size.
+    """
+    total = nodes.count()
+    doublings = max(0, total - 1).bit_length() - (START_ROWS - 1).bit_length()
+    # Two planes more than doublings: where planes part nodes unevenly, more are needed.
+    orders, planes = (ORDERS * doublings, doublings + 2) if doublings > 0 else (1, 0)
+    ends = nodes.orderBy(F.xxhash64("node"), "node").limit(2 * orders * planes).collect()
+    if planes:
+        points = np.array([row["embedding"] for row in ends], np.float64).reshape(2, orders, planes, -1)
+        normals = points[0] - points[1]
+        offsets = (normals * (points[0] + points[1])).sum(axis=-1) / 2
+    else:
+        normals, offsets = np.zeros((1, 0, 0)), np.zeros((1, 0))
+    schema = f"order_no int, code long, node long, embedding {nodes.schema['embedding'].dataType.simpleString()}"
+    placed = nodes.select("node", "embedding").mapInArrow(partial(_placed_rows, normals=normals, offsets=offsets), schema)
+    # The node's hash parts equal codes, so that no range is hot.
+    by = ["order_no", "code", F.xxhash64("node")]
+    return placed.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_start_rows, _EDGE)
+
+
 def build(nodes: DataFrame) -> DataFrame:
     """The neighbour graph (node, near, sim) of nodes (node, embedding) by NN-descent.
 
@@ -115,16 +157,11 @@ def build(nodes: DataFrame) -> DataFrame:
     a new edge between them and the node are compared; what is nearer than the farthest
     neighbour held so far is passed on, and each node keeps the nearest DEGREE.
     """
-    # Hashes of the id deal nodes at random to tasks and to pieces within them, twice anew:
-    # one deal alone would leave its pieces without an edge between them.
-    deals = [
-        nodes.repartition(F.xxhash64("node", F.lit(k))).sortWithinPartitions(F.hash("node", F.lit(k))).mapInArrow(_start_rows, _EDGE)
-        for k in range(2)
-    ]
-    graph = _nearest(deals[0].unionByName(deals[1]).distinct(), DEGREE).withColumn("fresh", F.lit(True))
+    graph = _first_edges(nodes).groupBy("node", "near").agg(F.max("sim").alias("sim"))
+    graph = _nearest(graph, DEGREE).withColumn("fresh", F.lit(True))
     graph = written(graph, "graph")
     total = graph.count()
-    for _ in range(MOST_ROUNDS):
+    while True:
         held = graph.groupBy("node").agg(F.min("sim").alias("low"), F.count("*").alias("n"))
         # A node that still lacks neighbours takes any.
         least = nodes.join(held, "node", "left").select(
@@ -144,8 +181,7 @@ def build(nodes: DataFrame) -> DataFrame:
         merged = merged.groupBy("node", "near").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
         graph = written(_nearest(merged, DEGREE), "graph")
         if graph.where("fresh").count() <= FEW_NEW * total:
-            break
-    return graph.select("node", "near", "sim")
+            return graph.select("node", "near", "sim")
 
 
 def _inner(a: str, b: str) -> Column:

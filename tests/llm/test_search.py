@@ -84,6 +84,21 @@ def test_nearest(spark):
     assert hits >= 0.9 * 20 * len(asked)
 
 
+def test_graph_of_many_pieces(spark, monkeypatch):
+    """Vectors without clusters, many times START_ROWS, as in tables far larger."""
+    for name, value in (("START_ROWS", 64), ("DEGREE", 8), ("REVERSE", 8)):
+        monkeypatch.setattr(nndescent, name, value)
+    data = np.random.default_rng(4).normal(size=(6000, 64))
+    data /= np.linalg.norm(data, axis=1)[:, None]
+    nodes = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(data)], "node long, embedding array<double>")
+    held = {}
+    for r in nndescent.build(nodes).collect():
+        held.setdefault(r["node"], set()).add(r["near"])
+    assert set(held) == set(range(6000)) and all(len(x) == 8 for x in held.values())
+    hits = sum(len({x[1] for x in best(data @ data[k], np.arange(6000), k, 8)} & held[k]) for k in range(0, 6000, 20))
+    assert hits >= 0.7 * 8 * 300, hits / 2400
+
+
 def test_nearest_small(spark):
     none = spark.createDataFrame([], VECTORS)
     assert nndescent.nearest(none, F.col("vec_id") % 20 == 0).count() == 0
