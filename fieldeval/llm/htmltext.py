@@ -43,7 +43,7 @@ CLOSES_P = frozenset(
 )
 CLOSES_ITSELF = frozenset("li dt dd tr td th option".split())
 SCOPES = frozenset("article section main div ul ol dl table tbody td th body html aside nav header footer form".split())
-# Words in class, id and role that name what is no article.
+# A class, id or role made of these words alone names what is no article.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar aside"
     " nav navbar navigation menu breadcrumb breadcrumbs topbar footer header masthead notice notices alert cookie"
@@ -52,6 +52,9 @@ MARKS = frozenset(
     " toolbar pagination pager copyright disclaimer".split()
 )
 BODY = frozenset(("article", "main"))
+#: Elements that no name leaves out, and names that inside an article mark a part of it.
+WHOLE = BODY | {"html", "body"}
+HEADS = frozenset(("header", "masthead"))
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -69,7 +72,9 @@ _PARTS = re.compile(r"[^a-z0-9]+")
 class Element:
     tag: str
     path: int
+    #: Left out for its tag, or for its names, or for those of what it is in.
     out: bool
+    marked: bool
     body: bool
     link: bool
 
@@ -91,7 +96,8 @@ def _key(*parts: object) -> int:
 def parse(source: str) -> Page:
     """Tags by their path of tags and classes, and runs of decoded text by path and text."""
     page = Page()
-    stack = [Element("", 0, False, False, False)]
+    stack = [Element("", 0, False, False, False, False)]
+    articles = 0
     for found in _TOKEN.finditer(source):
         _, closing, tag, attributes, text = found.groups()
         if text is not None:
@@ -101,7 +107,7 @@ def parse(source: str) -> Page:
             token = _key(top.path, plain) if plain else 0
             if plain:
                 page.tokens.append(token)
-            page.runs.append((token, text, top.out, top.body, top.link))
+            page.runs.append((token, text, top.out or top.marked, top.body, top.link))
             continue
         if tag is None:
             continue
@@ -122,11 +128,25 @@ def parse(source: str) -> Page:
         page.tokens.append(path)
         if tag in VOID or attributes.endswith("/"):
             continue
-        out = top.out or tag in LEFT_OUT or not MARKS.isdisjoint(_PARTS.split(names))
-        stack.append(Element(tag, path, out, top.body or tag in BODY, top.link or tag == "a"))
+        body = top.body or tag in BODY
+        out = top.out or (tag in LEFT_OUT and not (tag == "header" and body))
+        marked = top.marked
+        if tag == "main" or (tag == "article" and not articles):
+            # What is around the page's article is never left out for its names.
+            marked = False
+        elif tag not in WHOLE:
+            marked = marked or any(_is_mark(name, body) for name in names.split())
+        articles += tag in BODY and not out
+        stack.append(Element(tag, path, out, marked, body, top.link or tag == "a"))
     return page
 
 
+def _is_mark(name: str, body: bool) -> bool:
+    """Whether a class, id or role says that its element is no article: all its words do."""
+    words = {word for word in _PARTS.split(name) if word}
+    return bool(words) and words <= MARKS and not (body and words <= HEADS)
+
+
 def _close_implied(stack: list[Element], tag: str) -> None:
     """Ends the paragraph or item that the new tag ends without saying so."""
     wanted = "p" if tag in CLOSES_P else tag if tag in CLOSES_ITSELF else None

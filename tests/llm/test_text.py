@@ -208,6 +208,27 @@ def test_page_text(spark):
     assert htmltext.extract(pages.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "source",
+    [
+        '<body class="no-sidebar"><article>{}</article></body>',
+        '<body class="sidebar"><main>{}</main></body>',
+        '<html class="menu"><body class="right-sidebar"><article>{}</article></body></html>',
+        '<article class="post comments-open">{}</article>',
+        '<main id="search">{}</main>',
+        '<main id="search-results">{}</main>',
+        '<div class="has-banner"><article>{}</article></div>',
+        '<div class="banner"><main>{}</main></div>',
+        '<article><header>{}</header></article>',
+        '<article><div class="entry-header">{}</div></article>',
+        '<article><div class="header">{}</div></article>',
+    ],
+)
+def test_names_around_an_article(source):
+    rest = '<div class="cookie-notice">C</div><div id="comments"><article class="comment">N</article></div><header>S</header>'
+    assert htmltext.main_text(htmltext.parse(source.format("<h1>Head</h1><p>Text</p>") + rest), set()) == "Head Text"
+
+
 def test_copies_of_a_page_are_no_template(spark):
     pages = [(k, f"http://h.example/{k}", PAGE.format(k=1, tag="article")) for k in range(40)]
     got = htmltext.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
