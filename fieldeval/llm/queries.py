@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldeval.llm import htmltext, langid, linededup, mixing, nndescent, packing, quality, simhash, tokencount, topk
+from fieldeval.llm import (
+    decontaminate,
+    htmltext,
+    langid,
+    linededup,
+    mixing,
+    nndescent,
+    packing,
+    quality,
+    simhash,
+    tokencount,
+    topk,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,6 +72,11 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nndescent.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside windows of `benchmark` items, and those items' digest."""
+    return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_counts": op2_token_counts,
@@ -71,9 +88,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_nn_descent": op10_nn_descent,
+    "op11_decontamination": op11_decontamination,
 }
 
 ORACLES: dict[str, str] = {
     "op7_exact_top_k": topk.TOP_K_SQL,
     "op8_source_mixing": mixing.SHARES_SQL,
+    "op11_decontamination": decontaminate.CONTAMINATION_SQL,
 }
