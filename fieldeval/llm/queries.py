@@ -19,6 +19,7 @@ from fieldeval.llm import (
     simhash,
     tokencount,
     topk,
+    vectorcodes,
 )
 
 
@@ -77,6 +78,11 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all `embeddings` and their errors."""
+    return vectorcodes.codes(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_counts": op2_token_counts,
@@ -89,10 +95,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_nn_descent": op10_nn_descent,
     "op11_decontamination": op11_decontamination,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
     "op7_exact_top_k": topk.TOP_K_SQL,
     "op8_source_mixing": mixing.SHARES_SQL,
     "op11_decontamination": decontaminate.CONTAMINATION_SQL,
+    "op12_vector_codes": vectorcodes.CODES_SQL,
 }
