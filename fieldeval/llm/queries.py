@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldeval.llm import (
     decontaminate,
+    divergence,
     htmltext,
     langid,
     linededup,
@@ -83,6 +84,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.codes(_read(spark, sf_dir, "embeddings"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of the sources of each language in all `documents`, and the terms behind it."""
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_counts": op2_token_counts,
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_nn_descent": op10_nn_descent,
     "op11_decontamination": op11_decontamination,
     "op12_vector_codes": op12_vector_codes,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
@@ -103,4 +110,5 @@ ORACLES: dict[str, str] = {
     "op8_source_mixing": mixing.SHARES_SQL,
     "op11_decontamination": decontaminate.CONTAMINATION_SQL,
     "op12_vector_codes": vectorcodes.CODES_SQL,
+    "op13_source_divergence": divergence.AUDIT_SQL,
 }
