@@ -42,7 +42,7 @@ def _rows(names, rows):
 def compare(spark, con, build, sql: str, sf_dir: str) -> str:
     """Empty when both sides agree, else a short description of the difference."""
     df = build(spark, sf_dir)
-    kinds = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    kinds = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
     got_types = sorted((n, kinds.get(t, t)) for n, t in df.dtypes)
     con.execute(sql)
     desc = con.description
