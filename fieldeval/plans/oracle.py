@@ -33,9 +33,10 @@ cells AS (SELECT k, doc_id, f, {_field_case} AS field, {_truth_case} AS cell FRO
 truth AS (SELECT k, doc_id, f, field, cell AS truth FROM cells WHERE k % 29 <> 0),
 runs AS (SELECT k, doc_id, {_model_case} AS model, seed, NOT ({D.FAILED_SQL}) AS successful,
   {D.SECONDS_SQL} AS processing_time FROM truth_wide, seeds WHERE k % 31 <> 0),
-altered AS (SELECT c.k, c.doc_id, {_model_case} AS model, seed, c.f, c.field, coalesce(t.truth, '') AS truth,
-  t.k IS NOT NULL AS has_truth, {D.ALTER_SQL.format(f="c.f", t="c.cell").replace("(k ", "(c.k ").replace("WHEN k ", "WHEN c.k ").replace("(k %", "(c.k %")} AS value
-  FROM cells c LEFT JOIN truth t ON t.k = c.k AND t.f = c.f, seeds WHERE c.k % 31 <> 0),
+altered AS (SELECT k, doc_id, {_model_case} AS model, seed, f, field,
+  CASE WHEN k % 29 <> 0 THEN coalesce(cell, '') ELSE '' END AS truth, k % 29 <> 0 AS has_truth,
+  {D.ALTER_SQL.format(f="f", t="cell")} AS value
+  FROM cells, seeds WHERE k % 31 <> 0),
 extr AS (SELECT * FROM altered WHERE value IS NOT NULL AND NOT ({D.FAILED_SQL})),
 aligned AS (SELECT k, doc_id, model, f, field, truth, has_truth, NOT ({D.FAILED_SQL}) AS successful,
   CASE WHEN {D.FAILED_SQL} THEN NULL ELSE value END AS value FROM altered),
