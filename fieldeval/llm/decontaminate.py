@@ -222,17 +222,19 @@ class Index:
                     spans.append((low, end))
         return spans, found
 
-    def scan_text(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[int]]:
+    def scan_text(self, text: bytes, most: int = PIECE_BYTES) -> tuple[int, list[tuple[int, int]], set[int]]:
         """(number of words, hit spans, classes) of a text of any length, in overlapping pieces."""
         spans: list[tuple[int, int]] = []
         found: set[int] = set()
         seen, kept = 0, list[bytes]()
-        for piece in _pieces(text):
+        for piece in _pieces(text, most):
             words = kept + words_of(piece)
             more, classes = self.scan(words)
             at = seen - len(kept)
             for low, high in more:
                 low, high = low + at, high + at
+                if high <= seen:
+                    continue  # found in the piece before
                 while spans and spans[-1][1] >= low:
                     last = spans.pop()
                     low, high = min(low, last[0]), max(high, last[1])
@@ -243,11 +245,11 @@ class Index:
         return seen, spans, found
 
 
-def _pieces(text: bytes) -> Iterator[bytes]:
+def _pieces(text: bytes, most: int) -> Iterator[bytes]:
     """Parts of a text that end between words."""
     at = 0
-    while len(text) - at > PIECE_BYTES:
-        end = at + PIECE_BYTES
+    while len(text) - at > most:
+        end = at + most
         word = _WORD.match(text, end)  # a word that goes on
         end = word.end() if word else end
         yield text[at:end]
@@ -322,7 +324,7 @@ def _scanned(docs: DataFrame, table: DataFrame, block: int, key: Column) -> Data
         for batch in batches:
             counts, spans, classes = [], [], []
             for (text,) in records(iter([batch.select(["text"])])):
-                n, at, found = index.scan_text(text)
+                n, at, found = index.scan_text(text, PIECE_BYTES)
                 counts.append(n)
                 spans.append([x for span in at for x in span])
                 classes.append([block << 32 | k for k in sorted(found)])

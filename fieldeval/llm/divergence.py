@@ -1,22 +1,25 @@
 """Divergence of sources: how far apart the term frequencies of a language's sources are.
 
-Terms travel as 64-bit digests. Tasks count the terms of their documents and write them once,
-columns apart; the counts are then shuffled by digest alone. Of every digest the smallest and
-the largest term are kept: where they differ, terms collide, and only those digests' rows are
-counted by digest and text. Text is joined back to the terms that a report lists.
-
-Groups (language, source) and languages are named by digests too; of a few seeds one is taken
-under which no two of them share a digest.
+Terms travel as 64-bit digests of language and term. Tasks count the terms of their documents
+by group (language, source); what is shuffled is digest, group, and two counts. A second scan
+finds for every digest the smallest and the largest language and term: where they differ, terms
+collide, and only those are counted anew by their text. Text is joined back to the terms that a
+report lists.
+
+Languages and groups are named by digests too; of a few seeds one is taken under which no two
+of them share a digest.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,70 +29,123 @@ LEAST_DOCS = 3
 MOST_RANKS = 200
 #: Probabilities are integers of this scale.
 SCALE = 1_000_000_000
-#: Distinct terms counted in a task before they are passed on.
-HELD_TERMS = 200_000
-#: Bytes of a text split into words at a time.
+#: Distinct terms of groups counted in a task before they are passed on (about 150 bytes each).
+HELD_TERMS = 1_000_000
+#: Bytes of a text split into words at a time, and rows of a batch that is passed on.
 PIECE_BYTES = 1 << 20
+ROWS = 1 << 16
 #: Sources whose sums against all others one task holds.
 SOURCE_BLOCK = 256
-#: Kept terms of a language in one bucket of pair sums, about.
-BUCKET_TERMS = 2_000
+#: Kept terms of a language in one bucket of pair sums, about, and the most buckets.
+BUCKET_TERMS = 10_000
+MOST_BUCKETS = 4096
 #: Probabilities (term, source) held at a time.
 CELLS = 1 << 18
+DIGEST_BITS = 64
 
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _REST = regex.compile(rb"[A-Za-z\x80-\xff]*")
 
 
-def _term_lists(text: bytes) -> Iterator[list[bytes]]:
+def _term_lists(text: bytes, piece: int) -> Iterator[list[bytes]]:
     """Terms of a text, in lists of bounded pieces that end between terms."""
     at = 0
     while at < len(text):
-        end = min(at + PIECE_BYTES, len(text))
+        end = min(at + piece, len(text))
         end = _REST.match(text, end).end()
         yield text[at:end].translate(_FOLD).split()
         at = end
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang_id, group_id, term, n, d) of a task's documents, a term once for each flush."""
-    counts: dict[tuple[int, int], Counter[bytes]] = {}
-    docs: dict[tuple[int, int], Counter[bytes]] = {}
-    held = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for (lang, group), found in counts.items():
-            within = docs[lang, group]
-            terms = list(found)
-            for low in range(0, len(terms), 10_000):
-                part = terms[low : low + 10_000]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "lang_id": pa.array(np.full(len(part), lang)),
-                        "group_id": pa.array(np.full(len(part), group)),
-                        "term": pa.array(part, pa.binary()),
-                        "n": pa.array([found[t] for t in part], pa.int64()),
-                        "d": pa.array([within[t] for t in part], pa.int64()),
-                    }
-                )
-
-    for lang, group, text in records(batches):
-        found = counts.setdefault((lang, group), Counter())
-        before = len(found)
-        own: set[bytes] = set()
-        for terms in _term_lists(text):
-            found.update(terms)
-            own.update(terms)
-        docs.setdefault((lang, group), Counter()).update(own)
-        held += len(found) - before
-        if held > HELD_TERMS:
-            yield from flush()
-            counts, docs, held = {}, {}, 0
-    yield from flush()
-
-
-def _digest(term: Column) -> Column:
-    return F.xxhash64(term)
+def _digests(lang: int, terms: list[bytes], bits: int) -> np.ndarray:
+    """Digests of terms, seeded by their language's id."""
+    found = np.fromiter(map(xxhash.xxh64_intdigest, terms, repeat(lang & (2**64 - 1))), np.uint64, len(terms))
+    return (found & np.uint64(2**bits - 1)).view(np.int64)
+
+
+def _batches(names: list[str], columns: list[pa.Array | np.ndarray]) -> Iterator[pa.RecordBatch]:
+    table = pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names)
+    for low in range(0, table.num_rows, ROWS):
+        yield table.slice(low, ROWS)
+
+
+def _counted(named: DataFrame, bits: int, only: set[int] | None = None) -> DataFrame:
+    """(lang_id, group_id, digest, n, d): a task's terms with their words and documents.
+
+    A term comes once for each group and each time that the task passes its counts on. With
+    `only` the rows are those of these digests, and have the term as well.
+    """
+    asked = named.sparkSession.sparkContext.broadcast(only) if only is not None else None
+    names = ["lang_id", "group_id", "digest", "n", "d"] + ["term"] * (only is not None)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[int, int], Counter[bytes]] = {}
+        docs: dict[tuple[int, int], Counter[bytes]] = {}
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (lang, group), found in counts.items():
+                terms = list(found)
+                columns = [
+                    np.full(len(terms), lang),
+                    np.full(len(terms), group),
+                    _digests(lang, terms, bits),
+                    np.fromiter(found.values(), np.int64, len(terms)),
+                    np.fromiter(map(docs[lang, group].__getitem__, terms), np.int64, len(terms)),
+                ]
+                if asked is not None:
+                    at = [k for k, digest in enumerate(columns[2].tolist()) if digest in asked.value]
+                    columns = [c[at] for c in columns] + [pa.array([terms[k] for k in at], pa.binary())]
+                yield from _batches(names, columns)
+
+        for lang, group, text in records(batches):
+            found = counts.setdefault((lang, group), Counter())
+            before = len(found)
+            own: set[bytes] = set()
+            for terms in _term_lists(text, PIECE_BYTES):
+                found.update(terms)
+                own.update(terms)
+            docs.setdefault((lang, group), Counter()).update(own)
+            held += len(found) - before
+            if held > HELD_TERMS:
+                yield from flush()
+                counts, docs, held = {}, {}, 0
+        yield from flush()
+
+    kinds = "lang_id long, group_id long, digest long, n long, d long" + ", term binary" * (only is not None)
+    return named.mapInArrow(rows, kinds)
+
+
+def _dictionary(named: DataFrame, bits: int) -> DataFrame:
+    """(digest, term, collides): the smallest term of every digest, and whether it is the only one."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, set[bytes]] = {}
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, found in seen.items():
+                terms = list(found)
+                columns = [np.full(len(terms), lang), _digests(lang, terms, bits), pa.array(terms, pa.binary())]
+                yield from _batches(["lang_id", "digest", "term"], columns)
+
+        for lang, text in records(batches):
+            found = seen.setdefault(lang, set())
+            before = len(found)
+            for terms in _term_lists(text, PIECE_BYTES):
+                found.update(terms)
+            held += len(found) - before
+            if held > HELD_TERMS:
+                yield from flush()
+                seen, held = {}, 0
+        yield from flush()
+
+    terms = named.select("lang_id", "text").mapInArrow(rows, "lang_id long, digest long, term binary")
+    # Tasks send a term once already, so it is dealt before it is aggregated.
+    found = terms.repartition("digest").groupBy("digest").agg(
+        F.min("term").alias("lo"), F.max("term").alias("hi"), F.min("lang_id").alias("la"), F.max("lang_id").alias("lb")
+    )
+    return found.select("digest", F.col("lo").cast("string").alias("term"), F.expr("lo <> hi OR la <> lb").alias("collides"))
 
 
 def _group_ids(seed: int) -> dict[str, Column]:
@@ -102,182 +158,267 @@ def _groups(named: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
     for seed in range(64):
         ids = _group_ids(seed)
         held = groups.withColumns(ids)
-        of_groups = held.agg(F.count_distinct("group_id") == F.count("*")).first()[0]
-        of_langs = held.agg(F.count_distinct("lang_id") == F.count_distinct("lang")).first()[0]
-        if of_groups and of_langs:
+        of_groups = F.count_distinct("group_id") == F.count("*")
+        of_langs = F.count_distinct("lang_id") == F.count_distinct("lang")
+        if held.agg(of_groups & of_langs).first()[0]:
             return held, ids
     raise ValueError("more groups than 64-bit digests tell apart")
 
 
-def _probability(count: str, total: str) -> Column:
-    """1 + floor(SCALE * (count + 1) / (total + v)), in decimals, so that no count overflows."""
-    return F.expr(
-        f"1 + cast({SCALE} as decimal(10, 0)) * cast({count} + 1 as decimal(20, 0)) div cast({total} + v as decimal(20, 0))"
-    )
+def _kept_rows(least_docs: int):
+    """Terms in enough documents as one row each, from rows sorted by (digest, group)."""
 
+    def reduced(columns: list[np.ndarray], new: np.ndarray) -> list[np.ndarray]:
+        at = np.flatnonzero(new)
+        return [columns[0][at], columns[1][at], *(np.add.reduceat(c, at) for c in columns[2:])]
+
+    def emitted(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        digest, group, n, d = columns
+        if not len(digest):
+            return
+        starts = np.flatnonzero(np.append(True, digest[1:] != digest[:-1]))
+        sizes = np.diff(np.append(starts, len(digest)))
+        keep = np.add.reduceat(d, starts) >= least_docs
+        rows = np.repeat(keep, sizes)
+        offsets = np.append(0, np.cumsum(sizes[keep])).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(c[rows])) for c in (group, n)]
+        yield from _batches(["digest", "groups", "counts"], [digest[starts][keep], *lists])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 4  # the last digest's groups: it may go on
+        for batch in batches:
+            columns = [np.append(h, c.to_numpy()) for h, c in zip(held, batch.columns)]
+            if not len(columns[0]):
+                continue
+            digest, group = columns[:2]
+            new = np.append(True, (digest[1:] != digest[:-1]) | (group[1:] != group[:-1]))
+            columns = reduced(columns, new)
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))
+            yield from emitted([c[:cut] for c in columns])
+            held = [c[cut:] for c in columns]
+        yield from emitted(held)
+
+    return rows
 
-def _kept_terms(terms: DataFrame, dictionary: DataFrame, least_docs: int) -> DataFrame:
-    """(lang_id, group_id, digest, split, n, lang_n, first) of terms in enough documents.
 
-    `split` is the text where terms collide, else null; `first` marks one row of every term of
-    a language. One shuffle by (language, digest) serves the counts and the sums over sources.
+def _kept_terms(named: DataFrame, dictionary: DataFrame, least_docs: int, bits: int) -> DataFrame:
+    """(digest, split, groups, counts) of terms in enough documents of their language.
+
+    `split` is the text where terms collide, else null. A term's row has an entry for every
+    source of its language that has it.
     """
-    collided = dictionary.where("lo <> hi").select("digest")
-    if collided.head(1):
-        apart = terms.join(collided, "digest", "left_anti").withColumn("split", F.lit(None).cast("string"))
-        alike = terms.join(collided, "digest", "left_semi").withColumn("split", F.col("term"))
-        keyed = apart.drop("term").unionByName(alike.drop("term"))
-    else:
-        keyed = terms.drop("term").withColumn("split", F.lit(None).cast("string"))
-    dealt = keyed.repartition("lang_id", "digest", "split")
-    counts = dealt.groupBy("lang_id", "digest", "split", "group_id").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
-    term = Window.partitionBy("lang_id", "digest", "split")
-    both = counts.select(
-        "*",
-        F.sum("d").over(term).alias("df"),
-        F.sum("n").over(term).alias("lang_n"),
-        (F.row_number().over(term.orderBy("group_id")) == 1).alias("first"),
+    counts = _counted(named, bits).select("digest", "group_id", "n", "d")
+    sorted_ = counts.repartition("digest").sortWithinPartitions("digest", "group_id")
+    kept = sorted_.mapInArrow(_kept_rows(least_docs), "digest long, groups array<long>, counts array<long>")
+    kept = kept.withColumn("split", F.lit(None).cast("string"))
+    # Few by the birthday bound: n terms give n^2 / 2^65 such pairs.
+    collided = {r["digest"] for r in dictionary.where("collides").select("digest").collect()}
+    if not collided:
+        return kept
+    rest = kept.join(dictionary.where("collides").select("digest"), "digest", "left_anti")
+    again = _counted(named, bits, collided).withColumn("split", F.col("term").cast("string"))
+    groups = again.groupBy("lang_id", "digest", "split", "group_id").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    split = groups.groupBy("lang_id", "digest", "split").agg(
+        F.sum("d").alias("d"), F.array_sort(F.collect_list(F.struct("group_id", "n"))).alias("g")
     )
-    return both.where(F.col("df") >= least_docs).drop("d", "df")
+    split = split.where(F.col("d") >= least_docs).select("digest", "g.group_id", "g.n", "split")
+    return rest.unionByName(split.toDF("digest", "groups", "counts", "split"))
 
 
 def _stats(kept: DataFrame, groups: DataFrame) -> DataFrame:
     """Groups with the number of terms (v) and words (lang_total) of their language, their own
-    words (total), their place (idx) among the language's sources and the number of these."""
-    own = kept.groupBy("group_id").agg(F.sum("n").alias("total"))
-    lang = kept.where("first").groupBy("lang_id").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
-    both = groups.join(own, "group_id", "left").join(lang, "lang_id", "left").na.fill(0, ["total", "v", "lang_total"])
-    langs = Window.partitionBy("lang_id")
-    return both.select(
-        "*",
-        (F.row_number().over(langs.orderBy("source")) - 1).alias("idx"),
-        F.count("*").over(langs).alias("n_sources"),
+    words (total) and the number of the language's sources."""
+    own = kept.select(F.explode(F.arrays_zip("groups", "counts")).alias("g")).select("g.*")
+    own = own.groupBy(F.col("groups").alias("group_id")).agg(F.sum("counts").alias("total"))
+    langs = kept.groupBy(F.col("groups")[0].alias("group_id")).agg(
+        F.count("*").alias("v"), F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("words")
     )
+    langs = langs.join(groups.select("group_id", "lang_id"), "group_id").groupBy("lang_id")
+    langs = langs.agg(F.sum("v").alias("v"), F.sum("words").alias("lang_total"))
+    sources = groups.groupBy("lang_id").agg(F.count("*").alias("n_sources"))
+    both = groups.join(own, "group_id", "left").join(sources, "lang_id").join(langs, "lang_id", "left")
+    return both.na.fill(0, ["total", "v", "lang_total"])
 
 
-def _term_part(scored: DataFrame, dictionary: DataFrame, most: int) -> DataFrame:
-    """(group_id, item, value, rank) of terms more frequent in a group than in its language.
-
-    A group's smallest value that can rank is found from how often each value occurs; text is
-    joined to the terms that reach it, and ties are ranked by it.
-    """
-    above = scored.where("p > q").withColumn("value", F.expr("(p - q) * (p - q) div q"))
-    down = Window.partitionBy("group_id").orderBy(F.desc("value"))
-    values = above.groupBy("group_id", "value").agg(F.count("*").alias("c"))
-    top = values.withColumn("at", F.row_number().over(down)).where(F.col("at") <= most)
-    before = F.sum("c").over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("c")
-    least = top.withColumn("before", before).where(F.col("before") < most)
-    least = least.groupBy("group_id").agg(F.min("value").alias("least"))
-    may_rank = above.join(least, "group_id").where("value >= least").select("group_id", "digest", "split", "value")
-    texts = may_rank.join(dictionary.select("digest", "lo"), "digest")
-    named = texts.select("group_id", "value", F.coalesce("split", "lo").alias("item"))
-    rank = F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("value"), "item"))
-    return named.withColumn("rank", rank).where(F.col("rank") <= most)
+def _p(counts: np.ndarray, totals: np.ndarray | int) -> np.ndarray:
+    """1 + floor(SCALE * (count + 1) / total), with Python integers where 64 bits could overflow."""
+    if counts.max(initial=0) < 2**62 // SCALE:
+        return 1 + SCALE * (counts + 1) // totals
+    return (1 + SCALE * (counts.astype(object) + 1) // totals).astype(np.int64)
 
 
-def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial sums (lang_id, s, t, value) from rows sorted by (lang_id, block, bucket), sources
-    (`head`) before terms, and by term.
+class _Bucket:
+    """Sums of one bucket of a language's terms, for one block of its sources.
 
-    A source's row has its probability of a term that it lacks; terms follow as rows of the
-    sources that have them, the first of each marked.
+    f of two probabilities is floor((p - q)^2 / q). No sum overflows: a group's probabilities
+    add up to little more than SCALE, so the squares add up to less than 3 * SCALE^2.
     """
-    key: tuple[int, int, int] | None = None
-    absent = np.empty(0, np.int64)
-    sums = np.empty((0, 0), np.int64)
-    left: tuple[np.ndarray, ...] = ()
-
-    def add(first: np.ndarray, idx: np.ndarray, p: np.ndarray) -> None:
-        starts = np.append(np.flatnonzero(first), len(first))
-        step = max(1, CELLS // max(1, len(absent)))
-        low = key[1] * SOURCE_BLOCK
-        for at in range(0, len(starts) - 1, step):
-            a, b = starts[at], starts[min(at + step, len(starts) - 1)]
-            term = np.cumsum(first[a:b]) - 1
-            cells = np.repeat(absent[None, :], term[-1] + 1, 0)
-            cells[term, idx[a:b]] = p[a:b]
-            for s in range(len(sums)):
-                apart = cells[:, low + s, None] - cells
-                sums[s] += (apart * apart // cells).sum(0)
-
-    def done() -> Iterator[pa.RecordBatch]:
-        if key is None:
-            return
-        if left:
-            add(*left)
-        low = key[1] * SOURCE_BLOCK
-        for s in range(len(sums)):
-            others = np.flatnonzero(np.arange(len(absent)) != low + s)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "lang_id": pa.array(np.full(len(others), key[0])),
-                    "s": pa.array(np.full(len(others), low + s), pa.int32()),
-                    "t": pa.array(others, pa.int32()),
-                    "value": pa.array(sums[s][others]),
-                }
-            )
-
-    for batch in batches:
-        lang, block, bucket, head, first, idx, p = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        new = np.ones(len(lang), bool)
-        new[1:] = (lang[1:] != lang[:-1]) | (block[1:] != block[:-1]) | (bucket[1:] != bucket[:-1])
-        cuts = np.append(np.flatnonzero(new), len(lang))
-        for a, b in zip(cuts, cuts[1:]):
-            now = int(lang[a]), int(block[a]), int(bucket[a])
-            if now != key:
-                yield from done()
-                key, absent, left = now, np.empty(0, np.int64), ()
-                sums = np.empty((0, 0), np.int64)
-            n_heads = int(head[a:b].sum())
-            if n_heads:
-                absent = np.append(absent, p[a : a + n_heads])
-                rows = min(SOURCE_BLOCK, len(absent) - key[1] * SOURCE_BLOCK)
-                sums = np.zeros((max(0, rows), len(absent)), np.int64)
-            a += n_heads
-            if a == b:
-                continue
-            part = first[a:b], idx[a:b], p[a:b]
-            if left:
-                part = tuple(np.concatenate(x) for x in zip(left, part))
-            last = int(np.flatnonzero(part[0])[-1])  # the last term may go on in the next batch
-            if last:
-                add(*(x[:last] for x in part))
-            left = tuple(x[last:] for x in part)
-    yield from done()
-
 
-def _pair_part(scored: DataFrame, stats: DataFrame) -> DataFrame:
-    """(group_id, item, value, rank) of every other source of a group's language.
-
-    A language's terms are dealt to buckets and its sources to blocks; each task adds up all
-    terms of its bucket before it sends one sum for each pair. Every pair gets a sum, those of
+    def __init__(self, block: int, heads: list[tuple[int, int, int, int]], most: int, sources: int, cells: int) -> None:
+        self.block, self.most, self.cells = block, most, cells
+        heads = sorted(heads)
+        self.groups = np.array([h[0] for h in heads], np.int64)
+        self.size = np.array([h[1] + h[2] for h in heads], np.int64)
+        self.lang_size = heads[0][3] + heads[0][2]
+        self.absent = _p(np.zeros(len(heads), np.int64), np.maximum(1, self.size))
+        self.low = block * sources
+        self.sums = np.zeros((min(sources, len(heads) - self.low), len(heads)), np.int64)
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.splits: dict[int, str] = {}
+        self.n = 0
+
+    def add(self, digests: np.ndarray, splits: list[str | None], sizes: np.ndarray, groups: np.ndarray, counts: np.ndarray) -> None:
+        step = max(1, self.cells // len(self.groups))
+        ends = np.cumsum(sizes)
+        for at in range(0, len(sizes), step):
+            here = slice(at, at + step)
+            rows = slice(int(ends[at] - sizes[at]), int(ends[here][-1]))
+            self._add(digests[here], splits[here], sizes[here], groups[rows], counts[rows])
+
+    def _add(self, digests: np.ndarray, splits: list[str | None], sizes: np.ndarray, groups: np.ndarray, counts: np.ndarray) -> None:
+        term = np.repeat(np.arange(len(sizes)), sizes)
+        source = np.searchsorted(self.groups, groups)
+        p = _p(counts, self.size[source])
+        cells = np.repeat(self.absent[None, :], len(sizes), 0)
+        cells[term, source] = p
+        for s in range(len(self.sums)):
+            apart = cells[:, self.low + s, None] - cells
+            self.sums[s] += (apart * apart // cells).sum(0)
+        if self.block == 0:
+            q = _p(np.add.reduceat(counts, np.cumsum(sizes) - sizes), self.lang_size)[term]
+            above = np.flatnonzero(p > q)
+            value = (p[above] - q[above]) ** 2 // q[above]
+            self.found.append((source[above], term[above] + self.n, value))
+            self.splits |= {self.n + k: text for k, text in enumerate(splits) if text is not None}
+            self.digests = np.append(self.digests, digests) if self.n else digests
+            self.n += len(sizes)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """(part, group_id, other, value, split): sums against each other source, and the terms
+        of each source with one of the largest values of the bucket, all of equal value alike."""
+        names = ["part", "group_id", "other", "value", "split"]
+
+        def batch(part: str, group: np.ndarray, other: np.ndarray, value: np.ndarray, split: list[str | None]):
+            kind = pa.array([part] * len(group), pa.string())
+            return _batches(names, [kind, group, other, value, pa.array(split, pa.string())])
+
+        for s, sums in enumerate(self.sums, self.low):
+            others = np.flatnonzero(np.arange(len(self.groups)) != s)
+            none = [None] * len(others)
+            yield from batch("pair", np.full(len(others), self.groups[s]), self.groups[others], sums[others], none)
+        if not self.found:
+            return
+        source, term, value = (np.concatenate(c) for c in zip(*self.found))
+        for s in np.unique(source).tolist():
+            at = np.flatnonzero(source == s)
+            if len(at) > self.most:
+                least = np.partition(value[at], len(at) - self.most)[len(at) - self.most]
+                at = at[value[at] >= least]
+            group = np.full(len(at), self.groups[s])
+            texts = [self.splits.get(k) for k in term[at].tolist()]
+            yield from batch("term", group, self.digests[term[at]], value[at], texts)
+
+
+def _bucket_sums(most: int):
+    """Rows of `_Bucket` from rows sorted by (lang_id, block, bucket), sources before terms."""
+    sources, cells = SOURCE_BLOCK, CELLS
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple[int, int, int] | None = None
+        heads: list[tuple[int, int, int, int]] = []
+        bucket: _Bucket | None = None
+        for batch in batches:
+            keys = [batch.column(k).to_numpy() for k in range(3)]
+            new = np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))
+            cuts = np.append(np.flatnonzero(new), batch.num_rows)
+            for a, b in zip(cuts, cuts[1:]):
+                now = tuple(int(k[a]) for k in keys)
+                if now != key:
+                    if key is not None:
+                        yield from (bucket or _Bucket(key[1], heads, most, sources, cells)).rows()
+                    key, heads, bucket = now, [], None
+                part = batch.slice(a, b - a)
+                n_heads = int(part.column("head").to_numpy(zero_copy_only=False).sum())
+                if n_heads:
+                    ids = part.column("groups").slice(0, n_heads).flatten().to_pylist()
+                    sizes = part.column("counts").slice(0, n_heads).to_pylist()
+                    heads += [(group, *size) for group, size in zip(ids, sizes)]
+                part = part.slice(n_heads)
+                if part.num_rows:
+                    bucket = bucket or _Bucket(key[1], heads, most, sources, cells)
+                    groups = part.column("groups")
+                    bucket.add(
+                        part.column("digest").to_numpy(),
+                        part.column("split").to_pylist(),
+                        groups.value_lengths().to_numpy().astype(np.int64),
+                        groups.flatten().to_numpy(),
+                        part.column("counts").flatten().to_numpy(),
+                    )
+        if key is not None:
+            yield from (bucket or _Bucket(key[1], heads, most, sources, cells)).rows()
+
+    return rows
+
+
+def _values(kept: DataFrame, stats: DataFrame, most: int) -> DataFrame:
+    """Rows of `_Bucket` over all kept terms.
+
+    A language's terms are dealt to buckets and its sources to blocks; a task adds up all terms
+    of a bucket before it sends one sum for each pair. Every pair gets a sum, those of
     languages without kept terms as well.
     """
-    blocks = F.expr(f"(n_sources - 1) div {SOURCE_BLOCK}")
-    buckets = F.greatest(F.lit(1), F.least(F.expr(f"v div {BUCKET_TERMS}"), F.lit(4096)))
-    block = F.explode(F.sequence(F.lit(0).cast("long"), blocks)).alias("block")
-    names = ["lang_id", "block", "bucket", "head", "first", "idx", "p", "digest", "split"]
-    absent = F.when(F.col("v") > 0, _probability("0", "total")).otherwise(F.lit(1)).cast("long")
-    heads = stats.select("*", block).select(
-        "*", F.explode(F.sequence(F.lit(0).cast("long"), buckets.cast("long") - 1)).alias("bucket")
+    buckets = F.expr(f"greatest(1, least(v div {BUCKET_TERMS}, {MOST_BUCKETS}))")
+    blocks = F.expr(f"sequence(0L, (n_sources - 1) div {SOURCE_BLOCK})")
+    names = ["lang_id", "block", "bucket", "head", "digest", "split", "groups", "counts"]
+    heads = stats.select("*", F.explode(blocks).alias("block")).select(
+        "lang_id",
+        "block",
+        F.explode(F.sequence(F.lit(0).cast("long"), buckets.cast("long") - 1)).alias("bucket"),
+        F.lit(True).alias("head"),
+        F.lit(0).cast("long").alias("digest"),
+        F.lit(None).cast("string").alias("split"),
+        F.array("group_id").alias("groups"),
+        F.array("total", "v", "lang_total").alias("counts"),
     )
-    heads = heads.withColumns({"head": F.lit(True), "first": F.lit(False), "p": absent})
-    heads = heads.withColumns({"digest": F.lit(None).cast("long"), "split": F.lit(None).cast("string")})
-    terms = scored.select("*", block).withColumns(
+    of_lang = stats.select("lang_id", "group_id", "v", "n_sources")
+    terms = kept.withColumn("group_id", F.col("groups")[0]).join(of_lang, "group_id")
+    terms = terms.select("*", F.explode(blocks).alias("block")).withColumns(
         {"bucket": F.pmod(F.xxhash64("digest"), buckets.cast("long")), "head": F.lit(False)}
     )
     rows = heads.select(*names).unionByName(terms.select(*names)).repartition("lang_id", "block", "bucket")
-    rows = rows.sortWithinPartitions("lang_id", "block", "bucket", F.desc("head"), "digest", "split", F.desc("first"), "idx")
-    sums = rows.select(*names[:7]).mapInArrow(_pair_sums, "lang_id long, s int, t int, value long")
-    sums = sums.groupBy("lang_id", "s", "t").agg(F.sum("value").alias("value"))
-    ours = stats.select("lang_id", F.col("idx").alias("s"), "group_id")
-    theirs = stats.select("lang_id", F.col("idx").alias("t"), F.col("source").alias("item"))
-    named = sums.join(ours, ["lang_id", "s"]).join(theirs, ["lang_id", "t"])
-    rank = F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("value"), "item"))
-    return named.select("group_id", "item", "value", rank.alias("rank"))
+    rows = rows.sortWithinPartitions("lang_id", "block", "bucket", F.desc("head"))
+    return rows.mapInArrow(_bucket_sums(most), "part string, group_id long, other long, value long, split string")
+
+
+def _pair_part(values: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group_id, item, value) of every other source of a group's language."""
+    sums = values.where("part = 'pair'").groupBy("group_id", "other").agg(F.sum("value").alias("value"))
+    named = groups.select(F.col("group_id").alias("other"), F.col("source").alias("item"))
+    return sums.join(named, "other").select("group_id", "item", "value")
+
 
+def _term_part(values: DataFrame, dictionary: DataFrame, most: int) -> DataFrame:
+    """(group_id, item, value) of terms more frequent in a group than in its language that may
+    be among the `most` first.
 
-def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, most_ranks: int = MOST_RANKS) -> DataFrame:
+    A group's smallest value that can rank is found from how often each value occurs; text is
+    joined only to the terms that reach it.
+    """
+    terms = values.where("part = 'term'")
+    down = Window.partitionBy("group_id").orderBy(F.desc("value"))
+    counts = terms.groupBy("group_id", "value").agg(F.count("*").alias("c"))
+    top = counts.withColumn("place", F.row_number().over(down)).where(F.col("place") <= most)
+    before = F.sum("c").over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("c")
+    least = top.withColumn("before", before).where(F.col("before") < most)
+    least = least.groupBy("group_id").agg(F.min("value").alias("least"))
+    may_rank = terms.join(least, "group_id").where("value >= least").withColumnRenamed("other", "digest")
+    named = may_rank.join(dictionary.select("digest", "term"), "digest")
+    return named.select("group_id", F.coalesce("split", "term").alias("item"), "value")
+
+
+def audit(
+    docs: DataFrame, least_docs: int = LEAST_DOCS, most_ranks: int = MOST_RANKS, digest_bits: int = DIGEST_BITS
+) -> DataFrame:
     """(lang, source, part, item, value, rank) of every occurring group (lang, source).
 
     Part `pair` lists every other source of the language by the divergence summed over the
@@ -290,20 +431,16 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, most_ranks: int = MOST_
         F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), utf8("text").alias("text")
     )
     groups, ids = _groups(named)
-    counted = named.select(*(c.alias(n) for n, c in ids.items()), "text").mapInArrow(
-        _counted, "lang_id long, group_id long, term binary, n long, d long"
-    )
-    terms = counted.withColumn("term", F.col("term").cast("string"))
-    terms = written(terms.withColumn("digest", _digest(F.col("term"))), "terms")
-    dictionary = written(terms.groupBy("digest").agg(F.min("term").alias("lo"), F.max("term").alias("hi")), "dictionary")
-    kept = written(_kept_terms(terms, dictionary, least_docs), "kept_terms")
+    keyed = named.select(*(c.alias(n) for n, c in ids.items()), "text")
+    dictionary = written(_dictionary(keyed, digest_bits), "dictionary")
+    kept = written(_kept_terms(keyed, dictionary, least_docs, digest_bits), "kept_terms")
     stats = written(_stats(kept, groups), "group_stats")
-    joined = kept.join(stats.select("group_id", "total", "v", "lang_total", "idx", "n_sources"), "group_id")
-    scored = joined.withColumns({"p": _probability("n", "total"), "q": _probability("lang_n", "lang_total")})
-    parts = {"pair": _pair_part(scored, stats), "term": _term_part(scored, dictionary, most_ranks)}
-    columns = ["group_id", "part", "item", "value", "rank"]
-    pairs, tops = (df.withColumn("part", F.lit(name)).select(*columns) for name, df in parts.items())
-    found = pairs.unionByName(tops).join(stats.select("group_id", "lang", "source"), "group_id")
+    values = written(_values(kept, stats, most_ranks), "divergences")
+    pairs = _pair_part(values, groups).withColumn("part", F.lit("pair"))
+    terms = _term_part(values, dictionary, most_ranks).withColumn("part", F.lit("term"))
+    rank = F.row_number().over(Window.partitionBy("group_id", "part").orderBy(F.desc("value"), "item"))
+    tops = terms.withColumn("rank", rank).where(F.col("rank") <= most_ranks)
+    found = pairs.withColumn("rank", rank).unionByName(tops).join(groups.select("group_id", "lang", "source"), "group_id")
     return found.select("lang", "source", "part", "item", "value", "rank")
 
 

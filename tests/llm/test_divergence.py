@@ -77,10 +77,10 @@ def test_against_plain_python(spark, monkeypatch, held, piece, cells, block, buc
         spark.conf.unset(size)
 
 
-def test_colliding_digests_are_split(spark, monkeypatch):
-    monkeypatch.setattr(divergence, "_digest", lambda term: F.length(term).cast("long"))
+@pytest.mark.parametrize("bits", [0, 3, 7])
+def test_colliding_digests_are_split(spark, bits):
     docs = made(4)
-    assert rows(divergence.audit(frame(spark, docs))) == brute(docs)
+    assert rows(divergence.audit(frame(spark, docs), digest_bits=bits)) == brute(docs)
 
 
 def test_colliding_groups_get_another_seed(spark, monkeypatch):
