@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import types as T
 
 from fieldeval import schema as S
 from fieldeval.functions.base import is_in
+from fieldeval.sources.splits import JsonFiles, read_csv
 
 # Plain numbers only: no exponent-free nan or inf, no type suffixes.
 _NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
@@ -47,11 +47,12 @@ def _numeric_text(value: Column) -> Column:
 def _csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
     """CSV rows with ``__order``: file path, start of the split, row in it.
 
-    With ``multi_line`` quoted line breaks are read and a file is one task; without it large
-    files are split.
+    Large files are split. With ``multi_line`` quoted line breaks are read, which takes one scan
+    more to tell where quotes are open.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-    rows = reader.csv(path)
+    if multi_line:
+        return read_csv(spark, path)
+    rows = spark.read.option("header", True).option("escape", '"').csv(path)
     place = F.struct(
         F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
     )
@@ -118,17 +119,14 @@ def first_truth(rows: DataFrame, key_col: str = "image_filename", order_col: str
     return rows.groupBy(key_col).agg(first.alias("r")).select(key_col, "r.*")
 
 
-def _texts(spark: SparkSession, path: str) -> DataFrame:
-    """(file, value) with the whole text of each file; null for an empty file, which the
-    reader passes over, so those are told from the listing."""
-    files = spark.read.format("binaryFile").load(path)
-    texts = files.select(F.col("path").alias("file"), F.col("content").cast("string").alias("value"))
-    listed = spark.createDataFrame([(unquote(f),) for f in files.inputFiles()], "file string")
-    plain = [F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/") for c in ("file", "path")]
-    read = files.select("path", F.lit("").alias("read"))
-    # An outer join: what is raised for empty files must not be worked out before it.
-    empty = listed.join(read, plain[0] == plain[1], "left").where(F.col("read").isNull())
-    return texts.unionByName(empty.select("file", F.col("read").alias("value")))
+def _json_files(spark: SparkSession, path: str, key: str = "results") -> JsonFiles:
+    """JSON files under a path. Spark's readers pass over empty ones, which are no JSON: they
+    are told by their number, so no list of paths is held here."""
+    files = spark.read.format("binaryFile").load(path).select("path")
+    listed = len(files._jdf.inputFiles())
+    if listed != files.count():
+        raise ValueError(f"Invalid JSON in {path}: {listed - files.count()} empty file(s)")
+    return JsonFiles(spark, path, key)
 
 
 def parse_batches(texts: DataFrame) -> DataFrame:
@@ -152,23 +150,26 @@ def parse_batches(texts: DataFrame) -> DataFrame:
     )
 
 
+def _typed(items: DataFrame) -> DataFrame:
+    """Items' texts (item) replaced by their columns."""
+    return items.withColumn("r", F.from_json("item", RESULT_SCHEMA)).select("file", "file_model", "is_list", "pos", "r.*")
+
+
 def batch_rows(parsed: DataFrame) -> DataFrame:
     """A row for each item of parsed batches that is an object."""
     rows = parsed.select("file", "file_model", "is_list", F.posexplode("items").alias("pos", "item"))
-    return (
-        rows.where(F.ltrim("item").startswith("{"))
-        .withColumn("r", F.from_json("item", RESULT_SCHEMA))
-        .select("file", "file_model", "is_list", "pos", "r.*")
-    )
+    return _typed(rows.where(F.ltrim("item").startswith("{")))
 
 
 def read_batch_results(spark: SparkSession, path: str) -> DataFrame:
     """Result rows from JSON files holding a list, or an object with ``results``.
 
     Any other object gives no rows, items that are not objects are skipped, and a file that
-    is not JSON is an error. Each file is one task; many files are read side by side.
+    is not JSON, an empty one included, is an error. A large file is read in many tasks.
     """
-    return batch_rows(parse_batches(_texts(spark, path)))
+    batches = _json_files(spark, path)
+    items = batches.objects().withColumnRenamed("value", "item").join(batches.files(), "file")
+    return _typed(items)
 
 
 def batch_image(rows: DataFrame) -> DataFrame:
@@ -184,6 +185,12 @@ def model_of(parsed: DataFrame) -> DataFrame:
     A list may name the model in that item, its method or its file name; an object in that
     item or, where it has no items, at the top level.
     """
+    first = F.get("items", F.lit(0))
+    return _model_of(parsed.select("file", "file_model", "is_list", first.alias("item"), (F.size("items") > 0).alias("has_items")))
+
+
+def _model_of(files: DataFrame) -> DataFrame:
+    """The same of files with their first item's text."""
 
     def named(c: Column) -> Column:
         low = F.lower(c)
@@ -191,17 +198,18 @@ def model_of(parsed: DataFrame) -> DataFrame:
             F.contains(low, F.lit("internvl")), "internvl"
         )
 
-    first = F.from_json(F.get("items", F.lit(0)), RESULT_SCHEMA)
-    item = parsed.withColumn("r", first)
+    item = files.withColumn("r", F.from_json("item", RESULT_SCHEMA))
     guess = F.when(
         F.col("is_list"), F.coalesce("r.model", named(F.col("r.extraction_method")), named(F.col("r.filename")))
-    ).otherwise(F.when(F.size("items") > 0, F.col("r.model")).otherwise(F.col("file_model")))
+    ).otherwise(F.when(F.col("has_items"), F.col("r.model")).otherwise(F.col("file_model")))
     return item.select("file", guess.alias("model"))
 
 
 def detect_model(spark: SparkSession, path: str) -> DataFrame:
     """Model of each batch file, null where it is not named."""
-    return model_of(parse_batches(_texts(spark, path)))
+    batches = _json_files(spark, path)
+    first = batches.objects().where(F.col("pos") == 0).select("file", F.col("value").alias("item"))
+    return _model_of(batches.files().join(first, "file", "left"))
 
 
 def comparison_map(texts: DataFrame, part: str) -> DataFrame:
@@ -215,7 +223,8 @@ def read_comparison_results(
     spark: SparkSession, path: str, part: str = "model_estimated_vram", numbers: bool = True
 ) -> DataFrame:
     """(model, value) rows of one per-model map of comparison files, as numbers or as text."""
-    found = comparison_map(_texts(spark, path), part)
+    objects = _json_files(spark, path, part).objects(items=False)
+    found = objects.select(F.explode(F.from_json("value", "map<string,string>")).alias("model", "value"))
     return found.withColumn("value", F.col("value").try_cast("double")) if numbers else found
 
 
