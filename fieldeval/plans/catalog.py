@@ -16,7 +16,8 @@ from fieldeval.plans import derive as D
 from fieldeval.plans import oracle as O
 from fieldeval.plans.derive import Inputs
 from fieldeval.schema import DEFAULT_SPEC, FieldSpec
-from fieldeval.sources import readers
+from fieldeval.sources import readers, writers
+from fieldeval.sources.batches import read_published
 
 
 class Query(NamedTuple):
@@ -1348,3 +1349,104 @@ SELECT 'f' || event_id || CASE e WHEN 0 THEN '.png' WHEN 1 THEN '.JPG' WHEN 2 TH
 def _(i):
     files = i.sql(D.FILE_SQL, hex=f"unhex({D.FILE_HEX})")
     return readers.verify_images(readers.images_of(files)).select("name", "verified")
+
+
+# --------------------------------------------------------- files written and read again
+
+# What is written is read back by the readers for files, so these cover both sides. Every append
+# is made twice with one batch id.
+
+
+def _appended(i: Inputs, name: str, write: Callable[[str, str], bool]) -> str:
+    path = i.scratch(name)
+    for _ in range(2):
+        write(path, "first")
+    return path
+
+
+@query("write_wide_csv", CATALOG["to_wide"].sql)
+def _(i):
+    path = i.scratch("wide")
+    writers.write_wide_csv(fields.to_wide(i.results(), DEFAULT_SPEC, "doc_id", "model"), path)
+    return readers.lookup_truth(i.spark, path).na.fill("")  # the CSV reader has empty text as null
+
+
+_FILE_ROWS = "SELECT r.doc_id AS filename, r.model, r.successful AS success, r.processing_time, e.value AS total FROM runs r LEFT JOIN extr e ON e.k = r.k AND e.model = r.model AND e.field = 'TOTAL'"
+
+
+@query("read_batch_results", O.BASE + " " + _FILE_ROWS)
+def _(i):
+    path = i.scratch("lists")
+    rows = i.results().select(
+        F.col("doc_id").alias("filename"), "model", "extracted_fields", "processing_time", F.col("successful").alias("success")
+    )
+    writers.write_json_lists(rows, path)
+    found = readers.read_batch_results(i.spark, path)
+    total = F.try_element_at("extracted_fields", F.lit("TOTAL"))
+    return found.select("filename", "model", "success", "processing_time", total.alias("total"))
+
+
+@query(
+    "read_truth_csv",
+    O.BASE + " SELECT doc_id, chr(34) || PAYER_NAME || chr(10) || ', ' || BANK_NAME AS supplier, replace(DESCRIPTIONS, ' | ', chr(10)) AS descriptions FROM truth_wide",
+)
+def _(i):
+    """Values with quotes, commas and line breaks; every document is listed twice, the last wins."""
+    path = i.scratch("truth")
+    name = F.concat(F.lit('"'), "PAYER_NAME", F.lit("\n, "), "BANK_NAME")
+    items = F.replace("DESCRIPTIONS", F.lit(" | "), F.lit("\n"))
+    rows = i.truth_wide().select(F.col("doc_id").alias("image_file"), name.alias("SUPPLIER"), items.alias("DESCRIPTIONS"))
+    older = F.struct("image_file", F.lit("before\n").alias("SUPPLIER"), F.lit("").alias("DESCRIPTIONS"))
+    twice = rows.select(F.explode(F.array(older, F.struct(*rows.columns))).alias("r"))
+    writers.write_wide_csv(twice.select("r.*"), path)
+    found = readers.read_truth_csv(i.spark, path)
+    cells = [F.element_at("truth_fields", n).alias(n.lower()) for n in ("SUPPLIER", "DESCRIPTIONS")]
+    return found.select("doc_id", *cells)
+
+
+def _batch_results(i: Inputs) -> str:
+    rows = i.results().drop("k", "seed")
+    return _appended(i, "batch", lambda path, name: writers.write_batch_results(rows, path, name))
+
+
+@query("write_batch_results", O.BASE + " " + _FILE_ROWS + " WHERE r.successful")
+def _(i):
+    schema = "doc_id string, model string, successful boolean, processing_time double, extracted_fields map<string,string>"
+    found = writers.read_results(i.spark, _batch_results(i), schema)
+    total = F.try_element_at("extracted_fields", F.lit("TOTAL"))
+    return found.select(F.col("doc_id").alias("filename"), "model", F.col("successful").alias("success"), "processing_time", total.alias("total"))
+
+
+@query("failed_images", O.BASE + " SELECT model, doc_id AS image, 'TimeoutError: order ' || k AS error, 'first' AS batch FROM runs WHERE NOT successful")
+def _(i):
+    return writers.read_failures(i.spark, _batch_results(i))
+
+
+@query(
+    "batch_totals",
+    O.BASE + """ SELECT model, count(*) AS total_images, count(*) FILTER (successful) AS successful_extractions, count(*) FILTER (NOT successful) AS failed_extractions,
+  round(coalesce(sum(processing_time) FILTER (successful), 0), 6) AS processing_time, round(count(*) FILTER (successful) / count(*), 6) AS success_rate, 'first' AS batch FROM runs GROUP BY model""",
+)
+def _(i):
+    return writers.read_totals(i.spark, _batch_results(i))
+
+
+@query("write_comparison_results", O.BASE + " SELECT doc_id, model, successful, 'first' AS batch FROM runs")
+def _(i):
+    rows = i.results().select("doc_id", "model", "successful")
+    path = _appended(i, "comparison", lambda path, name: writers.write_comparison_results(rows, path, name))
+    return read_published(i.spark, path, schema="doc_id string, model string, successful boolean")
+
+
+@query(
+    "append_truth",
+    O.BASE + " SELECT doc_id, TOTAL AS total, PAYER_NAME AS payer, CASE WHEN k % 2 = 0 THEN 'even' ELSE 'odd' END AS batch FROM truth_wide",
+)
+def _(i):
+    """Two batches, each appended twice."""
+    path = i.scratch("appended")
+    for name, rest in (("even", 0), ("odd", 1), ("even", 0), ("odd", 1)):
+        wide = i.truth_wide().where(F.col("k") % 2 == rest)
+        writers.append_truth(wide.select("doc_id", "TOTAL", "PAYER_NAME"), wide.select("doc_id", "k"), path, batch_id=name)
+    found = writers.read_truth(i.spark, path)
+    return found.select("doc_id", F.col("TOTAL").alias("total"), F.col("PAYER_NAME").alias("payer"), "batch")

@@ -8,6 +8,9 @@ both; the gathering of order lines is written for each engine on its own.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -298,12 +301,22 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPEC = DEFAULT_SPEC
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share, for what a query writes and
+    reads again; a local folder only where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class Inputs:
     """The derived inputs of one data directory, built on demand."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
 
+    def scratch(self, name: str) -> str:
+        return scratch(self.spark, name)
+
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 

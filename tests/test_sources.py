@@ -108,8 +108,8 @@ def test_writers(spark, folder):
         "doc_id string, model string, successful boolean, error string, processing_time double, extracted_fields map<string,string>",
     )
     W.write_batch_results(rows, f"{folder}/batch")
-    assert spark.read.json(f"{folder}/batch/totals").count() == 2
-    assert spark.read.json(f"{folder}/batch/failed_images").first()["error"] == "boom"
+    assert W.read_totals(spark, f"{folder}/batch").count() == 2
+    assert W.read_failures(spark, f"{folder}/batch").first()["error"] == "boom"
     W.write_comparison_results(rows, f"{folder}/cmp")
     assert spark.read.json(f"{folder}/cmp").where("model = 'm1'").count() == 1
     wide = fields.to_wide(rows, DEFAULT_SPEC, "doc_id")
