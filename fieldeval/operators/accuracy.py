@@ -11,7 +11,7 @@ from fieldeval.functions.base import count_if, ratio, strip
 from fieldeval.functions.score import Scorer, match_field, score_field, truth_missing
 from fieldeval.functions.values import has_value
 from fieldeval.operators.align import align_with_truth, score_documents, score_fields
-from fieldeval.operators.fields import lookup
+from fieldeval.operators.shredded import Fields
 from fieldeval.schema import FieldSpec
 
 # Decimal places at which accuracies are compared with thresholds and with each other.
@@ -30,7 +30,7 @@ def document_accuracy(
     ok = F.col("successful")
     known = F.filter("scores", lambda s: ~truth_missing(s["truth"], s["field"]))
     total = F.aggregate("scores", F.lit(0.0), lambda acc, s: acc + s["score"])
-    found = F.size(F.map_filter("extracted_fields", lambda k, v: k.isin(*spec.names)))
+    found = Fields(results).count_of(spec.names)
     return score_documents(results, truth, spec, scorer, key).select(
         key,
         "model",
@@ -83,7 +83,7 @@ def field_accuracy(scored_fields: DataFrame) -> DataFrame:
 def non_na_fields(results: DataFrame) -> DataFrame:
     """Mean number of filled fields per document and model."""
     filled = F.size(
-        F.filter(F.map_values("extracted_fields"), lambda v: has_value(v, "strict"))
+        F.filter(Fields(results).values(), lambda v: has_value(v, "strict"))
     )
     return results.groupBy("model").agg(F.avg(filled).alias("non_na_fields"))
 
@@ -304,7 +304,7 @@ def accuracy_by_type(
     doc_accuracy: DataFrame, truth: DataFrame, type_field: str = "DOCUMENT_TYPE", key: str = "doc_id"
 ) -> DataFrame:
     """Mean accuracy per model and true document type; null where no truth is known."""
-    kinds = truth.select(key, lookup("truth_fields", type_field).alias("document_type"))
+    kinds = truth.select(key, Fields(truth, "truth_fields").get(type_field).alias("document_type"))
     return (
         doc_accuracy.select(key, "model", "accuracy")
         .join(kinds, key, "left")
@@ -320,7 +320,7 @@ def low_accuracy_documents(doc_accuracy: DataFrame, below: float = 0.8) -> DataF
 
 def sparse_documents(results: DataFrame, below: int = 10) -> DataFrame:
     """Documents with fewer than ``below`` filled fields."""
-    filled = F.size(F.filter(F.map_values("extracted_fields"), lambda v: has_value(v, "rates")))
+    filled = F.size(F.filter(Fields(results).values(), lambda v: has_value(v, "rates")))
     return results.withColumn("filled", filled).where(F.col("filled") < below)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fieldeval.functions.base import strip
 from fieldeval.functions.score import Scorer, score_field
 from fieldeval.operators.fields import lookup
+from fieldeval.operators.shredded import Fields
 from fieldeval.operators.skew import join_spread
 from fieldeval.schema import FieldSpec
 
@@ -40,8 +41,25 @@ def _names(spec: FieldSpec) -> Column:
     )
 
 
-def _values(spec: FieldSpec, absent: str | None) -> Column:
+def _cells(joined: DataFrame, spec: FieldSpec, absent: str | None) -> list[tuple[str, list[Column]]] | None:
+    """(field, (ordinal, field, truth, extracted)) over the fields of the spec, where both sides
+    or one of them have them by their place; null where both are maps."""
+    sides = [Fields(joined, c) for c in ("truth_fields", "extracted_fields")]
+    if not any(s.shredded for s in sides):
+        return None
+
+    def found(i: int, n: str) -> list[Column]:
+        truth, extracted = (F.coalesce(s.get(n), F.lit(absent)) for s in sides)
+        return [F.lit(i).alias("ordinal"), F.lit(n).alias("field"), truth.alias("truth"), extracted.alias("extracted")]
+
+    return [(n, found(i, n)) for i, n, _ in spec.items()]
+
+
+def _values(joined: DataFrame, spec: FieldSpec, absent: str | None) -> Column:
     """Array of (ordinal, field, truth, extracted) over the fields of the spec."""
+    cells = _cells(joined, spec, absent)
+    if cells is not None:
+        return F.array(*(F.struct(*c) for _, c in cells))
 
     def found(s: Column) -> Column:
         return F.struct(
@@ -70,7 +88,7 @@ def align_with_truth(
     """
     held = list(dict.fromkeys((key, "model", *keep)))
     joined = with_truth(results.select(*held, "extracted_fields"), truth, key, how)
-    return joined.select(*held, F.inline(_values(spec, absent)))
+    return joined.select(*held, F.inline(_values(joined, spec, absent)))
 
 
 def score_fields(
@@ -103,6 +121,10 @@ def score_documents(
     """
 
     names = list(scorer.facts(F.lit(""), F.lit(""), F.lit("")))
+    joined = with_truth(results, truth, key)
+    cells = _cells(joined, spec, "")
+    if cells is not None:
+        return _score_cells(joined, cells, scorer)
 
     def normal(s: Column) -> Column:
         facts = scorer.facts(s["extracted"], s["truth"], s["field"])
@@ -115,8 +137,25 @@ def score_documents(
             scorer.rule({k: s[k] for k in names}, row["field"]).alias("score"),
         )
 
-    steps = F.transform(F.transform(_values(spec, ""), normal), scored)
-    return with_truth(results, truth, key).withColumn("scores", steps).drop("truth_fields")
+    steps = F.transform(F.transform(_values(joined, spec, ""), normal), scored)
+    return joined.withColumn("scores", steps).drop("truth_fields")
+
+
+def _score_cells(joined: DataFrame, cells: list[tuple[str, list[Column]]], scorer: Scorer) -> DataFrame:
+    """`score_documents` field by field: each has the part of the rule that its name leaves."""
+    facts = {
+        f"__{i}_{k}": v
+        for i, (n, (_, _, truth, extracted)) in enumerate(cells)
+        for k, v in scorer.facts(extracted, truth, F.lit(n)).items()
+    }
+    names = list(scorer.facts(F.lit(""), F.lit(""), F.lit("")))
+
+    def scored(i: int, n: str, cell: list[Column]) -> Column:
+        rule = scorer.rule({k: F.col(f"__{i}_{k}") for k in names}, F.lit(n))
+        return F.struct(*cell, rule.alias("score"))
+
+    scores = F.array(*(scored(i, n, cell) for i, (n, cell) in enumerate(cells)))
+    return joined.withColumns(facts).withColumn("scores", scores).drop("truth_fields", *facts)
 
 
 def flag_missing_inputs(truth: DataFrame, images: DataFrame, key: str = "doc_id") -> DataFrame:

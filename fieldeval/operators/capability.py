@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldeval.functions.base import count_if, ratio
 from fieldeval.operators.fields import weight_of
+from fieldeval.operators.shredded import Fields
 from fieldeval.schema import FieldSpec
 
 CRITICAL_WEIGHT = 0.8
@@ -21,7 +22,7 @@ COMPONENTS = (
 def extraction_capability(rows: DataFrame, spec: FieldSpec) -> DataFrame:
     """Rows need model, successful, extraction_time, extracted_fields and optionally
     field_count and core_fields_found. Scores are taken inside each row, then averaged."""
-    names = F.transform(F.map_keys("extracted_fields"), F.upper)
+    names = F.transform(Fields(rows).keys(), F.upper)
     known = F.filter(names, lambda k: k.isin(*spec.names))
     critical = [n for n, w in zip(spec.names, spec.weights) if w >= CRITICAL_WEIGHT]
     weight = F.aggregate(known, F.lit(0.0), lambda acc, k: acc + weight_of(k, spec))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fieldeval import schema as S
 from fieldeval.functions.base import col_of, count_if, ratio, strip
 from fieldeval.functions.values import doc_name, has_value, na_to_null, quality_rating
+from fieldeval.operators.shredded import Fields
 from fieldeval.schema import Bands, FieldSpec
 
 
@@ -65,9 +66,7 @@ def attach_weights(rows: DataFrame, spec: FieldSpec) -> DataFrame:
 
 
 def restrict_to_spec(rows: DataFrame, spec: FieldSpec, fields: str = "extracted_fields") -> DataFrame:
-    return rows.withColumn(
-        fields, F.map_filter(F.col(fields), lambda k, v: k.isin(*spec.names))
-    )
+    return rows.withColumn(fields, Fields(rows, fields).only(spec.names))
 
 
 def to_long(rows: DataFrame, *keep: str, fields: str = "extracted_fields") -> DataFrame:
@@ -76,7 +75,7 @@ def to_long(rows: DataFrame, *keep: str, fields: str = "extracted_fields") -> Da
     The outer form is used because Spark guards a plain explode with a filter on its input,
     and would evaluate a parser behind that input once more for the filter.
     """
-    return rows.select(*keep, F.explode_outer(F.col(fields)).alias("field", "value")).where(
+    return rows.select(*keep, F.explode_outer(Fields(rows, fields).as_map()).alias("field", "value")).where(
         F.col("field").isNotNull()
     )
 
@@ -91,8 +90,9 @@ def to_wide(
     use_na_strings: bool = True,
 ) -> DataFrame:
     """One column per field of the spec, in order."""
+    held = Fields(rows, fields)
     cells = [
-        na_to_null(F.coalesce(lookup(fields, n), F.lit(default)), use_na_strings).alias(prefix + n)
+        na_to_null(F.coalesce(held.get(n), F.lit(default)), use_na_strings).alias(prefix + n)
         for n in spec.names
     ]
     return rows.select(*keep, *cells)
@@ -119,7 +119,7 @@ def export_results(rows: DataFrame, spec: FieldSpec, bands: Bands = Bands()) ->
         F.coalesce("processing_time", F.lit(0.0)).alias("processing_time"),
         F.coalesce("response_length", F.lit(0)).alias("response_length"),
         F.coalesce("successful", F.lit(False)).alias("successful"),
-        F.coalesce(F.size("extracted_fields"), F.lit(0)).alias("field_count"),
+        F.coalesce(Fields(rows).count(), F.lit(0)).alias("field_count"),
         "extracted_fields",
     )
     plain = [c for c in base.columns if c != "extracted_fields"]
@@ -134,7 +134,7 @@ def export_metrics_rows(rows: DataFrame) -> DataFrame:
         "model",
         F.coalesce("img_name", F.lit("unknown")).alias("image"),
         F.coalesce("successful", F.lit(False)).alias("successful"),
-        F.coalesce(F.size("extracted_fields"), F.lit(0)).alias("field_count"),
+        F.coalesce(Fields(rows).count(), F.lit(0)).alias("field_count"),
         F.coalesce("core_fields_found", F.lit(0)).alias("core_fields_found"),
         F.coalesce("extraction_time", F.lit(0.0)).alias("extraction_time"),
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldeval.functions.base import count_if, ratio
 from fieldeval.functions.values import has_value, quality_rating, speed_rating
 from fieldeval.operators.fields import lookup
+from fieldeval.operators.shredded import Fields
 from fieldeval.schema import Bands, FieldSpec, SpeedBands
 
 PLACES = 9
@@ -21,15 +22,16 @@ def field_rates(results: DataFrame, spec: FieldSpec) -> DataFrame:
     Documents without any field count in the denominators. One pass: the spec is unrolled
     beside each row and counted on the map side before the only shuffle.
     """
-    names = F.array(
-        *[F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("field")) for i, n, _ in spec.items()]
-    )
-    rows = results.select(
-        "model",
-        "extracted_fields",
-        F.coalesce(F.size("extracted_fields"), F.lit(0)).alias("n_fields"),
-        F.inline(names),
-    ).select("model", "ordinal", "field", "n_fields", lookup("extracted_fields", F.col("field")).alias("v"))
+    held = Fields(results)
+    n_fields = F.coalesce(held.count(), F.lit(0)).alias("n_fields")
+    if held.shredded:
+        cells = [F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("field"), held.get(n).alias("v")) for i, n, _ in spec.items()]
+        rows = results.select("model", n_fields, F.inline(F.array(*cells)))
+    else:
+        names = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("field")) for i, n, _ in spec.items()])
+        rows = results.select("model", "extracted_fields", n_fields, F.inline(names)).select(
+            "model", "ordinal", "field", "n_fields", lookup("extracted_fields", F.col("field")).alias("v")
+        )
     docs = F.count(F.lit(1))
     present, valued = F.count("v"), count_if(has_value("v", "rates"))
     return rows.groupBy("model", "ordinal", "field").agg(
@@ -54,7 +56,7 @@ def active_fields(rates: DataFrame) -> DataFrame:
 
 def model_quality(results: DataFrame, bands: Bands = Bands()) -> DataFrame:
     """Average number of fields per model with its quality band."""
-    n = F.coalesce(F.size("extracted_fields"), F.lit(0))
+    n = F.coalesce(Fields(results).count(), F.lit(0))
     return (
         results.groupBy("model")
         .agg(F.count(F.lit(1)).alias("total_docs"), F.avg(n).alias("avg_fields_extracted"))

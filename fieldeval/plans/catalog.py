@@ -1450,3 +1450,47 @@ def _(i):
         writers.append_truth(wide.select("doc_id", "TOTAL", "PAYER_NAME"), wide.select("doc_id", "k"), path, batch_id=name)
     found = writers.read_truth(i.spark, path)
     return found.select("doc_id", F.col("TOTAL").alias("total"), F.col("PAYER_NAME").alias("payer"), "batch")
+
+
+# ------------------------------------------------- from stored, shredded, bucketed tables
+
+# The same reports over tables stored by document with a column for each field.
+
+
+@query("document_accuracy_stored", CATALOG["document_accuracy"].sql)
+def _(i):
+    return accuracy.document_accuracy(*i.stored(), DEFAULT_SPEC)
+
+
+@query("field_accuracy_stored", CATALOG["field_accuracy"].sql)
+def _(i):
+    scored = align.score_fields(align.align_with_truth(*i.stored(), DEFAULT_SPEC, "successful"))
+    return accuracy.field_accuracy(scored.where("successful"))
+
+
+@query("match_report_stored", CATALOG["truth_match_report"].sql)
+def _(i):
+    return accuracy.truth_match_report(accuracy.match_fields(*i.stored(), DEFAULT_SPEC))
+
+
+@query("document_evaluation_stored", CATALOG["document_evaluation"].sql)
+def _(i):
+    results, truth = i.stored()
+    aligned = align.align_with_truth(results.where("successful"), truth, DEFAULT_SPEC)
+    return accuracy.document_evaluation(align.score_fields(aligned))
+
+
+@query("field_rates_stored", CATALOG["field_rates"].sql)
+def _(i):
+    return rates.field_rates(i.stored()[0], DEFAULT_SPEC)
+
+
+@query("to_wide_stored", CATALOG["to_wide"].sql)
+def _(i):
+    return fields.to_wide(i.stored()[0], DEFAULT_SPEC, "doc_id", "model")
+
+
+@query("restrict_to_spec_stored", CATALOG["restrict_to_spec"].sql)
+def _(i):
+    kept = fields.restrict_to_spec(i.stored()[0], SMALL)
+    return fields.to_long(kept, "doc_id", "model")

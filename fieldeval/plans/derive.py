@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldeval.operators.shredded import save_by_document, shred
 from fieldeval.schema import BUSINESS_FIELDS, DEFAULT_SPEC
 
 MODELS = {"alpha": 3, "beta": 5}
@@ -323,6 +324,14 @@ class Inputs:
     def sql(self, text: str, **extra: str) -> DataFrame:
         return from_sql(self.spark, self.sf_dir, text, **extra)
 
+    def stored(self) -> tuple[DataFrame, DataFrame]:
+        """Results and truth as tables with a column for each field, in buckets of documents."""
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return tuple(
+            save_by_document(shred(rows, SPEC, fields), f"stored_{uuid.uuid4().hex}", self.scratch(fields), buckets)
+            for rows, fields in ((self.results(), "extracted_fields"), (self.truth(), "truth_fields"))
+        )
+
     def truth_wide(self) -> DataFrame:
         return truth_wide(self.spark, self.sf_dir)
 
