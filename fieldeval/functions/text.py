@@ -182,8 +182,11 @@ def phrase_repetition(c: Column | str, threshold: float = 2) -> Column:
 
 
 def repetition_metrics(
-    df: DataFrame, col: str, word_threshold: float = 3, phrase_threshold: float = 2
+    df: DataFrame, col: str, word_threshold: float = 3, phrase_threshold: float = 2, enabled: bool = True
 ) -> DataFrame:
+    """Shares of frequent words and phrases; 0 where repetition control is off."""
+    if not enabled:
+        return df.withColumns({n: F.lit(0.0) for n in ("word_repetition", "phrase_repetition")})
     return df.withColumns(
         {
             "word_repetition": word_repetition(col, word_threshold),
@@ -192,8 +195,10 @@ def repetition_metrics(
     )
 
 
-def is_repetitive(threshold: float = 0.3) -> Column:
-    """On the two columns added by :func:`repetition_metrics`."""
+def is_repetitive(threshold: float = 0.3, enabled: bool = True) -> Column:
+    """On the two columns added by :func:`repetition_metrics`; false where control is off."""
+    if not enabled:
+        return F.lit(False)
     return (F.col("word_repetition") > threshold) | (F.col("phrase_repetition") > threshold)
 
 
@@ -302,6 +307,7 @@ def classify_document(c: Column | str, rules: str = "detailed") -> Column:
     def has(x: Column, *needles: str) -> Column:
         return any_contains(x, needles)
 
+    # Patterns, phrases, types and confidences of both rule sets.
     fuel_amount = r"(?U)\d\.\d{2,3}\s*+l\b|\d\s*+litre"
     bank_account = r"(?U)\d{3}-\d{3}\s++\d{4,10}|\bbsb\b|\baccount\s++number\b"
 

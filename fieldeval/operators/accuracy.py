@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldeval.functions.base import count_if, ratio, strip
 from fieldeval.functions.score import Scorer, match_field, score_field, truth_missing
 from fieldeval.functions.values import has_value
 from fieldeval.operators.align import align_with_truth, score_documents, score_fields
+from fieldeval.operators.quantiles import as_columns, counted_values, exact_quantiles
 from fieldeval.operators.shredded import Fields
 from fieldeval.schema import FieldSpec
 
@@ -24,9 +25,11 @@ def document_accuracy(
     spec: FieldSpec,
     scorer: Scorer = score_field,
     key: str = "doc_id",
+    more: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """One row per result: mean over all fields of the spec, fields with a truth, fields
-    extracted. Failed rows carry nulls; equal rows stay apart, as each is scored in itself."""
+    extracted. Failed rows carry nulls; equal rows stay apart, as each is scored in itself.
+    ``more`` are further columns taken from the result's row."""
     ok = F.col("successful")
     known = F.filter("scores", lambda s: ~truth_missing(s["truth"], s["field"]))
     total = F.aggregate("scores", F.lit(0.0), lambda acc, s: acc + s["score"])
@@ -39,15 +42,33 @@ def document_accuracy(
         F.when(ok, F.round(total / F.size("scores"), PLACES)).alias("accuracy"),
         F.when(ok, F.size(known)).cast("long").alias("truth_fields"),
         F.when(ok, found).alias("extracted_fields"),
+        *(c.alias(n) for n, c in (more or {}).items()),
     )
 
 
-def model_accuracy(doc_accuracy: DataFrame, requested: DataFrame | None = None) -> DataFrame:
+def model_accuracy(
+    doc_accuracy: DataFrame,
+    requested: DataFrame | None = None,
+    models: Iterable[str] = (),
+    more: Mapping[str, Column] | None = None,
+) -> DataFrame:
     """Means over successful documents and rates over all that were asked for.
 
     ``requested`` has a row for each of those; one without a result counts as failed. Without
-    it the rows at hand are all.
+    it the rows at hand are all. A model of ``models`` without any row has failed throughout.
+    ``more`` are further aggregates.
     """
+    asked_models = [F.lit(m).alias("model") for m in models]
+    if asked_models:
+        session = doc_accuracy.sparkSession
+        named = session.range(1).select(F.explode(F.array(*asked_models)).alias("model"))
+        found = model_accuracy(doc_accuracy, requested, more=more)
+        none = F.lit(0).cast("long") if requested is None else requested.agg(F.count(F.lit(1))).scalar()
+        both = found.join(named, "model", "full_outer")
+        asked = F.coalesce("total_images", none)
+        both = both.withColumns({"failed": F.coalesce("failed", asked), "total_images": asked})
+        zeros = ["successful", "success_rate", "avg_accuracy", "avg_processing_time", "avg_fields_extracted", "total_processing_time"]
+        return both.na.fill(0, zeros).select(*found.columns)
     ok = F.col("successful")
     done = count_if(ok)
     asked = F.count(F.lit(1))
@@ -66,6 +87,7 @@ def model_accuracy(doc_accuracy: DataFrame, requested: DataFrame | None = None)
         F.coalesce(F.sum(F.when(ok, F.col("processing_time"))), F.lit(0.0)).alias(
             "total_processing_time"
         ),
+        *(c.alias(n) for n, c in (more or {}).items()),
     )
 
 
@@ -80,12 +102,14 @@ def field_accuracy(scored_fields: DataFrame) -> DataFrame:
     )
 
 
+def filled_fields(results: DataFrame) -> Column:
+    """Number of a result's fields that are filled."""
+    return F.size(F.filter(Fields(results).values(), lambda v: has_value(v, "strict")))
+
+
 def non_na_fields(results: DataFrame) -> DataFrame:
     """Mean number of filled fields per document and model."""
-    filled = F.size(
-        F.filter(Fields(results).values(), lambda v: has_value(v, "strict"))
-    )
-    return results.groupBy("model").agg(F.avg(filled).alias("non_na_fields"))
+    return results.groupBy("model").agg(F.avg(filled_fields(results)).alias("non_na_fields"))
 
 
 def non_na_fields_from_accuracy(field_acc: DataFrame) -> DataFrame:
@@ -175,11 +199,20 @@ def accuracy_matrix(field_acc: DataFrame, models: Iterable[str]) -> DataFrame:
     )
 
 
-def overview_table(summary: DataFrame, non_na: DataFrame, memory: DataFrame) -> DataFrame:
-    """Accuracy, seconds, filled fields and memory per model; memory may be unknown."""
+def overview_summary(
+    results: DataFrame, truth: DataFrame, spec: FieldSpec, requested: DataFrame | None = None, key: str = "doc_id"
+) -> DataFrame:
+    """``model_accuracy`` with ``non_na_fields``, from one scan of the results."""
+    docs = document_accuracy(results, truth, spec, key=key, more={"filled": filled_fields(results)})
+    return model_accuracy(docs, requested, more={"non_na_fields": F.avg("filled")})
+
+
+def overview_table(summary: DataFrame, non_na: DataFrame | None, memory: DataFrame) -> DataFrame:
+    """Accuracy, seconds, filled fields and memory per model; memory may be unknown. Filled
+    fields are those of ``non_na``, or the summary's own (``overview_summary``)."""
+    both = summary if non_na is None else summary.join(non_na, "model", "left")
     return (
-        summary.join(non_na, "model", "left")
-        .join(memory.select("model", "memory_gb"), "model", "left")
+        both.join(memory.select("model", "memory_gb"), "model", "left")
         .select("model", "avg_accuracy", "avg_processing_time", "non_na_fields", "memory_gb")
     )
 
@@ -332,30 +365,17 @@ def weak_fields(field_acc: DataFrame, below: float = 0.5) -> DataFrame:
 def describe_accuracy(doc_accuracy: DataFrame, places: int = PLACES) -> DataFrame:
     """Count, mean, standard deviation and quartiles of accuracies per model.
 
-    Accuracies are rounded to the places at which they compare everywhere, and counted; the
-    exact percentiles are taken over those counts. Scores are shares of few fields, so the
-    counts are far fewer than the documents.
+    Accuracies are rounded to the places at which they compare everywhere, so a group has a
+    bounded number of values; the quartiles are exact, from histograms that get finer.
     """
-    value = F.round("accuracy", places)
-    counted = (
-        doc_accuracy.where(F.col("accuracy").isNotNull())
-        .groupBy("model", value.alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    n, v = F.col("n"), F.col("value")
+    counted = counted_values(doc_accuracy, "model", "accuracy", places)
+    n, v = F.col("n"), F.col("u") / 10**places
     total, s1, s2 = F.sum(n), F.sum(n * v), F.sum(n * v * v)
     variance = F.greatest((s2 - s1 * s1 / total), F.lit(0.0)) / F.nullif(total - 1, F.lit(0))
-
-    def at(p: float):
-        return F.percentile("value", F.lit(p), n)
-
-    return counted.groupBy("model").agg(
-        total.alias("count"),
-        (s1 / total).alias("mean"),
-        F.sqrt(variance).alias("std"),
-        F.min(v).alias("min"),
-        at(0.25).alias("q25"),
-        at(0.50).alias("q50"),
-        at(0.75).alias("q75"),
-        F.max(v).alias("max"),
+    figures = counted.groupBy(F.col("g").alias("model")).agg(
+        total.alias("count"), (s1 / total).alias("mean"), F.sqrt(variance).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")
     )
+    names = {0.25: "q25", 0.50: "q50", 0.75: "q75"}
+    found = as_columns(exact_quantiles(counted, "model", names, places), "model", names)
+    columns = ["model", "count", "mean", "std", "min", "q25", "q50", "q75", "max"]
+    return figures.join(found, "model").select(*columns)

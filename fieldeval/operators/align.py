@@ -15,7 +15,6 @@ from fieldeval.functions.base import strip
 from fieldeval.functions.score import Scorer, score_field
 from fieldeval.operators.fields import lookup
 from fieldeval.operators.shredded import Fields
-from fieldeval.operators.skew import join_spread
 from fieldeval.schema import FieldSpec
 
 
@@ -174,29 +173,30 @@ def validate_truth(
 ) -> DataFrame:
     """Add ``status``: invalid, missing_image, path_mismatch or valid, in that order.
 
-    Rows without a name are many and equal, so they are given spread keys that match nothing
-    and do not meet in one task; a name that fills many rows is salted.
+    Rows without a name need no lookup, so they take no part in the join, where they would be
+    one key; a name that fills many rows makes a large partition of the join, which adaptive
+    execution deals out.
     """
     clean_name = strip(F.coalesce(name, F.lit("")))
     clean_path = strip(F.coalesce(path, F.lit("")))
-    spread = F.concat(F.lit("\x00"), F.xxhash64(*rows.columns).cast("string"))
+    # Grouped by one more column than the join has, names are dealt once more for the join: it then
+    # stands right on its shuffles, where adaptive execution can split a large partition.
     known = (
         images.where(F.col("name") != "")
-        .select(F.col("name").alias("__name"))
-        .distinct()
-        .withColumn("__found", F.lit(True))
+        .groupBy(F.col("name").alias("__name"), F.length("name").alias("__length"))
+        .agg(F.lit(True).alias("__found"))
+        .drop("__length")
     )
-    keyed = rows.withColumn("__name", F.when(clean_name == "", spread).otherwise(clean_name))
+    keyed = rows.withColumn("__name", clean_name)
+    unnamed = keyed.where(F.col("__name") == "").select(*rows.columns, F.lit("invalid").alias("status"))
     base = F.substring_index(F.rtrim(clean_path, F.lit("/")), "/", -1)
     status = (
-        F.when(clean_name == "", "invalid")
-        .when(F.col("__found").isNull(), "missing_image")
+        F.when(F.col("__found").isNull(), "missing_image")
         .when((clean_path != "") & (base != clean_name), "path_mismatch")
         .otherwise("valid")
     )
-    return join_spread(keyed, known, "__name", "left").select(
-        *rows.columns, status.alias("status")
-    )
+    named = keyed.where(F.col("__name") != "").join(known, "__name", "left")
+    return named.select(*rows.columns, status.alias("status")).unionByName(unnamed)
 
 
 def extra_images(images: DataFrame, rows: DataFrame, name: str = "image_name") -> DataFrame:

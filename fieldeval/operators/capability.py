@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldeval.functions.base import count_if, ratio
+from fieldeval.functions.base import count_if, is_in, ratio
 from fieldeval.operators.fields import weight_of
 from fieldeval.operators.shredded import Fields
 from fieldeval.schema import FieldSpec
@@ -22,18 +22,21 @@ COMPONENTS = (
 def extraction_capability(rows: DataFrame, spec: FieldSpec) -> DataFrame:
     """Rows need model, successful, extraction_time, extracted_fields and optionally
     field_count and core_fields_found. Scores are taken inside each row, then averaged."""
-    names = F.transform(Fields(rows).keys(), F.upper)
-    known = F.filter(names, lambda k: k.isin(*spec.names))
+    held = Fields(rows)
     critical = [n for n, w in zip(spec.names, spec.weights) if w >= CRITICAL_WEIGHT]
+    names = F.transform(held.searched_keys(), F.upper)
+    known = F.filter(names, lambda k: k.isin(*spec.names))
+    # Fields with a column of their own are counted by it; only the others are searched.
+    own = {n: held.get(n).isNotNull().cast("int") for n in held.names if n.upper() in spec.names}
+    weights = dict(zip(spec.names, spec.weights))
+    n_known = sum(own.values(), F.size(known))
+    n_critical = sum((c for n, c in own.items() if n.upper() in critical), F.size(F.filter(known, lambda k: is_in(k, critical))))
     weight = F.aggregate(known, F.lit(0.0), lambda acc, k: acc + weight_of(k, spec))
+    weight = sum((c * weights[n.upper()] for n, c in own.items()), weight)
     given = F.col("field_count") if "field_count" in rows.columns else F.lit(None).cast("int")
-    count = F.coalesce(given, F.size(names))
+    count = F.coalesce(given, held.count())
     core = F.col("core_fields_found") if "core_fields_found" in rows.columns else F.lit(0)
-    covered = (
-        F.size(F.filter(known, lambda k: k.isin(*critical))) / len(critical)
-        if critical
-        else F.lit(1.0)
-    )
+    covered = n_critical / len(critical) if critical else F.lit(1.0)
     per_row = rows.select(
         "model",
         F.coalesce("successful", F.lit(False)).alias("ok"),
@@ -42,8 +45,8 @@ def extraction_capability(rows: DataFrame, spec: FieldSpec) -> DataFrame:
         F.coalesce(core, F.lit(0)).alias("n_core"),
         (F.coalesce(weight, F.lit(0.0)) / sum(spec.weights)).alias("weighted"),
         F.coalesce(covered, F.lit(0.0)).alias("critical"),
-        ratio(F.coalesce(F.size(known), F.lit(0)), F.coalesce(count, F.lit(0))).alias("density"),
-        (F.coalesce(F.size(known), F.lit(0)) / len(spec)).alias("complete"),
+        ratio(F.coalesce(n_known, F.lit(0)), F.coalesce(count, F.lit(0))).alias("density"),
+        (F.coalesce(n_known, F.lit(0)) / len(spec)).alias("complete"),
     )
     n = F.count(F.lit(1))
     return per_row.groupBy("model").agg(

@@ -72,11 +72,15 @@ class Fields:
         other = F.size(F.map_filter(self._part(REST), lambda k, v: is_in(k, wanted)))
         return sum(own, other)
 
+    def searched_keys(self) -> Column:
+        """Keys of fields without a column of their own."""
+        return F.map_keys(self._part(REST) if self.shredded else F.col(self.column))
+
     def keys(self) -> Column:
         if not self.shredded:
             return F.map_keys(self.column)
         own = F.transform(F.filter(self._entries(), lambda e: e["value"].isNotNull()), lambda e: e["key"])
-        return F.concat(own, F.map_keys(self._part(REST)))
+        return F.concat(own, self.searched_keys())
 
     def values(self) -> Column:
         if not self.shredded:

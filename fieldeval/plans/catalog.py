@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fieldeval import schema as S
 from fieldeval.functions import parse, score, text, values
 from fieldeval.functions.base import count_if, strip
-from fieldeval.operators import accuracy, align, capability, fields, rates, runs, series
+from fieldeval.operators import accuracy, align, capability, fields, profile, rates, runs, series
 from fieldeval.plans import derive as D
 from fieldeval.plans import oracle as O
 from fieldeval.plans.derive import Inputs
@@ -668,6 +668,16 @@ def _(i):
     )
 
 
+for _kind, _names in (("amount", S.MATCH_AMOUNT_FIELDS), ("address", S.MATCH_ADDRESS_FIELDS), ("set", S.MATCH_SET_FIELDS)):
+
+    @query(f"match_{_kind}", O.MATCHED + f" SELECT doc_id, model, field, truth, nullif(value, 'N/A') AS value, matched FROM matched WHERE {O.is_in('field', _names)} AND has_truth")
+    def _(i, names=_names):
+        """Row by row: the value (null where there is none), its truth and whether they match."""
+        found = accuracy.match_fields(i.results(), i.truth(), FieldSpec.of(names))
+        given = F.nullif("extracted", F.lit("N/A"))
+        return found.select("doc_id", "model", "field", "truth", given.alias("value"), "matched")
+
+
 @query(
     "flag_missing_inputs",
     O.BASE + ", " + O.events_cte("images", D.IMAGES_SQL) + " SELECT doc_id, CASE WHEN i.name IS NULL THEN 'Image not found: ' || doc_id END AS error FROM truth_wide LEFT JOIN (SELECT DISTINCT name FROM images) i ON i.name = doc_id WHERE k % 29 <> 0",
@@ -773,7 +783,8 @@ _USAGE = "usage AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'alpha' ELSE 'beta' EN
     O.SCORED + f", {_USAGE}, nn AS ({_NON_NA}) SELECT model, round(avg_accuracy, 6) AS avg_accuracy, round(avg_processing_time, 6) AS avg_processing_time, round(non_na_fields, 6) AS non_na_fields, round(memory_gb, 6) AS memory_gb FROM summary LEFT JOIN nn USING (model) LEFT JOIN usage USING (model)",
 )
 def _(i):
-    return accuracy.overview_table(_summary(i), accuracy.non_na_fields(i.results()), _usage(i))
+    summary = accuracy.overview_summary(i.results(), i.truth(), DEFAULT_SPEC, i.requested())
+    return accuracy.overview_table(summary, None, _usage(i))
 
 
 @query("best_models", O.SCORED + " SELECT arg_max(model, avg_accuracy) AS best_accuracy, arg_min(model, avg_processing_time) AS fastest FROM summary")
@@ -898,6 +909,9 @@ def _(i):
 # ------------------------------------------------------------------ extraction statistics
 
 
+_SUCCESS = ", success AS (SELECT model, count(*) AS documents, count(*) FILTER (successful) AS successful, count(*) FILTER (successful) / count(*) AS success_rate, sum(processing_time) AS execution_time FROM runs GROUP BY model)"
+
+
 def _rates(i: Inputs) -> DataFrame:
     return rates.field_rates(i.results(), DEFAULT_SPEC)
 
@@ -908,6 +922,15 @@ def _(i):
     return _rates(i)
 
 
+@query("model_profile", O.RATES + _SUCCESS + f""", nn AS ({_NON_NA}) SELECT p.model, s.documents, s.successful, round(s.success_rate, 6) AS success_rate, round(s.execution_time, 6) AS execution_time,
+  round(avg_seconds, 6) AS avg_seconds, round(avg_fields_extracted, 6) AS avg_fields_extracted, round(non_na_fields, 6) AS non_na_fields,
+  CASE WHEN avg_fields_extracted >= 12 THEN 'excellent' WHEN avg_fields_extracted >= 8 THEN 'good' WHEN avg_fields_extracted >= 5 THEN 'fair' ELSE 'poor' END AS quality,
+  CASE WHEN avg_seconds < 15 THEN 'Very Fast' WHEN avg_seconds < 25 THEN 'Fast' WHEN avg_seconds < 40 THEN 'Moderate' ELSE 'Slow' END AS speed_rating
+  FROM per_model p JOIN success s USING (model) JOIN nn USING (model)""")
+def _(i):
+    return profile.model_profile(profile.run_profile(i.results(), DEFAULT_SPEC))
+
+
 @query("active_fields", O.RATES + " SELECT f AS ordinal, field, round(max(value_rate), 6) AS best_value_rate FROM rates GROUP BY ALL HAVING max(value_rate) > 0")
 def _(i):
     return rates.active_fields(_rates(i))
@@ -945,8 +968,7 @@ def _(i):
   arg_min(model, {_SPEED_ORDER}) AS speed_winner, round(min(avg_seconds), 6) AS speed_seconds FROM per_model""",
 )
 def _(i):
-    quality = rates.model_quality(i.results())
-    return rates.winners(quality.join(rates.speed_summary(i.results()), "model"), tie_below=0.001)
+    return rates.winners(profile.model_profile(profile.run_profile(i.results(), DEFAULT_SPEC)), tie_below=0.001)
 
 
 # Runs some of which name no model or don't say whether they succeeded.
@@ -964,7 +986,6 @@ def _patchy(i: Inputs) -> DataFrame:
     )
 
 
-_SUCCESS = ", success AS (SELECT model, count(*) AS documents, count(*) FILTER (successful) AS successful, count(*) FILTER (successful) / count(*) AS success_rate, sum(processing_time) AS execution_time FROM runs GROUP BY model)"
 
 
 @query(
@@ -1025,9 +1046,8 @@ _NORMAL = _SUCCESS + _IMAGES + """, normal AS (SELECT s.model, s.success_rate, s
 
 
 def _normal(i: Inputs) -> DataFrame:
-    success = rates.model_success(i.results())
     count = i.images().agg(F.count(F.lit(1))).scalar()
-    return rates.normalise_runs(_rates(i), success, DEFAULT_SPEC, count)
+    return profile.normalise_profile(profile.run_profile(i.results(), DEFAULT_SPEC), DEFAULT_SPEC, count)
 
 
 @query("normalise_runs", O.RATES + _NORMAL + """ SELECT model, round(success_rate, 6) AS success_rate, round(total_processing_time, 6) AS total_processing_time, round(avg_processing_time, 6) AS avg_processing_time,
