@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-from functools import cache
+from functools import cache, cached_property
 
 import public_tokenizers
 import regex
@@ -15,7 +15,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: This string in a text is one token of its own.
 SPECIAL = "<|endoftext|>"
 #: Words remembered in each worker; beyond it the memory starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 60_000
 #: Where a space stands before white space, words can't be cut at single spaces.
 _SPACE_RUN = regex.compile(r" \s")
 
@@ -35,9 +35,14 @@ class ByteBpe:
             "words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={}
         )
         self._encode = encoding.encode_ordinary
-        self._whole = Tokenizer.from_file(vocabulary)
+        self._vocabulary = vocabulary
         self._seen: dict[str, list[int]] = {}
 
+    @cached_property
+    def _whole(self) -> Tokenizer:
+        """The tokenizer itself, read where a text needs it."""
+        return Tokenizer.from_file(self._vocabulary)
+
     def ids(self, text: str) -> list[int]:
         """All ids of a text."""
         if SPECIAL in text:
