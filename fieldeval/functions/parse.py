@@ -14,17 +14,24 @@ from fieldeval.schema import FieldSpec
 
 
 def _last_wins(pairs: Column) -> Column:
-    """array<struct<key,pos,value>> to a map; of equal keys the highest position stays."""
+    """array<struct<key,pos,value>> to a map; of equal keys the highest position stays. Only
+    where keys are repeated are they sorted."""
 
     def keep(es: Column) -> Column:
         return F.filter(
             es, lambda e, i: F.coalesce(F.get(es, i + 1)["key"] != e["key"], F.lit(True))
         )
 
-    kept = let(F.sort_array(pairs), keep)
-    return F.map_from_entries(
-        F.transform(kept, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
-    )
+    def as_map(es: Column) -> Column:
+        return F.map_from_entries(
+            F.transform(es, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+        )
+
+    def chosen(es: Column) -> Column:
+        distinct = F.size(F.array_distinct(F.transform(es, lambda e: e["key"]))) == F.size(es)
+        return F.when(distinct, as_map(es)).otherwise(as_map(let(F.sort_array(es), keep)))
+
+    return let(pairs, chosen)
 
 
 def _entry(key: Column, pos: Column, value: Column) -> Column:
@@ -37,31 +44,26 @@ def parse_kv_tokens(c: Column | str, spec: FieldSpec | None = None) -> Column:
     A key without value gets ``N/A``; a key that is the last word is ignored. With ``spec``
     only listed keys are kept, though unlisted keys still end a value.
     """
-    key_word = r"(?:^| )([^ ]*:)(?= |$)"
-    text = F.array_join(words(F.coalesce(col_of(c), F.lit(""))), " ")
-
-    def entries(p: Column) -> Column:
-        last = F.size(p["keys"]) - 1
-        held = F.transform(
-            p["keys"],
-            lambda k, i: _entry(F.left(k, F.length(k) - 1), i, F.trim(F.get(p["values"], i + 1))),
-        )
-        # Only the last key can have nothing after it because the text ends there.
-        used = F.filter(held, lambda e: (e["value"] != "") | (e["pos"] < last))
-        return F.transform(
-            used,
-            lambda e: _entry(e["key"], e["pos"], F.coalesce(F.nullif(e["value"], F.lit("")), F.lit("N/A"))),
-        )
+    # Words hold no white space, so in the joined text line feeds and tabs are free to mark keys:
+    # the text is matched once, and cut at single characters from then on.
+    marked = F.regexp_replace(
+        F.array_join(words(F.coalesce(col_of(c), F.lit(""))), " "), r"(?:^| )([^ ]*):(?= |$)", "\n$1\t"
+    )
 
-    def pairs(x: Column) -> Column:
-        # Both arrays are bound before the lambdas, which would split the text per key.
-        parts = F.struct(
-            F.regexp_extract_all(x, F.lit(key_word), 1).alias("keys"),
-            F.split(x, key_word).alias("values"),
-        )
-        return let(parts, entries)
+    def entries(parts: Column) -> Column:
+        last = F.size(parts) - 1
+
+        def entry(p: Column, i: Column) -> Column:
+            at = F.instr(p, "\t")
+            value = F.trim(F.substr(p, at + 1))
+            # Only the last key can have nothing after it because the text ends there.
+            shown = F.coalesce(F.nullif(value, F.lit("")), F.when(i < last, F.lit("N/A")))
+            return _entry(F.left(p, at - 1), i, shown)
+
+        # What comes before the first key has no tab.
+        return F.filter(F.transform(parts, entry), lambda e: (e["pos"] > 0) & e["value"].isNotNull())
 
-    found = let(text, pairs)
+    found = let(F.split(marked, "\n"), entries)
     if spec is not None:
         found = F.filter(found, lambda e: e["key"].isin(*spec.names))
     return _last_wins(found)
