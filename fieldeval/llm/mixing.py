@@ -20,8 +20,10 @@ def word_count() -> Column:
 
 
 def draw() -> Column:
-    """A number from 0 to 1 that depends on doc_id alone."""
-    key = F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    """A number from 0 to 1 that depends on doc_id and text alone, so that rows with one id, or
+    with none, are still drawn apart."""
+    doc_id, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "text"))
+    key = F.concat(F.lit(f"{SEED}:"), doc_id, F.lit(":"), text)
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
@@ -76,7 +78,7 @@ def with_copies(docs: DataFrame) -> DataFrame:
 
     size: words of the text, null 0. copies: floor(target / source_size) plus one where the
     document's draw is below the fraction. A source without words has rate 0. Every row is
-    decided by its doc_id alone; repeated rows repeat, an empty table stays empty.
+    decided by its doc_id and text alone; repeated rows repeat, an empty table stays empty.
     """
     docs = docs.drop("size", "source_size", "target", "copies", "rate", "aim").withColumn("size", word_count())
     aims = written(targets(docs.select("source", "size")), "targets")
@@ -109,7 +111,7 @@ def mixed(docs: DataFrame) -> DataFrame:
 #: DuckDB: rows of `shares`.
 SHARES_SQL = rf"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  SELECT doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents
 ), totals AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
@@ -132,7 +134,7 @@ WITH sized AS (
 ), rated AS (
   SELECT s.doc_id, s.size, a.source_size, a.target,
     CASE WHEN a.source_size > 0 THEN least(a.target / a.source_size, {MOST}.0) ELSE 0.0 END AS rate,
-    CAST(CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(s.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS draw
+    CAST(CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(s.doc_id AS VARCHAR), '') || ':' || coalesce(s.text, '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS draw
   FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source
 )
 SELECT doc_id, size, source_size, target,
