@@ -240,10 +240,18 @@ def identify(docs: DataFrame, net: ByteConvNet | None, names: tuple[str, str] =
     return docs.mapInArrow(rows, schema)
 
 
-def kept_languages(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The documents whose language is found with a score of at least `least`, unchanged."""
+def kept_languages(docs: DataFrame, above_chance: float = 1.1) -> DataFrame:
+    """The documents whose language is found, unchanged.
+
+    Rejected are texts that are null or have no letter, and those whose best score is not
+    above chance: under `above_chance` times the share that each of the learned languages has
+    if none is told from the others. A text in several languages has shares of each and stays.
+    Repeated rows are decided alike; an empty table gives no rows.
+    """
     names = ("found_language", "found_score")
     docs, back = set_aside(docs, *names)
-    found = identify(docs, train(docs), names)
+    net = train(docs)
+    least = above_chance / len(net.langs) if net is not None and len(net.langs) > 1 else 0.0
+    found = identify(docs, net, names)
     kept = found.where((F.col(names[0]) != UNDETERMINED) & (F.col(names[1]) >= least))
     return kept.select(docs.columns).withColumnsRenamed(back)
