@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import partial
-from itertools import pairwise
+from itertools import chain, pairwise
 from typing import Any, NamedTuple
 
 import numpy as np
@@ -31,7 +32,8 @@ LONG = 24
 HOT = 16_384
 #: Partners of a line under one token that are all tried where none is likely.
 FEW = 64
-_TEXT_BYTES = 1 << 20
+#: Bytes of texts whose words are hashed at a time: what is held for them stays in the cache.
+_TEXT_BYTES = 1 << 17
 _NO_ID = -(1 << 63)
 _PLACE = ("d", "line_no", "row_key")
 _PLACE_SCHEMA = "d long, line_no int, row_key long"
@@ -41,9 +43,22 @@ def _table(seed: int, *shape: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 64, shape, np.uint64, endpoint=False)
 
 
-_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
-#: Random numbers of each byte at each of 32 places in a word; their sum hashes the word.
-_BYTES = _table(1, 32 * 256)
+_WHITE = b" \t\n\x0b\x0c\r"
+_INSIDE = bytes(byte not in _WHITE for byte in range(256))
+#: Random numbers of the bytes, 0 for white space. A word's hash is the sum of its bytes' numbers
+#: times powers of an odd factor, taken along the text and divided by that of the word's start.
+_BYTES = np.where(np.isin(np.arange(256), list(_WHITE)), np.uint64(0), _table(1, 256))
+_FACTOR = 0x9E3779B97F4A7C1B
+_SPAN = 1 << 20
+
+
+def _powers(factor: int) -> np.ndarray:
+    out = np.full(_SPAN, factor, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_UP, _DOWN = _powers(_FACTOR), _powers(pow(_FACTOR, -1, 1 << 64))
 
 
 def _mixed(x: np.ndarray, factor: int) -> np.ndarray:
@@ -52,20 +67,44 @@ def _mixed(x: np.ndarray, factor: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of every word among bytes, without a step in Python for each."""
-    inside = ~_SPACE[data]
-    edge = np.diff(inside.view(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of every word of a text, without a step in Python for each."""
+    if len(text) > _SPAN:
+        return _long_hashes(text)
+    inside = np.frombuffer(text.translate(_INSIDE), np.bool_)
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    starts = np.flatnonzero(first)
     if not len(starts):
         return np.zeros(0, np.uint64), starts
-    lengths = ends - starts
-    at = np.flatnonzero(inside)
-    place = at - np.repeat(starts, lengths)
-    value = _BYTES[((place & 31) << 8) | data[at]]
-    if lengths.max() > 32:
-        value *= (2 * (place >> 5) + 1).astype(np.uint64)
-    return _mixed(np.add.reduceat(value, np.cumsum(lengths) - lengths), 0x9E3779B97F4A7C15), starts
+    value = np.take(_BYTES, np.frombuffer(text, np.uint8), mode="clip")
+    value *= _UP[: len(value)]
+    return _mixed(np.add.reduceat(value, starts) * _DOWN[starts], 0x9E3779B97F4A7C15), starts
+
+
+_WORD_END = re.compile(rb"[ \t\n\x0b\x0c\r]|\Z")
+
+
+def _long_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The same of a longer text, in pieces cut at white space. A word longer than a piece is cut
+    from its start, and its parts' hashes are added, each mixed with its number."""
+    hashes, starts = [], []
+    at = 0
+    while at < len(text):
+        stop = len(text)
+        if stop - at > _SPAN:
+            stop = max(text.rfind(bytes([c]), at, at + _SPAN) for c in _WHITE) + 1
+        if stop > at:
+            some, where = word_hashes(text[at:stop])
+        else:
+            stop = _WORD_END.search(text, at).start()
+            parts = [word_hashes(text[k : min(k + _SPAN, stop)])[0] for k in range(at, stop, _SPAN)]
+            mixed = [_mixed(part + np.uint64(k), 0xD6E8FEB86659FD93) for k, part in enumerate(parts)]
+            some, where = (sum(mixed) if len(mixed) > 1 else parts[0]), np.zeros(1, np.int64)
+        hashes.append(some)
+        starts.append(where + at)
+        at = stop
+    return np.concatenate(hashes), np.concatenate(starts)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -161,9 +200,9 @@ class Texts(NamedTuple):
     @classmethod
     def of(cls, texts: list[bytes], held: np.ndarray | None = None) -> Texts:
         """All lines with words, or those of them that are held by their number."""
-        data = np.frombuffer(b"\n".join(texts), np.uint8)
-        hashes, starts = word_hashes(data)
-        line = np.cumsum(data == 10)[starts]
+        text = b"\n".join(texts)
+        hashes, starts = word_hashes(text)
+        line = np.cumsum(np.frombuffer(text, np.uint8) == 10, dtype=np.int32)[starts]
         if held is not None:
             hashes, line = hashes[held[line]], line[held[line]]
         fresh = np.ones(len(line), bool)
@@ -191,14 +230,18 @@ class Lines(NamedTuple):
     bounds: np.ndarray
 
 
-def token_sets(texts: list[bytes], codes: np.ndarray, wanted: list[list[dict[str, int]]]) -> Lines:
-    """The wanted lines (line_no, id) of some texts."""
+def token_sets(texts: list[bytes], codes: np.ndarray | None, lines: list[list[int]], numbers: list[list[int]]) -> Lines:
+    """The wanted lines of some texts: for each text their numbers in it, and their ids. Without
+    codes the keys are whole hashes, in no order of rarity."""
     first = first_numbers(texts)
-    at = np.array([low + w["line_no"] for low, some in zip(first.tolist(), wanted) for w in some], np.int64)
+    sizes = [len(some) for some in lines]
+    at = np.repeat(first, sizes) + np.fromiter(chain.from_iterable(lines), np.int64, sum(sizes))
     ids = np.full(int(first[-1]) + texts[-1].count(b"\n") + 1, -1)
-    ids[at] = [w["id"] for some in wanted for w in some]
+    ids[at] = np.fromiter(chain.from_iterable(numbers), np.int64, len(at))
     found = Texts.of(texts, ids >= 0)
-    keys = (codes[_slots(found.hashes)].astype(np.uint64) << np.uint64(48)) | (found.hashes >> np.uint64(16))
+    keys = found.hashes
+    if codes is not None:
+        keys = (codes[_slots(keys)].astype(np.uint64) << np.uint64(48)) | (keys >> np.uint64(16))
     for a, b in pairwise([*found.low.tolist(), len(keys)]):
         keys[a:b].sort()
     new = np.ones(len(keys), bool)
@@ -224,7 +267,7 @@ def postings(sets: DataFrame, keyed: DataFrame, codes: Any) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, 2, _TEXT_BYTES):
-            lines = token_sets([row[2] for row in part], codes.value, [row[3] for row in part])
+            lines = token_sets([row[2] for row in part], codes.value, [row[3] for row in part], [row[4] for row in part])
             sizes = np.diff(lines.bounds)
             line = np.repeat(np.arange(len(sizes)), sizes)
             at = np.arange(len(lines.keys)) - lines.bounds[line]
@@ -369,18 +412,19 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _texts_with(keyed: DataFrame, sets: DataFrame) -> DataFrame:
-    """(d, row_key, text, wanted): texts once each, with the number and id of the sets' lines."""
+    """(d, row_key, text, lines, ids): texts once each, with the numbers and ids of the sets' lines."""
     lists = sets.groupBy("d", "row_key").agg(F.collect_list(F.struct("line_no", "id")).alias("wanted"))
+    lists = lists.select("d", "row_key", F.col("wanted.line_no").alias("lines"), F.col("wanted.id").alias("ids"))
     joined = _texts(keyed).join(_few(lists, sets.count()), ["d", "row_key"])
-    return joined.select("d", "row_key", "text", "wanted")
+    return joined.select("d", "row_key", "text", "lines", "ids")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, keyed: DataFrame, codes: Any) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, keyed: DataFrame) -> DataFrame:
     """The s (as id) of the written pairs of sets (s, t) that match by all their tokens."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, 2, _TEXT_BYTES):
-            lines = token_sets([row[2] for row in part], codes.value, [row[3] for row in part])
+            lines = token_sets([row[2] for row in part], None, [row[3] for row in part], [row[4] for row in part])
             tokens = pa.ListArray.from_arrays(pa.array(lines.bounds, pa.int32()), pa.array(lines.keys.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(lines.ids), tokens], ["id", "tokens"])
 
@@ -412,7 +456,7 @@ def kept_lines(keyed: DataFrame) -> DataFrame:
     ).agg(F.max("id").alias("t"), (F.count("*") > 1).alias("more"))
     pairs = swept.where("hot = 0").select("s", "key", "t", "more").unionByName(met.select("s", "key", "t", "more"))
     tried = written(pairs.select("s", "t").distinct(), "tried")
-    settled = _verified(tried, sets, keyed, codes)
+    settled = _verified(tried, sets, keyed)
 
     # Sets of which no pair matches meet all others under the keys that have more.
     open_keys = pairs.where("more").select(F.col("s").alias("id"), "key").distinct().join(settled, "id", "left_anti")
@@ -424,7 +468,7 @@ def kept_lines(keyed: DataFrame) -> DataFrame:
         mine = F.broadcast(mine) if number <= BROADCAST_SETS else mine
         rest = _all_earlier(mine, rows).select(F.col("s_id").alias("s"), F.col("id").alias("t")).distinct()
         rest = written(rest.join(tried, ["s", "t"], "left_anti"), "rest")
-        settled = settled.unionByName(_verified(rest, sets, keyed, codes))
+        settled = settled.unionByName(_verified(rest, sets, keyed))
     kept = sets.join(_few(settled, settled.count()), "id", "left_anti")
     return written(kept.select(*_PLACE), "kept")
 

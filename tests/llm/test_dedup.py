@@ -1,7 +1,7 @@
 """Near-duplicate operators against brute force, and their odd cases."""
 
 import random
-from itertools import combinations
+from itertools import combinations, permutations
 
 import pytest
 import xxhash
@@ -154,7 +154,27 @@ def test_words_hash_alike_wherever_they_stand(parts):
     import numpy as np
 
     data = b"\n".join(parts)
-    hashes, _ = linededup.word_hashes(np.frombuffer(data, np.uint8))
+    hashes, _ = linededup.word_hashes(data)
     words = data.split()
     assert len(hashes) == len(words)
     assert len(set(hashes.tolist())) == len(set(words))
+
+
+def test_words_hash_alike_in_any_text(monkeypatch):
+    """The same word has the same hash wherever it is, in texts of any length; others differ."""
+    monkeypatch.setattr(linededup, "_SPAN", 64)
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abé", k=rng.choice((1, 2, 5, 20, 62, 63, 64, 65, 127, 128, 129, 300)))).encode() for _ in range(400)]
+    seen = {}
+    for low in range(0, 400, 9):
+        held = words[low : low + 9]
+        rng.shuffle(held)
+        text = b"".join(w + rng.choice([b" ", b"\n", b" \t "]) for w in held)
+        hashes, starts = linededup.word_hashes(rng.choice([b"", b"  "]) + text)
+        assert len(hashes) == len(held)
+        for word, found in zip(held, hashes.tolist()):
+            assert seen.setdefault(word, found) == found
+            assert linededup.word_hashes(b" x\n" + word)[0].tolist()[1] == found
+    assert len(set(seen.values())) == len(seen)
+    anagrams = ["".join(p) for p in set(permutations("aabbcdd"))]
+    assert len(set(linededup.word_hashes(" ".join(anagrams).encode())[0].tolist())) == len(anagrams)
