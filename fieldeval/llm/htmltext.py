@@ -15,12 +15,14 @@ from pyspark.sql import types as T
 
 from fieldeval.llm.common import chunks, records, with_fields, written
 
-#: A class is part of a host's template if its tokens stand on this share of the host's
-#: different pages, on so many pages and in so many tokens at least. On fewer pages text that
-#: all share may be a copied article as well as a template, and stays.
-SUPPORT = 0.95
-LEAST_PAGES = 20
+#: A class is part of the template of a host, or of one of its layouts, if its tokens stand on
+#: this share of the host's different pages, on so many pages and in so many tokens at least.
+SUPPORT = 0.2
+LEAST_PAGES = 3
 LEAST_TOKENS = 2
+#: Inside an article few pages may share a passage; there a class needs so many pages and this share.
+SURE_SUPPORT = 0.95
+SURE_PAGES = 20
 #: Templates of so many tokens are broadcast; larger ones are joined with salted hosts.
 BROADCAST_TOKENS = 500_000
 SALTS = 64
@@ -68,6 +70,10 @@ _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p blockquote figcaption caption".split())
+Run = tuple[int, str, bool, bool, bool]
+
+
 @dataclass
 class Element:
     tag: str
@@ -77,6 +83,8 @@ class Element:
     marked: bool
     body: bool
     link: bool
+    #: Whether a block of links alone may be part of the text: in a heading or a paragraph.
+    prose: bool
 
 
 @dataclass
@@ -84,8 +92,8 @@ class Page:
     """Tokens of a page in order, and its runs of text."""
 
     tokens: list[int] = field(default_factory=list)
-    #: (token, text, left out, in an article, in a link), or None between blocks.
-    runs: list[tuple[int, str, bool, bool, bool] | None] = field(default_factory=list)
+    #: (token, text, left out, in an article, in a list's link), or None between blocks.
+    runs: list[Run | None] = field(default_factory=list)
 
 
 def _key(*parts: object) -> int:
@@ -96,7 +104,8 @@ def _key(*parts: object) -> int:
 def parse(source: str) -> Page:
     """Tags by their path of tags and classes, and runs of decoded text by path and text."""
     page = Page()
-    stack = [Element("", 0, False, False, False, False)]
+    stack = [Element("", 0, False, False, False, False, False)]
+    unclosed: dict[str, int] = {}  # how many elements of a tag are open, so no tag is looked for in vain
     articles = 0
     for found in _TOKEN.finditer(source):
         _, closing, tag, attributes, text = found.groups()
@@ -107,7 +116,7 @@ def parse(source: str) -> Page:
             token = _key(top.path, plain) if plain else 0
             if plain:
                 page.tokens.append(token)
-            page.runs.append((token, text, top.out or top.marked, top.body, top.link))
+            page.runs.append((token, text, top.out or top.marked, top.body, top.link and not top.prose))
             continue
         if tag is None:
             continue
@@ -115,13 +124,12 @@ def parse(source: str) -> Page:
         if tag not in INLINE:
             page.runs.append(None)
         if closing:
-            for at in range(len(stack) - 1, 0, -1):
-                if stack[at].tag == tag:
-                    page.tokens.append(_key("/", stack[at].path))
-                    del stack[at:]
-                    break
+            if unclosed.get(tag):
+                at = _last(stack, tag)
+                page.tokens.append(_key("/", stack[at].path))
+                _close(stack, at, unclosed)
             continue
-        _close_implied(stack, tag)
+        _close_implied(stack, tag, unclosed)
         top = stack[-1]
         names = " ".join(a or b or c for _, a, b, c in _NAMES.findall(attributes)).lower() if attributes else ""
         path = _key(top.path, tag, names)
@@ -137,46 +145,75 @@ def parse(source: str) -> Page:
         elif tag not in WHOLE:
             marked = marked or any(_is_mark(name, body) for name in names.split())
         articles += tag in BODY and not out
-        stack.append(Element(tag, path, out, marked, body, top.link or tag == "a"))
+        stack.append(Element(tag, path, out, marked, body, top.link or tag == "a", top.prose or tag in PROSE))
+        unclosed[tag] = unclosed.get(tag, 0) + 1
     return page
 
 
+def _last(stack: list[Element], tag: str) -> int:
+    """Place of the innermost open element of a tag; there is one."""
+    return next(at for at in range(len(stack) - 1, 0, -1) if stack[at].tag == tag)
+
+
+def _close(stack: list[Element], at: int, unclosed: dict[str, int]) -> None:
+    """End an element and all inside it: each element is ended once, however deep they nest."""
+    for element in stack[at:]:
+        unclosed[element.tag] -= 1
+    del stack[at:]
+
+
 def _is_mark(name: str, body: bool) -> bool:
     """Whether a class, id or role says that its element is no article: all its words do."""
     words = {word for word in _PARTS.split(name) if word}
     return bool(words) and words <= MARKS and not (body and words <= HEADS)
 
 
-def _close_implied(stack: list[Element], tag: str) -> None:
+def _close_implied(stack: list[Element], tag: str, unclosed: dict[str, int]) -> None:
     """Ends the paragraph or item that the new tag ends without saying so."""
     wanted = "p" if tag in CLOSES_P else tag if tag in CLOSES_ITSELF else None
-    if wanted is None:
+    if wanted is None or not unclosed.get(wanted):
         return
     for at in range(len(stack) - 1, 0, -1):
         if stack[at].tag == wanted:
-            del stack[at:]
+            _close(stack, at, unclosed)
             return
         if stack[at].tag in SCOPES:
             return
 
 
-def main_text(page: Page, template: set[int]) -> str:
-    """Text of the page's slots: runs that are no template token and stand in its article,
-    or, where it has none, anywhere but in parts left out and in blocks of links alone."""
-    kept = [run for run in page.runs if run is None or not (run[2] or run[0] in template)]
-    if any(run is not None and run[3] and run[0] for run in kept):
-        parts = [" " if run is None else run[1] for run in kept if run is None or run[3]]
-        return " ".join("".join(parts).split())
-    blocks: list[list[tuple[int, str, bool, bool, bool]]] = [[]]
+def main_text(page: Page, template: set[int], sure: set[int] | None = None) -> str:
+    """Text of the page's slots: runs that are no template token and are not left out.
+
+    The template decides first. `sure` are its tokens that hold inside articles as well, all of
+    them if not given. A page of which the other tokens would take most is a copy of its like,
+    and keeps them. Of what stays, the page's articles are the text if they have most of it;
+    else all is, but for blocks of links alone outside headings and paragraphs.
+    """
+    certain = template if sure is None else sure
+    slots = [run for run in page.runs if run is None or not (run[2] or run[0] in certain)]
+    kept = [run for run in slots if run is None or run[3] or run[0] not in template]
+    if 2 * _length(kept) < _length(slots):
+        kept = slots
+    blocks: list[list[Run]] = [[]]
     for run in kept:
         if run is None:
             blocks.append([])
         else:
             blocks[-1].append(run)
+    inside = [run for run in kept if run is None or run[3]]
+    outside = [run for block in blocks if any(r[0] and not r[4] for r in block) for run in block if not run[3]]
+    if _length(inside) and _length(inside) >= _length(outside):
+        parts = [" " if run is None else run[1] for run in inside]
+        return " ".join("".join(parts).split())
     texts = ("".join(run[1] for run in block) for block in blocks if any(run[0] and not run[4] for run in block))
     return " ".join(" ".join(texts).split())
 
 
+def _length(runs: list[Run | None] | list[Run]) -> int:
+    """Words of runs."""
+    return sum(len(run[1].split()) for run in runs if run is not None)
+
+
 def _with_host(pages: DataFrame) -> DataFrame:
     address = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
     return pages.withColumn("host", F.lower(address))
@@ -217,32 +254,34 @@ def _stat_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(hosted: DataFrame) -> DataFrame:
-    """(host, tokens, classes): the tokens of each host's template in order, and the number
-    of the equivalence class of each.
+    """(host, tokens, classes, sure): the tokens of each host's templates in order, the number of
+    the equivalence class of each, and whether it holds inside articles.
 
-    Tokens that share an occurrence vector over the host's different pages form a class.
-    Copies of a page count once, so a page is no template of its own copies.
+    Tokens that share an occurrence vector over the host's different pages form a class; a class
+    on some of the pages is of one layout. Copies of a page count once, so a page is no template
+    of its own copies.
     """
     different = hosted.where("html is not null").select("host", F.xxhash64("html").alias("page_key"), "html")
     different = different.dropDuplicates(["host", "page_key"])
     stats = different.mapInArrow(_stat_rows, _STAT).groupBy("host", "token").agg(
         F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.sum("place").alias("place")
     )
-    # A class without a rival in support: only what stands on almost all pages is kept here,
-    # so a host has no more of these tokens than a page or two.
+    # As every token here stands on a fifth of the host's pages, a host has no more of them than
+    # five of its pages have.
     totals = hosted.where("html is not null").select("host", F.xxhash64("html").alias("page_key")).distinct()
     totals = totals.groupBy("host").agg(F.count("*").alias("total"))
     common = stats.join(totals, "host").where((F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= SUPPORT * F.col("total")))
-    classes = common.groupBy("host", "pages", "vector").agg(
+    sure = (F.col("pages") >= SURE_PAGES) & (F.col("pages") >= SURE_SUPPORT * F.col("total"))
+    classes = common.groupBy("host", "pages", "vector", sure.alias("sure")).agg(
         F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("place"), "token")).alias("members")
     )
     classes = classes.where(F.size("members") >= LEAST_TOKENS).select(
-        "host", F.xxhash64("pages", "vector").alias("class"), F.explode("members").alias("member")
+        "host", "sure", F.xxhash64("pages", "vector").alias("class"), F.explode("members").alias("member")
     )
     ordered = classes.groupBy("host").agg(
-        F.array_sort(F.collect_list(F.struct("member.place", "member.token", "class"))).alias("all")
+        F.array_sort(F.collect_list(F.struct("member.place", "member.token", "class", "sure"))).alias("all")
     )
-    return ordered.select("host", F.col("all.token").alias("tokens"), F.col("all.class").alias("classes"))
+    return ordered.select("host", *(F.col(f"all.{one}").alias(all_) for one, all_ in (("token", "tokens"), ("class", "classes"), ("sure", "sure"))))
 
 
 def fitting(page: Page, tokens: list[int], classes: list[int]) -> set[int]:
@@ -273,7 +312,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages (page_id, url, html).
 
     Null html gives an empty text; a null or relative url belongs to the empty host. Pages of
-    hosts with fewer than LEAST_PAGES different pages have no template. Character references
+    hosts with fewer than LEAST_PAGES different pages have no template; inside articles a token
+    is the template's only with more pages of its host. Character references
     are decoded, white space is one space, blocks are joined by one. Repeated rows repeat, an
     empty table gives no rows, further columns are ignored.
     """
@@ -290,13 +330,15 @@ def extract(pages: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for source, tokens, classes in records(iter([batch.select(["html", "tokens", "classes"])])):
+            for source, tokens, classes, sure in records(iter([batch.select(["html", "tokens", "classes", "sure"])])):
                 page = parse(source or "")
-                texts.append(main_text(page, fitting(page, tokens or [], classes or [])))
+                nested = fitting(page, tokens or [], classes or [])
+                certain = {token for token, holds in zip(tokens or [], sure or []) if holds}
+                texts.append(main_text(page, nested, nested & certain))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
             )
 
     schema = with_fields(pages.select("page_id", "url"), ("text", T.StringType()), ("n_chars", T.LongType()))
-    return joined.select("page_id", "url", "html", "tokens", "classes").mapInArrow(rows, schema)
+    return joined.select("page_id", "url", "html", "tokens", "classes", "sure").mapInArrow(rows, schema)
