@@ -230,9 +230,33 @@ class Lines(NamedTuple):
     bounds: np.ndarray
 
 
-def token_sets(texts: list[bytes], codes: np.ndarray | None, lines: list[list[int]], numbers: list[list[int]]) -> Lines:
+class Among(NamedTuple):
+    """Some keys, in order, and marks of their low bits that turn most others away."""
+
+    keys: np.ndarray
+    marks: np.ndarray
+
+    @classmethod
+    def of(cls, keys: list[int]) -> Among:
+        marks = np.zeros(1 << 20, bool)
+        held = np.unique(np.array(keys, np.int64).view(np.uint64))
+        marks[_slots(held)] = True
+        return cls(held, marks)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        found = self.marks[_slots(keys)]
+        at = np.flatnonzero(found)
+        place = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
+        found[at] = self.keys[place] == keys[at]
+        return found
+
+
+def token_sets(
+    texts: list[bytes], codes: np.ndarray | None, lines: list[list[int]], numbers: list[list[int]], among: Among | None = None
+) -> Lines:
     """The wanted lines of some texts: for each text their numbers in it, and their ids. Without
-    codes the keys are whole hashes, in no order of rarity."""
+    codes the keys are whole hashes, in no order of rarity. With `among` the lines are those
+    that have one of its keys."""
     first = first_numbers(texts)
     sizes = [len(some) for some in lines]
     at = np.repeat(first, sizes) + np.fromiter(chain.from_iterable(lines), np.int64, sum(sizes))
@@ -242,6 +266,12 @@ def token_sets(texts: list[bytes], codes: np.ndarray | None, lines: list[list[in
     keys = found.hashes
     if codes is not None:
         keys = (codes[_slots(keys)].astype(np.uint64) << np.uint64(48)) | (keys >> np.uint64(16))
+    if among is not None and len(keys):
+        sizes = np.diff(np.append(found.low, len(keys)))
+        having = np.logical_or.reduceat(among.has(keys), found.low)
+        keys = keys[np.repeat(having, sizes)]
+        low = np.cumsum(sizes[having]) - sizes[having]
+        found = found._replace(low=low, doc=found.doc[having], line_no=found.line_no[having], number=found.number[having])
     for a, b in pairwise([*found.low.tolist(), len(keys)]):
         keys[a:b].sort()
     new = np.ones(len(keys), bool)
@@ -262,18 +292,25 @@ _POSTING = "key long, id long, n int, at int, sign long, sign2 long"
 _POSTING_NAMES = [part.split()[0] for part in _POSTING.split(", ")]
 
 
-def postings(sets: DataFrame, keyed: DataFrame, codes: Any) -> DataFrame:
-    """A row for each set and token of its prefix, from the texts that hold the sets' lines."""
+def postings(sets: DataFrame, keyed: DataFrame, codes: Any, among: Any = None) -> DataFrame:
+    """A row for each set and token of its prefix, from the texts that hold the sets' lines; with
+    `among`, a broadcast, for its keys alone."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = among.value if among is not None else None
         for part in chunks(batches, 2, _TEXT_BYTES):
-            lines = token_sets([row[2] for row in part], codes.value, [row[3] for row in part], [row[4] for row in part])
+            texts, numbers, ids = ([row[k] for row in part] for k in (2, 3, 4))
+            lines = token_sets(texts, codes.value, numbers, ids, some)
             sizes = np.diff(lines.bounds)
+            if not len(sizes):
+                continue
             line = np.repeat(np.arange(len(sizes)), sizes)
             at = np.arange(len(lines.keys)) - lines.bounds[line]
             prefix = sizes - -(-NUM * sizes // DEN) + 1
             # A token counted once in all texts has no partner.
             pick = (at < prefix[line]) & (lines.keys >> np.uint64(48) > 0)
+            if some is not None:
+                pick &= some.has(lines.keys)
             of = line[pick]
             # Parity of the tokens under each of 64 bits, in long lines of two halves of the
             # tokens: two signatures differ in no more bits than their sets in tokens.
@@ -466,7 +503,11 @@ def kept_lines(keyed: DataFrame) -> DataFrame:
         some = written(sets.join(_few(open_keys.select("id").distinct(), number), "id", "left_semi"), "open-sets")
         mine = _named(postings(some, keyed, codes).join(_few(open_keys, number), ["id", "key"], "left_semi").select(_POSTING_NAMES))
         mine = F.broadcast(mine) if number <= BROADCAST_SETS else mine
-        rest = _all_earlier(mine, rows).select(F.col("s_id").alias("s"), F.col("id").alias("t")).distinct()
+        others = rows
+        if number <= BROADCAST_SETS:
+            keys = [r["key"] for r in open_keys.select("key").distinct().collect()]
+            others = postings(sets, keyed, codes, keyed.sparkSession.sparkContext.broadcast(Among.of(keys)))
+        rest = _all_earlier(mine, others).select(F.col("s_id").alias("s"), F.col("id").alias("t")).distinct()
         rest = written(rest.join(tried, ["s", "t"], "left_anti"), "rest")
         settled = settled.unionByName(_verified(rest, sets, keyed))
     kept = sets.join(_few(settled, settled.count()), "id", "left_anti")
