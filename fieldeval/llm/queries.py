@@ -29,19 +29,23 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of near duplicates of every row of `documents`."""
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of all `documents`."""
     return tokencount.section_counts(_read(spark, sf_dir, "documents"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its text less lines that match earlier ones."""
     found = linededup.dedup_lines(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; learned from rows outside the held-out fold."""
     docs = _read(spark, sf_dir, "documents")
     net = langid.train(docs)
     found = langid.identify(docs.select("doc_id", "text", langid.in_fold().alias("held_out")), net)
@@ -49,28 +53,34 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all `documents` and their places in sequences."""
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every row of `pages`."""
     return htmltext.extract(_read(spark, sf_dir, "pages"))
 
 
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten highest scores of every hundredth vector against all others."""
     return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
     return mixing.shares(_read(spark, sf_dir, "documents"))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from overlapping heuristic labellers."""
     docs = _read(spark, sf_dir, "documents")
     _, scorer = quality.train(docs)
     return quality.scored(docs, scorer)
 
 
 def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty nearest of every twentieth vector, found through a neighbour graph."""
     return nndescent.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
