@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -273,12 +276,52 @@ _SIGNATURES = {
 }
 
 
+#: Bytes at the start of a file that tell its format.
+HEAD_BYTES = 12
+
+
+def with_heads(files: DataFrame, length: int = HEAD_BYTES) -> DataFrame:
+    """Files (path, ...) with ``head``: the first bytes of each, null where it can't be read.
+
+    Tasks read that range of each file and no more, so size does not matter. It needs a store
+    that Arrow opens by its address (local, HDFS, S3, GCS); for any other discover images with
+    ``content``, which Spark reads whole.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = [_head(path, length) for path in batch.column("path").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.binary())], [*batch.schema.names, "head"])
+
+    schema = T.StructType([*files.schema.fields, T.StructField("head", T.BinaryType())])
+    return files.mapInArrow(rows, schema)
+
+
+#: Scheme, authority and path; Spark does not escape what an address would.
+_ADDRESS = re.compile(r"(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/]*))?(.*)", re.S)
+
+
+def _head(path: str, length: int) -> bytes | None:
+    scheme, authority, place = _ADDRESS.match(path).groups()
+    if scheme in (None, "file"):
+        store, root = fs.LocalFileSystem(), ""
+    else:
+        store, root = fs.FileSystem.from_uri(f"{scheme}://{authority or ''}")
+    try:
+        with store.open_input_file(root.rstrip("/") + place) as file:
+            return file.read_at(min(length, file.size()), 0)
+    except OSError:
+        return None
+
+
 def verify_images(files: DataFrame) -> DataFrame:
-    """Add ``verified``: whether the leading bytes are those of the format."""
-    head = F.hex(F.substring("content", 1, 12))
+    """Add ``verified``: whether the leading bytes, of ``head`` or else of ``content``, are those
+    of the format."""
+    first = F.col("head") if "head" in files.columns else F.substring("content", 1, HEAD_BYTES)
+    head = F.hex(first)
     test = F.when(
         F.col("extension") == "tiff", head.startswith("49492A00") | head.startswith("4D4D002A")
     ).when(F.col("extension") == "webp", head.rlike("^52494646.{8}57454250"))
     for ext, magic in _SIGNATURES.items():
         test = test.when(F.col("extension") == ext, head.startswith(magic))
-    return files.withColumn("verified", F.coalesce(test, F.lit(False))).drop("content")
+    return files.withColumn("verified", F.coalesce(test, F.lit(False))).drop("content", "head")

@@ -102,6 +102,23 @@ def test_images(spark, folder):
     assert (s["expected"], s["found"], s["missing"], s["found_rate"]) == (3, 1, 2, 1 / 3)
 
 
+def test_only_heads_of_images_are_read(spark, folder):
+    """Files far larger than memory, one of them too large for a binary column, and a lost one."""
+    for name, size in (("a.png", 8 << 30), ("b.PNG", 1 << 40)):
+        with open(os.path.join(folder, name), "wb") as f:
+            f.write(bytes.fromhex("89504E470D0A1A0A"))
+            f.truncate(size)
+    put(folder, "c.jpg", b"no")
+    put(folder, "d e.bmp", b"BM")
+    put(folder, "lost.png", b"x")
+    files = R.discover_images(spark, folder)
+    listed = spark.createDataFrame(files.collect(), files.schema)
+    os.remove(os.path.join(folder, "lost.png"))
+    checked = {r["name"]: r["verified"] for r in R.verify_images(R.with_heads(listed)).collect()}
+    assert checked == {"a.png": True, "b.PNG": True, "c.jpg": False, "d e.bmp": True, "lost.png": False}
+    assert R.verify_images(R.with_heads(listed.where("false"))).count() == 0
+
+
 def test_writers(spark, folder):
     rows = spark.createDataFrame(
         [("a", "m1", True, None, 2.0, {"TOTAL": "1"}), ("b", "m2", False, "boom", 1.0, {})],
