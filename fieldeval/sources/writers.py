@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,12 +40,14 @@ def write_json_lists(rows: DataFrame, path: str, mode: str = "errorifexists") ->
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"value": ["["]})
-        comma = ""
+        first = True
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            if texts:
-                yield pa.RecordBatch.from_pydict({"value": [comma + texts[0], *("," + t for t in texts[1:])]})
-                comma = ","
+            texts = batch.column(0)
+            if len(texts):
+                if first:
+                    yield pa.RecordBatch.from_arrays([texts.slice(0, 1)], ["value"])
+                    texts, first = texts.slice(1), False
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(",", texts, "")], ["value"])
         yield pa.RecordBatch.from_pydict({"value": ["]"]})
 
     rows.select(F.to_json(F.struct(*rows.columns))).mapInArrow(lines, "value string").write.mode(mode).text(path)
