@@ -262,8 +262,15 @@ _POSTING = "key long, id long, n int, at int, sign long, sign2 long"
 _POSTING_NAMES = [part.split()[0] for part in _POSTING.split(", ")]
 
 
-def postings(sets: DataFrame, keyed: DataFrame, codes: Any) -> DataFrame:
-    """A row for each set and token of its prefix, from the texts that hold the sets' lines."""
+def among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which keys are among the wanted ones, which ascend and are not none."""
+    spot = np.searchsorted(wanted, keys)
+    return wanted[np.minimum(spot, len(wanted) - 1)] == keys
+
+
+def postings(sets: DataFrame, keyed: DataFrame, codes: Any, only: Any = None) -> DataFrame:
+    """A row for each set and token of its prefix, from the texts that hold the sets' lines; with
+    `only`, ascending keys, for these alone."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, 2, _TEXT_BYTES):
@@ -274,13 +281,25 @@ def postings(sets: DataFrame, keyed: DataFrame, codes: Any) -> DataFrame:
             prefix = sizes - -(-NUM * sizes // DEN) + 1
             # A token counted once in all texts has no partner.
             pick = (at < prefix[line]) & (lines.keys >> np.uint64(48) > 0)
+            if only is not None:
+                pick = np.flatnonzero(pick)
+                pick = pick[among(lines.keys[pick], only.value)]
+                if not len(pick):
+                    continue
             of = line[pick]
+            number, keys, starts = of, lines.keys, lines.bounds[:-1]
+            if only is not None:  # signatures of few lines
+                shown = np.zeros(len(sizes), bool)
+                shown[of] = True
+                number = (np.cumsum(shown) - 1)[of]
+                keys, line = keys[shown[line]], line[shown[line]]
+                starts = np.cumsum(sizes[shown]) - sizes[shown]
             # Parity of the tokens under each of 64 bits, in long lines of two halves of the
             # tokens: two signatures differ in no more bits than their sets in tokens.
-            bits = np.uint64(1) << (lines.keys & np.uint64(63))
-            second = (sizes > LONG)[line] & (lines.keys >> np.uint64(6) & np.uint64(1) == 1)
+            bits = np.uint64(1) << (keys & np.uint64(63))
+            second = (sizes > LONG)[line] & (keys >> np.uint64(6) & np.uint64(1) == 1)
             signs = (
-                np.bitwise_xor.reduceat(np.where(half, bits, np.uint64(0)), lines.bounds[:-1]).view(np.int64)
+                np.bitwise_xor.reduceat(np.where(half, bits, np.uint64(0)), starts).view(np.int64)
                 for half in (~second, second)
             )
             columns = (
@@ -288,7 +307,7 @@ def postings(sets: DataFrame, keyed: DataFrame, codes: Any) -> DataFrame:
                 lines.ids[of],
                 sizes[of].astype(np.int32),
                 at[pick].astype(np.int32),
-                *(sign[of] for sign in signs),
+                *(sign[number] for sign in signs),
             )
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _POSTING_NAMES)
 
@@ -465,7 +484,10 @@ def kept_lines(keyed: DataFrame) -> DataFrame:
     if number:
         some = written(sets.join(_few(open_keys.select("id").distinct(), number), "id", "left_semi"), "open-sets")
         mine = _named(postings(some, keyed, codes).join(_few(open_keys, number), ["id", "key"], "left_semi").select(_POSTING_NAMES))
-        mine = F.broadcast(mine) if number <= BROADCAST_SETS else mine
+        if number <= BROADCAST_SETS:
+            mine = F.broadcast(mine)
+            keys = np.unique(np.array([key for key, in open_keys.select("key").distinct().collect()], np.int64).view(np.uint64))
+            rows = postings(sets, keyed, codes, keyed.sparkSession.sparkContext.broadcast(keys))
         rest = _all_earlier(mine, rows).select(F.col("s_id").alias("s"), F.col("id").alias("t")).distinct()
         rest = written(rest.join(tried, ["s", "t"], "left_anti"), "rest")
         settled = settled.unionByName(_verified(rest, sets, keyed))

@@ -3,6 +3,7 @@
 import random
 from itertools import combinations, permutations
 
+import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -178,3 +179,16 @@ def test_words_hash_alike_in_any_text(monkeypatch):
     assert len(set(seen.values())) == len(seen)
     anagrams = ["".join(p) for p in set(permutations("aabbcdd"))]
     assert len(set(linededup.word_hashes(" ".join(anagrams).encode())[0].tolist())) == len(anagrams)
+
+
+def test_postings_of_some_keys_alone(spark):
+    """op3: the second round made the postings of all keys to join them with a few."""
+    docs = spark.createDataFrame(made_lines(3), DOCS)
+    keyed = linededup._once(linededup._keyed(docs))
+    scan = linededup.written(linededup._texts(keyed).mapInArrow(linededup._scan_rows, linededup._SCAN), "scan")
+    codes = spark.sparkContext.broadcast(linededup.rarity(scan))
+    sets = linededup.first_lines(scan)
+    every = {tuple(r) for r in linededup.postings(sets, keyed, codes).collect()}
+    keys = np.unique(np.array([r[0] for r in every], np.int64).view(np.uint64))[::3]
+    some = {tuple(r) for r in linededup.postings(sets, keyed, codes, spark.sparkContext.broadcast(keys)).collect()}
+    assert some == {r for r in every if r[0] % (1 << 64) in set(keys.tolist())} and 0 < len(some) < len(every)
