@@ -69,3 +69,16 @@ def test_unrolled_scores_are_not_filtered_by_themselves(spark):
     assert "Generate" in _optimized(long)
     assert "size(" not in _optimized(accuracy.field_accuracy(long).where(F.col("accuracy") < 0.9))
     assert long.count() == 4
+
+
+def test_accuracy_by_type_joins_truth_once(spark):
+    """Types come with the scored rows; results that failed count nowhere, a type without any has no row."""
+    rows = [("a", "m", True, 1.0, {"T": "x"}), ("b", "m", True, 1.0, {}), ("c", "m", False, 1.0, {}), ("d", "m", True, 1.0, {"T": "z"})]
+    types = "doc_id string, model string, successful boolean, processing_time double, extracted_fields map<string,string>"
+    truth = [("a", {"T": "x"}), ("b", {"T": "x"}), ("c", {"T": "y"})]
+    known = spark.createDataFrame(truth, "doc_id string, truth_fields map<string,string>")
+    spec = FieldSpec.of(("T",))
+    docs = accuracy.document_accuracy(spark.createDataFrame(rows, types), known, spec, type_field="T")
+    found = accuracy.accuracy_by_type(docs)
+    assert sorted(map(tuple, found.collect()), key=str) == [("m", "x", 2, 0.5), ("m", None, 1, 0.0)]
+    assert _optimized(found).count("Join") == 1
