@@ -16,22 +16,38 @@ from fieldeval.operators.shredded import Fields
 from fieldeval.schema import Bands, FieldSpec, SpeedBands
 
 
+def _of_result(results: DataFrame) -> list[Column]:
+    """What a model's figures are summed up from, of each result."""
+    held = Fields(results)
+    return [
+        F.col("model"),
+        F.coalesce("successful", F.lit(False)).alias("ok"),
+        F.coalesce("processing_time", F.lit(0.0)).alias("seconds"),
+        F.coalesce(held.count(), F.lit(0)).alias("n_fields"),
+        held.count_where(lambda v: has_value(v, "strict")).alias("filled"),
+    ]
+
+
+def run_models(results: DataFrame) -> DataFrame:
+    """The rows of ``run_profile`` that have no field: for reports on models alone, no field is unrolled."""
+    return results.select(*_of_result(results)).groupBy("model").agg(
+        F.count(F.lit(1)).alias("documents"),
+        count_if(F.col("ok")).alias("successful"),
+        F.sum("seconds").alias("execution_time"),
+        F.sum("n_fields").alias("n_fields"),
+        F.avg("filled").alias("non_na_fields"),
+        F.lit(1).alias("of_model"),
+    )
+
+
 def run_profile(results: DataFrame, spec: FieldSpec) -> DataFrame:
     """One row per model, with field and ordinal null, and one per model and field of the spec.
 
     What belongs to a document is counted once for it, on the row of its first field.
     """
     held = Fields(results)
-    filled = F.size(F.filter(held.values(), lambda v: has_value(v, "strict")))
     cells = [F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("field"), held.get(n).alias("v")) for i, n, _ in spec.items()]
-    rows = results.select(
-        "model",
-        F.coalesce("successful", F.lit(False)).alias("ok"),
-        F.coalesce("processing_time", F.lit(0.0)).alias("seconds"),
-        F.coalesce(held.count(), F.lit(0)).alias("n_fields"),
-        filled.alias("filled"),
-        F.inline(F.array(*cells)),
-    )
+    rows = results.select(*_of_result(results), F.inline(F.array(*cells)))
     first = F.col("ordinal") == 1
     documents = F.when(F.grouping("field") == 1, count_if(first)).otherwise(F.count(F.lit(1)))
     return rows.groupingSets([["model"], ["model", "ordinal", "field"]], "model", "ordinal", "field").agg(

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from fieldeval.functions.base import SPACE_CHARS, SPACE_RUN, strip, strip_value, words
-from fieldeval.operators import accuracy, align
+from fieldeval.operators import accuracy, align, profile
 from fieldeval.operators.shredded import shred
 from fieldeval.plans.derive import SPEC, Inputs
 from fieldeval.schema import FieldSpec
@@ -82,3 +82,22 @@ def test_accuracy_by_type_joins_truth_once(spark):
     found = accuracy.accuracy_by_type(docs)
     assert sorted(map(tuple, found.collect()), key=str) == [("m", "x", 2, 0.5), ("m", None, 1, 0.0)]
     assert _optimized(found).count("Join") == 1
+
+
+def test_models_are_summed_up_without_their_fields(spark):
+    """`run_models` has the model rows of `run_profile`, from maps and from columns, and unrolls no field."""
+    spec = FieldSpec.of(("SUPPLIER", "TOTAL"))
+    rows = [
+        ("m", True, 1.0, {"SUPPLIER": " n/a ", "TOTAL": "2", "MORE": "x"}),
+        ("m", None, None, {"TOTAL": "", "MORE": "N/A"}),
+        ("m", False, 2.0, None),
+        ("n", False, 3.0, None),
+    ]
+    kind = "model string, successful boolean, processing_time double, extracted_fields map<string,string>"
+    maps = spark.createDataFrame(rows, kind)
+    wanted = profile.model_profile(profile.run_profile(maps, spec)).collect()
+    for results in (maps, shred(maps, spec)):
+        run = profile.run_models(results)
+        assert "Generate" not in _optimized(run)
+        assert sorted(profile.model_profile(run).collect()) == sorted(wanted)
+    assert {r.model: r.non_na_fields for r in wanted} == {"m": 1.0, "n": None}
