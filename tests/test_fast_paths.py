@@ -1,12 +1,17 @@
 """Shorter ways through the hot steps of scoring give what the plain ways give."""
 
+import random
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
+from fieldeval.functions import text
 from fieldeval.functions.base import SPACE_CHARS, SPACE_RUN, strip, strip_value, words
-from fieldeval.operators import accuracy, align, profile
+from fieldeval.operators import accuracy, align, profile, rates
 from fieldeval.operators.shredded import shred
 from fieldeval.plans.derive import SPEC, Inputs
-from fieldeval.schema import FieldSpec
+from fieldeval.schema import COMMON_WORDS, FieldSpec
 
 SMALL_DIR = "/root/testdata/sf0.001"
 
@@ -101,3 +106,33 @@ def test_models_are_summed_up_without_their_fields(spark):
         assert "Generate" not in _optimized(run)
         assert sorted(profile.model_profile(run).collect()) == sorted(wanted)
     assert {r.model: r.non_na_fields for r in wanted} == {"m": 1.0, "n": None}
+
+
+def _method(t):
+    """Label of a response, line by line and word by word."""
+    ls = [x.strip(SPACE_CHARS) for x in t.split("\n")]
+    total, pairs = sum(x != "" for x in ls), sum(":" in x and x[0] not in "#*" for x in ls)
+    ws = [w for w in re.split(f"[{re.escape(SPACE_CHARS)}]+", t.lower()) if w]
+    repeated = any(n > 3 and w not in COMMON_WORDS for w, n in Counter(ws).items())
+    markdown = any(x[:1] in tuple("#*-|") or "**" in x or (re.search("_[^_]*_", x) and ":" not in x) for x in ls)
+    if total and pairs / total > 0.8:
+        return "clean_with_markdown" if markdown else "clean_with_repetition" if repeated else "clean_extraction"
+    return "repetition_control" if repeated else "markdown_fallback" if markdown else "complex_parsing"
+
+
+def test_methods_by_patterns_are_those_of_lines_and_words(spark):
+    rng = random.Random(7)
+    bits = ["a:", "b", "N/A", "the", "**", "*", "#", "-", "|", "_x_", "_", ":", "\n", "\n", " ", "\t", "\x1f", "\x85", " "]
+    bits += ["\r", "é", "A", "K: v\n", "zz: 3\n", "q: 4\n", "w: 5\n", "of", "a."]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", "\n"]) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += ["", "\n", " ", "x " * 50_000, "the " * 50_000, "a: " + "\n\n" * 20_000, "_" * 50_000]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.extraction_method("t").alias("m"))
+    assert [(r.t[:80], r.m, _method(r.t)) for r in rows.collect() if r.m != _method(r.t)] == []
+
+
+def test_methods_are_counted_in_one_scan(spark, folder):
+    rows = [("x", True), ("x", False), ("y", True), ("x", None)]
+    spark.createDataFrame(rows, "extraction_method string, successful boolean").write.parquet(f"{folder}/labelled")
+    found = rates.method_distribution(spark.read.parquet(f"{folder}/labelled"))
+    assert sorted(map(tuple, found.collect())) == [("x", 3, 1 / 3, 0.75), ("y", 1, 1.0, 0.25)]
+    assert _optimized(found).count("Relation [") == 1
