@@ -6,12 +6,12 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from fieldeval.functions import text
+from fieldeval.functions import parse, text
 from fieldeval.functions.base import SPACE_CHARS, SPACE_RUN, strip, strip_value, words
 from fieldeval.operators import accuracy, align, profile, rates
 from fieldeval.operators.shredded import shred
 from fieldeval.plans.derive import SPEC, Inputs
-from fieldeval.schema import COMMON_WORDS, FieldSpec
+from fieldeval.schema import COMMON_WORDS, FREE_WORDS, WORD_PUNCTUATION, FieldSpec
 
 SMALL_DIR = "/root/testdata/sf0.001"
 
@@ -136,3 +136,40 @@ def test_methods_are_counted_in_one_scan(spark, folder):
     found = rates.method_distribution(spark.read.parquet(f"{folder}/labelled"))
     assert sorted(map(tuple, found.collect())) == [("x", 3, 1 / 3, 0.75), ("y", 1, 1.0, 0.25)]
     assert _optimized(found).count("Relation [") == 1
+
+
+def _capped(t, cap, free):
+    ws = [w for w in re.split(f"[{re.escape(SPACE_CHARS)}]+", t) if w]
+    seen, kept = Counter(), []
+    for w in ws:
+        key = w.lower().strip(WORD_PUNCTUATION)
+        seen[key] += 1
+        if seen[key] <= cap or key in free:
+            kept.append(w)
+    return t if len(ws) < 3 else " ".join(kept)
+
+
+def test_words_are_capped_alike_by_places_and_by_sorting(spark):
+    rng = random.Random(8)
+    bits = ["a", "A.", "b:", "::", "c,d", "...", "the", "é", "N/A", "É!", "x\ty", "!a!!b!"] + [f"w{i}" for i in range(9)]
+    texts = [" ".join(rng.choice(bits[: rng.randint(1, 21)]) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    many = [f"v{i}" for i in range(text._FEW + 1)]
+    texts += ["", " . ", "a a", " ".join(many * 4), " ".join(many[1:] * 4), "x " * 100_000, "a" + "!" * 50_000 + "b c d"]
+    texts += [" ".join(f"u{i % 30_000}" for i in range(120_000))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for cap, free in ((2, FREE_WORDS), (1, ()), (3, ("", "a"))):
+        found = rows.select("t", text.cap_word_repeats("t", cap, free).alias("c")).collect()
+        assert [(r.t[:80], r.c[:80]) for r in found if r.c != _capped(r.t, cap, free)] == []
+
+
+def test_plain_texts_are_parsed_as_all_texts(spark):
+    """An asterisk at the end, which no value keeps, sends a text the long way."""
+    rng = random.Random(9)
+    bits = ["TOTAL: 5", "GST: n/a", "1. ABN: 7", "PAYER_NAME: x y", "NOTE: q", " Note: q", "# A: b", "A B: 4", "AB:", "b", "é_b: 2", "12: 4"]
+    texts = [rng.choice(["\n", " "]).join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    texts = [t for t in texts if not 190 < len(t) < 210]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    short, long = (F.to_json(parse.parse_kv_lines(c)) for c in (F.col("t"), F.concat("t", F.lit(" *"))))
+    assert [tuple(r) for r in rows.select("t", short.alias("s"), long.alias("l")).where("s <> l").collect()] == []
+    quoted = spark.createDataFrame([("TOTAL: '5'\n**GST:** 2\nexample: 3\nABN:\x1f7\x85\nBSB: 4",)], "t string")
+    assert quoted.select(parse.parse_kv_lines("t")).first()[0] == {"TOTAL": "5", "GST": "2", "ABN": "7", "BSB": "4"}
